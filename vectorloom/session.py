@@ -29,16 +29,16 @@ def build_session(app: str = "vectorloom", cpus: int | str = "*", partitions: in
     )
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``; one of this machine only where that is unset."""
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "vectorloom-checkpoints")
+
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, as in local
-    tests, a folder of this machine is used.
-    """
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the cluster's shared folder."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        shared = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "vectorloom-checkpoints"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
