@@ -139,23 +139,23 @@ def _next_heads(cells: DataFrame, shifts: list[int]) -> DataFrame:
     return within.join(follow, "group", "left").select("cell", F.coalesce("next_cell", "next_head").alias("next_cell"))
 
 
-def with_next(df: DataFrame, key: str, carried: list[str]) -> DataFrame:
-    """Add ``next_<c>`` for the row with the next key in ascending order; the last is followed by the first.
+def with_next(df: DataFrame, key: str, text: str, derive: Callable[[DataFrame], DataFrame], carried: list[str]) -> DataFrame:
+    """derive(df) with ``next_<c>`` of the row with the next key; the last row is followed by the first.
 
-    Rows are dealt by cells of 2^CELL_BITS adjacent keys, so a window holds as many rows at most when
+    Rows are dealt once by cells of 2^CELL_BITS adjacent keys, so a window holds as many rows at most when
     keys are unique. The last row of a cell takes the first row of the next non-empty cell, found on
-    the keys alone. Null keys count as the smallest; ties are ordered by the carried columns.
+    the keys alone. derive adds columns after the exchange, which all three uses below share; for the
+    cells' first and last rows it runs on those rows only. Null keys come first; ties are ordered by the text.
     """
-    keyed = df.withColumn("nk_key", F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)))).withColumn("cell", F.shiftright("nk_key", CELL_BITS))
-    order = Window.partitionBy("cell").orderBy("nk_key", *carried)
-    placed = keyed.withColumn("nk_place", F.row_number().over(order)).withColumn("nk_next", F.lead(F.struct(*carried)).over(order))
-    cells = keyed.select("cell").distinct()
-    follow = _next_heads(cells, [LEVEL_BITS, LEVEL_BITS, LEVEL_BITS, 64])
-    heads = placed.where("nk_place = 1").select(F.col("cell").alias("next_cell"), F.struct(*carried).alias("nk_head"))
-    tails = placed.where("nk_next is null").drop("nk_next").join(follow, "cell").join(heads, "next_cell").withColumn("nk_next", F.col("nk_head"))
-    kept = [c for c in df.columns]
-    added = [F.col(f"nk_next.{c}").alias(f"next_{c}") for c in carried]
-    return placed.where("nk_next is not null").select(*kept, *added).unionByName(tails.select(*kept, *added))
+    dealt = df.withColumn("cell", F.shiftright(F.coalesce(F.col(key), F.lit(-(2**63))), CELL_BITS)).repartition("cell")
+    order = Window.partitionBy("cell").orderBy(key, text)
+    inner = derive(dealt).withColumn("nk_next", F.lead(F.struct(*carried)).over(order)).where("nk_next is not null")
+    ends = dealt.withColumn("nk_first", F.lag(F.lit(1)).over(order).isNull()).withColumn("nk_last", F.lead(F.lit(1)).over(order).isNull())
+    follow = _next_heads(df.select(F.shiftright(F.coalesce(F.col(key), F.lit(-(2**63))), CELL_BITS).alias("cell")).distinct(), [LEVEL_BITS, LEVEL_BITS, LEVEL_BITS, 64])
+    heads = derive(ends.where("nk_first")).select(F.col("cell").alias("next_cell"), F.struct(*carried).alias("nk_next"))
+    tails = derive(ends.where("nk_last")).join(follow, "cell").join(heads, "next_cell")
+    kept = [c for c in inner.columns if c not in ("cell", "nk_next")] + [F.col(f"nk_next.{c}").alias(f"next_{c}") for c in carried]
+    return inner.select(*kept).unionByName(tails.select(*kept))
 
 
 def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
@@ -164,9 +164,10 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many of the next
     document's text (all, if it is shorter). Each text is fingerprinted once and moved once.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    base = base.withColumn("fp", fingerprint(F.col("text")))
-    paired = with_next(base, "doc_id", ["text", "fp"])
+    # no cast where none is needed: a redundant alias would be dropped from some uses of the exchange only
+    doc_id = F.col("doc_id") if docs.schema["doc_id"].dataType.typeName() == "long" else F.col("doc_id").cast("long").alias("doc_id")
+    base = docs.select(doc_id, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    paired = with_next(base, "doc_id", "text", lambda df: df.withColumn("fp", fingerprint(F.col("text"))), ["text", "fp"])
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
     paired = paired.select("doc_id", F.length("text").cast("long").alias("n_chars"), "fp", "next_fp", edited.alias("edited"))
