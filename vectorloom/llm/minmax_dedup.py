@@ -11,9 +11,12 @@ Links are confirmed on the full sets, without listing the pairs of a group:
 2. In every band bucket the smallest representative leads. Each representative is checked against the
    leader it shares most bands with. Confirmed links give first components. A group of near copies is
    settled here, by one link per member.
-3. Buckets whose members still lie in different components go on: pairs across components whose packed
-   signatures agree in enough places (half of 128; the chance to lose a pair of 0.75 is below 1e-9) are
-   put out, checked on their full sets, and the components are joined.
+3. For documents in buckets whose members still lie in different components, shingles that no other of
+   these documents has are counted. Two documents share at most what is left of either, which rules out
+   most of those that have only a passage, or a heavily edited original, in common.
+4. Their other leaders are checked, where sizes and packed sketches allow (half of 128 places must agree;
+   the chance to lose a pair of 0.75 is below 1e-9), and components are joined.
+5. In buckets that are still mixed, the pairs across components that pass the same tests are checked.
 
 So every pair that shares a band is confirmed, ruled out by its signature or sizes, or already connected.
 
@@ -135,12 +138,10 @@ def _only(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if small else ids, column, "left_semi")
 
 
-def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have 100 * intersection >= 75 * union."""
-    pairs = checkpoint(pairs)
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, shingles) of the documents with those distinct ids."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
@@ -150,7 +151,13 @@ def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64()))], names=["doc_id", "shingles"])
 
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    full = _only(own, ids, "doc_id").mapInArrow(sets, "doc_id long, shingles array<long>")
+    return _only(own, ids, "doc_id").mapInArrow(run, "doc_id long, shingles array<long>")
+
+
+def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets have 100 * intersection >= 75 * union."""
+    pairs = checkpoint(pairs)
+    full = _sets(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     left = full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
@@ -159,6 +166,16 @@ def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.where((F.lit(DENOMINATOR).cast("long") * F.col("common") >= F.lit(NUMERATOR).cast("long") * union) & (F.col("common") > 0)).select("a", "b").distinct()
 
 
+def shareable(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(rep, able): how many of a document's shingles occur in any other of these documents.
+
+    Two of them cannot have more shingles in common than the smaller of these counts.
+    """
+    each = _sets(docs, ids.withColumnRenamed("rep", "doc_id")).select("doc_id", F.explode("shingles").alias("s"))
+    alone = each.groupBy("s").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep")).where("n = 1")
+    return alone.groupBy("rep").agg(F.count("*").alias("alone"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of the edges (a, b) reaches.
 
@@ -181,18 +198,22 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
+def _possible(n_a: np.ndarray, n_b: np.ndarray, able_a: np.ndarray, able_b: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes can be linked if they share at most their shareable shingles."""
+    common = np.minimum(np.minimum(able_a, able_b), np.minimum(n_a, n_b))
+    return DENOMINATOR * common >= NUMERATOR * (n_a + n_b - common)
+
+
 def _across(key: tuple, table: pa.Table) -> pa.Table:
     """Pairs of one bucket in different components whose sketches and sizes allow a link."""
-    reps = table.column("rep").to_numpy()
-    roots = table.column("root").to_numpy()
-    sizes = table.column("n_shingles").to_numpy()
+    reps, roots, sizes, ables = (table.column(c).to_numpy() for c in ("rep", "root", "n_shingles", "able"))
     sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(reps), -1)
     out_a, out_b = [], []
-    step = max(1, (1 << 22) // max(1, len(reps) * SKETCH))
+    step = max(1, (1 << 20) // max(1, len(reps)))
     for at in range(0, len(reps), step):
         rows = slice(at, at + step)
         able = (roots[rows, None] != roots[None]) & (reps[rows, None] > reps[None])
-        able &= DENOMINATOR * np.minimum(sizes[rows, None], sizes[None]) >= NUMERATOR * np.maximum(sizes[rows, None], sizes[None])
+        able &= _possible(sizes[rows, None], sizes[None], ables[rows, None], ables[None])
         i, j = np.nonzero(able)
         for lo in range(0, len(i), 1 << 16):
             ii, jj = i[lo : lo + (1 << 16)] + at, j[lo : lo + (1 << 16)]
@@ -204,6 +225,34 @@ def _across(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _likely(pairs: DataFrame, traits: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches and sizes allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = lambda c: batch.column(batch.schema.get_field_index(c))
+            n_a, n_b, able_a, able_b = (column(c).to_numpy() for c in ("n_a", "n_b", "able_a", "able_b"))
+            s_a, s_b = (np.frombuffer(b"".join(column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("s_a", "s_b"))
+            keep = pa.array(_possible(n_a, n_b, able_a, able_b) & ((s_a == s_b).sum(axis=1) >= LEAST_EQUAL))
+            yield pa.RecordBatch.from_arrays([column("a").filter(keep), column("b").filter(keep)], names=["a", "b"])
+
+    side = lambda k: traits.select(F.col("rep").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("able").alias(f"able_{k}"), F.col("sketch").alias(f"s_{k}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+
+
+def _place(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """(band, rep, root) of the buckets whose members lie in different components."""
+    placed = rows.select("band", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("root", "rep").alias("root"))
+    mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
+    return placed.join(mixed, "band")
+
+
+def _stars(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest linked id, its own included) and kept, per document."""
     signed = checkpoint(sign(docs))
@@ -216,15 +265,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = checkpoint(banded.join(leaders, "band"))
     ties = shared.where("rep <> leader").groupBy("rep", "leader").agg(F.count("*").alias("n"))
     best = ties.groupBy("rep").agg(F.max(F.struct(F.col("n"), (-F.col("leader")).alias("minus"))).alias("best"))
-    first = confirm(docs, best.select(F.col("rep").alias("a"), (-F.col("best.minus")).alias("b")))
-    roots = components(first)
-
-    placed = shared.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("root", "rep").alias("root"))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-    open_rows = placed.join(mixed, "band").join(reps.select("rep", "n_shingles", "sketch"), "rep")
-    pairs = open_rows.groupBy("band").applyInArrow(_across, "a long, b long").distinct()
-    second = confirm(docs, pairs)
-    edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second)
+    best = best.select(F.col("rep").alias("a"), (-F.col("best.minus")).alias("b"))
+    roots = components(confirm(docs, best))
+
+    undecided = checkpoint(_place(shared, roots))
+    able = shareable(docs, undecided.select("rep").distinct())
+    traits = reps.select("rep", "n_shingles", "sketch").join(undecided.select("rep").distinct(), "rep").join(able, "rep", "left")
+    traits = checkpoint(traits.select("rep", "n_shingles", (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("able"), "sketch"))
+    at = lambda k: roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
+    other = ties.select(F.col("rep").alias("a"), F.col("leader").alias("b")).join(at("a"), "a", "left").join(at("b"), "b", "left")
+    other = other.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    roots = components(_stars(roots).unionByName(confirm(docs, _likely(other, traits))))
+
+    pairs = _place(undecided, roots).join(traits, "rep").groupBy("band").applyInArrow(_across, "a long, b long").distinct()
+    edges = _stars(roots).unionByName(confirm(docs, pairs))
     final = components(edges).withColumnRenamed("node", "rep")
 
     classes = reps.select("set_id", "rep").join(final, "rep", "left").select("set_id", F.coalesce("root", "rep").alias("component_id"))
