@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LENGTH = 400
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 BLOCK = 1 << 20
 SAMPLE_BITS, NAME_BITS = 48, 64
 PUBLISHED = "bucket int, chunk int, payload binary"
@@ -206,14 +206,15 @@ def _member(values: np.ndarray, of: np.ndarray) -> np.ndarray:
     return of[np.minimum(np.searchsorted(of, values), len(of) - 1)] == values
 
 
-def _marked(marks: pa.Table, step: int, unique: np.ndarray, bits: int, buckets: int) -> np.ndarray:
-    """The repeated ones among a chunk's published names."""
+def _marked(marks: pa.Table, step: int, names: np.ndarray, bits: int, buckets: int) -> np.ndarray:
+    """Which of a chunk's names are repeated in the corpus."""
+    unique, inverse = np.unique(names, return_inverse=True)
     bounds, keep = _bucket_bounds(unique, bits, buckets), np.zeros(len(unique), dtype=bool)
     for s, bucket, packed in zip(*(marks.column(c).to_pylist() for c in ("step", "bucket", "bits"))):
         if s == step:
             a, b = bounds[bucket], bounds[bucket + 1]
             keep[a:b] = np.unpackbits(np.frombuffer(packed, np.uint8), count=b - a)
-    return unique[keep]
+    return keep[inverse]
 
 
 def _texts(table: pa.Table) -> list[bytes]:
@@ -233,8 +234,7 @@ class _Steps:
 
     def remaining(self, chunk: Chunk, marks: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         at, names = self.sample(chunk)
-        repeated = _marked(marks, 1, np.unique(names), SAMPLE_BITS, self.buckets)
-        left = chunk.reaching(at[_member(names, repeated)], self.r, self.length)
+        left = chunk.reaching(at[_marked(marks, 1, names, SAMPLE_BITS, self.buckets)], self.r, self.length)
         return left, chunk.names(left, self.length, self.name_bits)
 
     def publish_sample(self, key: tuple, table: pa.Table) -> pa.Table:
@@ -250,8 +250,7 @@ class _Steps:
     def removed(self, table: pa.Table, marks: pa.Table) -> tuple[Chunk, np.ndarray]:
         chunk = Chunk(_texts(table))
         at, names = self.remaining(chunk, marks)
-        repeated = _marked(marks, 2, np.unique(names), self.name_bits, self.buckets)
-        return chunk, chunk.covered(at[_member(names, repeated)], self.length)
+        return chunk, chunk.covered(at[_marked(marks, 2, names, self.name_bits, self.buckets)], self.length)
 
 
 def _digest_rows(chunk: Chunk, gone: np.ndarray) -> list[tuple]:
@@ -270,7 +269,7 @@ def _run(docs: DataFrame, row: Column, length: int, r: int, chunk_bytes: int, na
     data = F.col("text").cast("string").cast("binary")
     total = docs.select(F.sum(F.octet_length(data)).alias("n")).first()["n"] or 0
     chunks = max(1, -(-total // chunk_bytes))
-    steps = _Steps(length, r, chunks, name_bits)
+    steps = _Steps(length, r, -(-chunks // 2), name_bits)
     chunk = F.pmod(F.xxhash64(F.col("doc_id"), F.octet_length(data)), F.lit(chunks)).cast("int")
     dealt = docs.select(row.alias("row"), data.alias("data"), chunk.alias("chunk")).groupBy("chunk")
     first = dealt.applyInArrow(lambda key, table: steps.publish_sample(key, table), PUBLISHED).groupBy("bucket").applyInArrow(_marker(1), MARKED)
