@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from vectorloom.plans import graph_queries, numeric_queries, relational_queries, topology_queries, vector_queries
+from vectorloom.plans.register import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "graph_queries", "numeric_queries", "relational_queries", "topology_queries", "vector_queries"]
