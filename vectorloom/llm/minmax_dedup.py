@@ -14,8 +14,8 @@ Links are confirmed on the full sets, without listing the pairs of a group:
 3. For documents in buckets whose members still lie in different components, shingles that no other of
    these documents has are counted. Two documents share at most what is left of either, which rules out
    most of those that have only a passage, or a heavily edited original, in common.
-4. Their other leaders are checked, where sizes and packed sketches allow (half of 128 places must agree;
-   the chance to lose a pair of 0.75 is below 1e-9), and components are joined.
+4. Their other leaders are checked, where sizes and packed sketches allow (688 of 1024 low bytes must
+   agree; a pair of 0.75 falls below with a probability of about 1e-9), and components are joined.
 5. In buckets that are still mixed, the pairs across components that pass the same tests are checked.
 
 So every pair that shares a band is confirmed, ruled out by its signature or sizes, or already connected.
@@ -46,10 +46,10 @@ from vectorloom.session import checkpoint
 WIDTH, ROWS, BANDS = 5, 5, 64
 PERMUTATIONS = ROWS * BANDS // 2
 NUMERATOR, DENOMINATOR = 75, 100
-SKETCH = 128
-LEAST_EQUAL = 64
+SKETCH, LEAST_EQUAL = 128, 64
+WIDE, WIDE_EQUAL = 1024, 688
 BROADCAST_IDS = 500_000
-SIGNED = "doc_id long, n_shingles long, set_id binary, bands array<long>, sketch binary"
+SIGNED = "doc_id long, n_shingles long, set_id binary, bands array<long>"
 
 
 @functools.lru_cache(maxsize=4)
@@ -106,28 +106,23 @@ def band_keys(low: np.ndarray, high: np.ndarray, rows: int = ROWS) -> np.ndarray
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """Set size, identity of the set, band keys and packed sketch of every document with an id."""
+    """Set size, identity of the set and band keys of every document with an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 2048):
                 part = batch.slice(start, 2048)
-                sizes, identities, bands, counts, sketches = [], [], [], [0], []
+                sizes, identities, bands, counts = [], [], [], [0]
                 for value in part.column(1):
                     hashes = shingle_set(value.as_py())
                     sizes.append(len(hashes))
                     identities.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
                     if len(hashes):
-                        low, high = min_max(hashes)
-                        bands.append(band_keys(low, high).view(np.int64))
-                        half = SKETCH // 2
-                        sketches.append(_mix(np.concatenate([low[:half], high[:half]])).astype(np.uint8).tobytes())
-                    else:
-                        sketches.append(b"")
+                        bands.append(band_keys(*min_max(hashes)).view(np.int64))
                     counts.append(counts[-1] + (BANDS if len(hashes) else 0))
                 flat = pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64), pa.int64())
-                arrays = [part.column(0), pa.array(sizes, pa.int64()), pa.array(identities, pa.binary()), pa.ListArray.from_arrays(pa.array(counts, pa.int32()), flat), pa.array(sketches, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "set_id", "bands", "sketch"])
+                arrays = [part.column(0), pa.array(sizes, pa.int64()), pa.array(identities, pa.binary()), pa.ListArray.from_arrays(pa.array(counts, pa.int32()), flat)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "set_id", "bands"])
 
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SIGNED)
 
@@ -166,14 +161,40 @@ def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.where((F.lit(DENOMINATOR).cast("long") * F.col("common") >= F.lit(NUMERATOR).cast("long") * union) & (F.col("common") > 0)).select("a", "b").distinct()
 
 
-def shareable(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(rep, able): how many of a document's shingles occur in any other of these documents.
+def describe(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(rep, n_shingles, able, sketch, wide, keys) of the documents with those ids that may still be linked.
 
-    Two of them cannot have more shingles in common than the smaller of these counts.
+    able: how many of a document's shingles occur in any other of these documents; two of them have no more
+    in common than the smaller of these counts, so one whose own count is below 0.75 of its set is left out.
+    sketch and wide: low bytes of 128 and 1024 signature values; keys: low 32 bits of the band keys.
     """
-    each = _sets(docs, ids.withColumnRenamed("rep", "doc_id")).select("doc_id", F.explode("shingles").alias("s"))
-    alone = each.groupBy("s").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep")).where("n = 1")
-    return alone.groupBy("rep").agg(F.count("*").alias("alone"))
+    ids = ids.withColumnRenamed("rep", "doc_id")
+    each = _sets(docs, ids).select("doc_id", F.explode("shingles").alias("s"))
+    alone = each.groupBy("s").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1").groupBy("doc_id").agg(F.count("*").alias("alone"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for rep, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                hashes = value.values.to_numpy().view(np.uint64)
+                low, high = min_max(hashes, WIDE // 2)
+                keys = band_keys(low[:PERMUTATIONS], high[:PERMUTATIONS]).astype("<u4")
+                out.append((rep, len(hashes), _low_bytes(low, high, SKETCH), _low_bytes(low, high, WIDE), keys.tobytes()))
+            parts = list(zip(*out)) or [[]] * 5
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(parts, kinds)], names=["doc_id", "n_shingles", "sketch", "wide", "keys"])
+
+    made = _sets(docs, ids).mapInArrow(run, "doc_id long, n_shingles long, sketch binary, wide binary, keys binary")
+    full = made.join(alone, "doc_id", "left").withColumn("able", F.col("n_shingles") - F.coalesce("alone", F.lit(0)))
+    return full.where(DENOMINATOR * F.col("able") >= NUMERATOR * F.col("n_shingles")).select(F.col("doc_id").alias("rep"), "n_shingles", "able", "sketch", "wide", "keys")
+
+
+def _low_bytes(low: np.ndarray, high: np.ndarray, size: int) -> bytes:
+    return _mix(np.concatenate([low[: size // 2], high[: size // 2]])).astype(np.uint8).tobytes()
+
+
+def _bytes_of(column: pa.Array, rows: int, kind=np.uint8) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(rows, -1)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -205,9 +226,13 @@ def _possible(n_a: np.ndarray, n_b: np.ndarray, able_a: np.ndarray, able_b: np.n
 
 
 def _across(key: tuple, table: pa.Table) -> pa.Table:
-    """Pairs of one bucket in different components whose sketches and sizes allow a link."""
+    """Pairs of one bucket in different components whose sketches and sizes allow a link.
+
+    A pair that meets in several buckets is put out in the first band that it shares only.
+    """
     reps, roots, sizes, ables = (table.column(c).to_numpy() for c in ("rep", "root", "n_shingles", "able"))
-    sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(reps), -1)
+    sketches, wide = (_bytes_of(table.column(c), len(reps)) for c in ("sketch", "wide"))
+    keys, own = _bytes_of(table.column("keys"), len(reps), "<u4"), np.uint32(key[0].as_py() & 0xFFFFFFFF)
     out_a, out_b = [], []
     step = max(1, (1 << 20) // max(1, len(reps)))
     for at in range(0, len(reps), step):
@@ -215,11 +240,16 @@ def _across(key: tuple, table: pa.Table) -> pa.Table:
         able = (roots[rows, None] != roots[None]) & (reps[rows, None] > reps[None])
         able &= _possible(sizes[rows, None], sizes[None], ables[rows, None], ables[None])
         i, j = np.nonzero(able)
-        for lo in range(0, len(i), 1 << 16):
-            ii, jj = i[lo : lo + (1 << 16)] + at, j[lo : lo + (1 << 16)]
+        for lo in range(0, len(i), 1 << 14):
+            ii, jj = i[lo : lo + (1 << 14)] + at, j[lo : lo + (1 << 14)]
             near = (sketches[ii] == sketches[jj]).sum(axis=1) >= LEAST_EQUAL
-            out_a.append(reps[ii[near]])
-            out_b.append(reps[jj[near]])
+            ii, jj = ii[near], jj[near]
+            near = (wide[ii] == wide[jj]).sum(axis=1) >= WIDE_EQUAL
+            ii, jj = ii[near], jj[near]
+            first = (keys[ii] == keys[jj]).argmax(axis=1)
+            here = keys[ii, first] == own
+            out_a.append(reps[ii[here]])
+            out_b.append(reps[jj[here]])
     a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
     b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -234,11 +264,11 @@ def _likely(pairs: DataFrame, traits: DataFrame) -> DataFrame:
                 continue
             column = lambda c: batch.column(batch.schema.get_field_index(c))
             n_a, n_b, able_a, able_b = (column(c).to_numpy() for c in ("n_a", "n_b", "able_a", "able_b"))
-            s_a, s_b = (np.frombuffer(b"".join(column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("s_a", "s_b"))
-            keep = pa.array(_possible(n_a, n_b, able_a, able_b) & ((s_a == s_b).sum(axis=1) >= LEAST_EQUAL))
+            w_a, w_b = (_bytes_of(column(c), batch.num_rows) for c in ("w_a", "w_b"))
+            keep = pa.array(_possible(n_a, n_b, able_a, able_b) & ((w_a == w_b).sum(axis=1) >= WIDE_EQUAL))
             yield pa.RecordBatch.from_arrays([column("a").filter(keep), column("b").filter(keep)], names=["a", "b"])
 
-    side = lambda k: traits.select(F.col("rep").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("able").alias(f"able_{k}"), F.col("sketch").alias(f"s_{k}"))
+    side = lambda k: traits.select(F.col("rep").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("able").alias(f"able_{k}"), F.col("wide").alias(f"w_{k}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
@@ -258,7 +288,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = checkpoint(sign(docs))
     # members of a class have one set, so any member's bands stand for all
     filled = signed.where("n_shingles > 0")
-    reps = checkpoint(filled.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    reps = checkpoint(filled.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")))
 
     banded = reps.select("rep", F.explode("bands").alias("band"))
     leaders = banded.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1").select("band", "leader")
@@ -269,15 +299,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = components(confirm(docs, best))
 
     undecided = checkpoint(_place(shared, roots))
-    able = shareable(docs, undecided.select("rep").distinct())
-    traits = reps.select("rep", "n_shingles", "sketch").join(undecided.select("rep").distinct(), "rep").join(able, "rep", "left")
-    traits = checkpoint(traits.select("rep", "n_shingles", (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("able"), "sketch"))
+    traits = checkpoint(describe(docs, undecided.select("rep").distinct()))
     at = lambda k: roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
     other = ties.select(F.col("rep").alias("a"), F.col("leader").alias("b")).join(at("a"), "a", "left").join(at("b"), "b", "left")
     other = other.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
     roots = components(_stars(roots).unionByName(confirm(docs, _likely(other, traits))))
 
-    pairs = _place(undecided, roots).join(traits, "rep").groupBy("band").applyInArrow(_across, "a long, b long").distinct()
+    pairs = _place(undecided, roots).join(traits, "rep").groupBy("band").applyInArrow(_across, "a long, b long")
     edges = _stars(roots).unionByName(confirm(docs, pairs))
     final = components(edges).withColumnRenamed("node", "rep")
 
