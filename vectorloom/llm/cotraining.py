@@ -1,6 +1,6 @@
 """Document quality by co-training two views: what a text says, and where its page comes from.
 
-The text view sees which words and punctuation runs occur and a few shape numbers; the page view sees
+The text view sees which words, stems of words and punctuation runs occur and a few shape numbers; the page view sees
 source, language and size class. Both are logistic regressions over hashed features. Starting from the
 labelled documents, each view scores a pool of unlabelled ones in every round and hands those it is
 most sure of to the other view as pseudo-labels. At the end each view is calibrated on a fold that
@@ -34,11 +34,19 @@ SCORED = "doc_id long, text_score double, page_score double, score double, kept
 _TOKENS = re.compile(r"[^\W\d_]+|[^\w\s]+").findall
 
 
+STEMS = (4, 5, 6, 7)
+
+
 def text_tokens(text: str) -> set[str]:
     """Distinct lower-cased words and punctuation runs."""
     return set(_TOKENS(text.lower()))
 
 
+def token_features(token: str) -> list[int]:
+    """Buckets of a token and of its proper stems, so that inflected forms share evidence."""
+    return [bucket(token), *(bucket(token[:k] + "*") for k in STEMS if len(token) > k)]
+
+
 def text_shape(text: str) -> list[float]:
     """Shares of upper-case letters, punctuation and digits, log length, mean line length (scaled)."""
     codes = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
@@ -168,7 +176,7 @@ def co_train(text: list[np.ndarray], shapes: np.ndarray, page: list[np.ndarray],
     return QualityModel(by_text, by_page, tuple(ta), tuple(tb), tuple(joint))
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = 6000, pool: int = 3000, seed: int = 5) -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = 8000, pool: int = 3000, seed: int = 5) -> QualityModel:
     """Train on a bounded sample chosen by a hash of the id."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars"))
     named = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic")
@@ -188,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 6000, pool: int = 30
             sources, langs, sizes = (batch.column(k).to_pylist() for k in (3, 4, 5))
             for value, source, lang, size in zip(batch.column(2), sources, langs, sizes):
                 t = value.as_py() or ""
-                text.append(sorted({bucket(x) for x in text_tokens(t)}))
+                text.append(sorted({b for x in text_tokens(t) for b in token_features(x)}))
                 shape.append(text_shape(t))
                 page.append([bucket(x) for x in page_tokens(source, lang, size)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.list_(pa.int32())), pa.array(shape, pa.list_(pa.float64())), pa.array(page, pa.list_(pa.int32()))], names=["doc_id", "y", "text", "shape", "page"])
@@ -196,8 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 6000, pool: int = 30
     made = sample.select("doc_id", "y", "text", "source", "lang", "n_chars").mapInArrow(features, "doc_id long, y double, text array<int>, shape array<double>, page array<int>")
     rows = made.limit(2 * labelled + 2 * pool).toArrow().sort_by("doc_id")
     y = np.array(rows.column("y").to_pylist(), dtype=float)
-    text = [np.array(v, dtype=np.int64) for v in rows.column("text").to_pylist()]
-    page = [np.array(v, dtype=np.int64) for v in rows.column("page").to_pylist()]
+    text, page = (_sets_of(rows.column(c).combine_chunks()) for c in ("text", "page"))
     shapes = np.array(rows.column("shape").to_pylist(), dtype=float).reshape(-1, SHAPES)
     known, rest = np.flatnonzero(~np.isnan(y)), np.flatnonzero(np.isnan(y))
     ids = rows.column("doc_id").to_pylist()
@@ -207,16 +214,22 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 6000, pool: int = 30
     return co_train([text[k] for k in known], shapes[known], [page[k] for k in known], y[known], [text[k] for k in rest], shapes[rest], [page[k] for k in rest], fold)
 
 
+def _sets_of(column: pa.ListArray) -> list[np.ndarray]:
+    """One integer array per row."""
+    if not len(column):
+        return []
+    return np.split(column.flatten().to_numpy(), column.offsets.to_numpy()[1:-1] - column.offsets[0].as_py())
+
+
 class _Weights(dict):
-    """token -> weight, filled on demand up to a bounded size."""
+    """token -> its features that have a weight, filled on demand up to a bounded size."""
 
     def __init__(self, weights: np.ndarray, limit: int = 1 << 19):
         super().__init__()
         self.table, self.limit = weights, limit
 
-    def __missing__(self, token: str) -> tuple[int, float]:
-        place = bucket(token)
-        found = (place, float(self.table[place]))
+    def __missing__(self, token: str) -> list[tuple[int, float]]:
+        found = [(b, float(self.table[b])) for b in token_features(token) if self.table[b]]
         if len(self) < self.limit:
             self[token] = found
         return found
@@ -237,8 +250,8 @@ def score(docs: DataFrame, model: QualityModel, least: float = 0.5) -> DataFrame
                     out.append((0.5, 0.5, 0.5, True))
                     continue
                 text = value.as_py() or ""
-                # tokens that share a bucket count once, as in training
-                hit = {p: w for p, w in map(weights.__getitem__, text_tokens(text)) if w}
+                # features that share a bucket count once, as in training
+                hit = {b: w for found in map(weights.__getitem__, text_tokens(text)) for b, w in found}
                 a = model.text.bias + sum(sorted(hit.values())) + float(np.dot(text_shape(text), model.text.shape))
                 b = model.page.bias + sum(float(model.page.weights[bucket(x)]) for x in page_tokens(source, lang, size))
                 a, b = model.text_scale[0] + model.text_scale[1] * a, model.page_scale[0] + model.page_scale[1] * b
