@@ -69,8 +69,8 @@ def cut_windows(data: bytes, length: int = WINDOW) -> np.ndarray:
     return ids.reshape(-1, length)
 
 
-def train(texts: list[str], labels: list[str], seed: int = 7, epochs: int = 4, filters: int = 16, dim: int = 8, rate: float = 0.01, batch: int = 64) -> ByteConvNet:
-    """Fit the network by Adam on the windows of the labelled texts."""
+def train(texts: list[str], labels: list[str], seed: int = 7, epochs: int = 4, least_steps: int = 600, filters: int = 16, dim: int = 8, rate: float = 0.01, batch: int = 64) -> ByteConvNet:
+    """Fit the network by Adam on the windows of the labelled texts; small samples are passed over more often."""
     rng = np.random.default_rng(seed)
     classes = sorted(set(labels))
     widest, total = max(WIDTHS), filters * len(WIDTHS)
@@ -95,7 +95,8 @@ def train(texts: list[str], labels: list[str], seed: int = 7, epochs: int = 4, f
     names = ("embed", "filters", "bias", "out", "out_bias")
     first = {k: np.zeros_like(getattr(net, k)) for k in names}
     second = {k: np.zeros_like(getattr(net, k)) for k in names}
-    step = 0
+    step, epochs = 0, max(epochs, -(-least_steps // -(-len(x) // batch)))
+    decay = 0.1 ** (1 / epochs)
     for _ in range(epochs):
         order = rng.permutation(len(x))
         for at in range(0, len(order), batch):
@@ -108,7 +109,7 @@ def train(texts: list[str], labels: list[str], seed: int = 7, epochs: int = 4, f
                 change = rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
                 setattr(net, k, (getattr(net, k) - change).astype(np.float32))
             net.embed[256] = 0
-        rate *= 0.6
+        rate *= decay
     return net
 
 
@@ -210,7 +211,7 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, fit(docs))
 
 
-def accept(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
+def accept(docs: DataFrame, least_score: float = 0.3) -> DataFrame:
     """The documents, all columns, whose language is told with at least that score; the rest go."""
     net = fit(docs)
     columns = docs.columns
