@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vectorloom.llm.memory import releasing, small_batches
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -160,7 +162,7 @@ def fit(docs: DataFrame, per_language: int = 500, slice_chars: int = 1024, max_l
     return train([r["part"] for r in rows], [r["lang"] for r in rows], seed)
 
 
-def predict(docs: DataFrame, net: ByteConvNet, block: int = 512) -> DataFrame:
+def predict(docs: DataFrame, net: ByteConvNet, block: int = 128) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every whole text; no shuffle."""
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,9 +203,10 @@ def predict(docs: DataFrame, net: ByteConvNet, block: int = 512) -> DataFrame:
                 scores.append(float(shares[i, best[i]]) if windows_of[i] else 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
+    small_batches(docs.sparkSession)
     inputs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
     inputs = inputs.withColumn("letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    return inputs.mapInArrow(scored, PREDICTED)
+    return inputs.mapInArrow(releasing(scored), PREDICTED)
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -220,6 +223,7 @@ def accept(docs: DataFrame, least_score: float = 0.3) -> DataFrame:
 
 
 def _accept_rows(rows: DataFrame, net: ByteConvNet, columns: list[str], least: float) -> DataFrame:
+    small_batches(rows.sparkSession)
     whole = rows.schema["row"].dataType
     doc_id, text = F.col("row.doc_id").cast("long"), F.col("row.text").cast("string")
 
@@ -229,7 +233,7 @@ def _accept_rows(rows: DataFrame, net: ByteConvNet, columns: list[str], least: f
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep)], names=["row"])
 
     inputs = rows.select("row", doc_id.alias("doc_id"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    return inputs.mapInArrow(filtered, f"row {whole.simpleString()}").select(*[F.col(f"row.`{c}`").alias(c) for c in columns])
+    return inputs.mapInArrow(releasing(filtered), f"row {whole.simpleString()}").select(*[F.col(f"row.`{c}`").alias(c) for c in columns])
 
 
 def _keep(batch: pa.RecordBatch, net: ByteConvNet, least: float) -> pa.Array:
@@ -239,7 +243,7 @@ def _keep(batch: pa.RecordBatch, net: ByteConvNet, least: float) -> pa.Array:
             keep.append(False)
             continue
         windows = cut_windows(text.as_py().encode("utf-8", "replace"))
-        total = sum(net.log_probabilities(windows[at : at + 512]).sum(axis=0) for at in range(0, len(windows), 512)) / len(windows)
+        total = sum(net.log_probabilities(windows[at : at + 128]).sum(axis=0) for at in range(0, len(windows), 128)) / len(windows)
         share = np.exp(total - total.max())
         keep.append(bool(share.max() / share.sum() >= least))
     return pa.array(keep, pa.bool_())

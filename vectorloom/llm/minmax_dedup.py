@@ -41,6 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vectorloom.llm.memory import releasing, small_batches
 from vectorloom.session import checkpoint
 
 WIDTH, ROWS, BANDS = 5, 5, 64
@@ -124,7 +125,7 @@ def sign(docs: DataFrame) -> DataFrame:
                 arrays = [part.column(0), pa.array(sizes, pa.int64()), pa.array(identities, pa.binary()), pa.ListArray.from_arrays(pa.array(counts, pa.int32()), flat)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "set_id", "bands"])
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SIGNED)
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(releasing(run), SIGNED)
 
 
 def _only(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
@@ -146,7 +147,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64()))], names=["doc_id", "shingles"])
 
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _only(own, ids, "doc_id").mapInArrow(run, "doc_id long, shingles array<long>")
+    return _only(own, ids, "doc_id").mapInArrow(releasing(run), "doc_id long, shingles array<long>")
 
 
 def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -184,7 +185,7 @@ def describe(docs: DataFrame, ids: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(parts, kinds)], names=["doc_id", "n_shingles", "sketch", "wide", "keys"])
 
-    made = _sets(docs, ids).mapInArrow(run, "doc_id long, n_shingles long, sketch binary, wide binary, keys binary")
+    made = _sets(docs, ids).mapInArrow(releasing(run), "doc_id long, n_shingles long, sketch binary, wide binary, keys binary")
     full = made.join(alone, "doc_id", "left").withColumn("able", F.col("n_shingles") - F.coalesce("alone", F.lit(0)))
     return full.where(DENOMINATOR * F.col("able") >= NUMERATOR * F.col("n_shingles")).select(F.col("doc_id").alias("rep"), "n_shingles", "able", "sketch", "wide", "keys")
 
@@ -269,7 +270,7 @@ def _likely(pairs: DataFrame, traits: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([column("a").filter(keep), column("b").filter(keep)], names=["a", "b"])
 
     side = lambda k: traits.select(F.col("rep").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("able").alias(f"able_{k}"), F.col("wide").alias(f"w_{k}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(releasing(run), "a long, b long")
 
 
 def _place(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -285,6 +286,7 @@ def _stars(roots: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest linked id, its own included) and kept, per document."""
+    small_batches(docs.sparkSession)
     signed = checkpoint(sign(docs))
     # members of a class have one set, so any member's bands stand for all
     filled = signed.where("n_shingles > 0")

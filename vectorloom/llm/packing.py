@@ -25,6 +25,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vectorloom.llm.memory import releasing, small_batches
 from vectorloom.session import checkpoint
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -75,7 +76,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> D
             names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=list(names))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tokenise, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(releasing(tokenise), PIECES)
 
 
 def _fill(counts: dict[int, int], target: int) -> tuple[int, list[tuple[int, int, int]]]:
@@ -153,6 +154,7 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k", capacity: int = 2048,
     is numbered by many tasks; the salts' totals give each group its first rank.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     pieces = checkpoint(cut_pieces(docs, tokenizer, capacity, end_id))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # <= capacity rows
     rows = _assignment(minimum_slack_plan(histogram, capacity))

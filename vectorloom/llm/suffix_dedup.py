@@ -41,6 +41,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vectorloom.llm.memory import release, small_batches
+
 LENGTH = 400
 CHUNK_BYTES = 4 << 20
 BLOCK = 1 << 20
@@ -240,12 +242,18 @@ class _Steps:
     def publish_sample(self, key: tuple, table: pa.Table) -> pa.Table:
         chunk = Chunk(_texts(table))
         at, names = self.sample(chunk)
-        return _publish(key[0].as_py(), *_distinct(chunk, at, names), SAMPLE_BITS, self.buckets)
+        out = _publish(key[0].as_py(), *_distinct(chunk, at, names), SAMPLE_BITS, self.buckets)
+        del chunk, at, names
+        release()
+        return out
 
     def publish_remaining(self, key: tuple, table: pa.Table, marks: pa.Table) -> pa.Table:
         chunk = Chunk(_texts(table))
         at, names = self.remaining(chunk, marks)
-        return _publish(key[0].as_py(), *_distinct(chunk, at, names), self.name_bits, self.buckets)
+        out = _publish(key[0].as_py(), *_distinct(chunk, at, names), self.name_bits, self.buckets)
+        del chunk, at, names
+        release()
+        return out
 
     def removed(self, table: pa.Table, marks: pa.Table) -> tuple[Chunk, np.ndarray]:
         chunk = Chunk(_texts(table))
@@ -269,6 +277,7 @@ def _run(docs: DataFrame, row: Column, length: int, r: int, chunk_bytes: int, na
     data = F.col("text").cast("string").cast("binary")
     total = docs.select(F.sum(F.octet_length(data)).alias("n")).first()["n"] or 0
     chunks = max(1, -(-total // chunk_bytes))
+    small_batches(docs.sparkSession)
     steps = _Steps(length, r, -(-chunks // 2), name_bits)
     chunk = F.pmod(F.xxhash64(F.col("doc_id"), F.octet_length(data)), F.lit(chunks)).cast("int")
     dealt = docs.select(row.alias("row"), data.alias("data"), chunk.alias("chunk")).groupBy("chunk")
@@ -277,7 +286,9 @@ def _run(docs: DataFrame, row: Column, length: int, r: int, chunk_bytes: int, na
     marks = first.unionByName(second).groupBy("chunk")
 
     def last(key: tuple, table: pa.Table, marked: pa.Table) -> pa.Table:
-        return finish(table, *steps.removed(table, marked))
+        out = finish(table, *steps.removed(table, marked))
+        release()
+        return out
 
     return dealt.cogroup(marks).applyInArrow(last, schema)
 
