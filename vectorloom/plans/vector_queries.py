@@ -219,7 +219,7 @@ def _relative(spark, sf_dir, express):
     import numpy as np
 
     rows = _anchor_rows(spark, sf_dir)
-    names = F.array(*[F.lit(x["vec_id"]) for x in rows])
+    names = F.array(*[F.lit(x["vec_id"]).cast("long") for x in rows])
     out = express(embeddings(spark, sf_dir), "embedding", np.array([x["v"] for x in rows]))
     return out.select("vec_id", F.posexplode("relative").alias("p", "value")).select("vec_id", F.element_at(names, F.col("p") + 1).alias("anchor"), r("value").alias("value"))
 
