@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -35,11 +36,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's shared folder."""
+    """Cut the lineage with a reliable checkpoint in the cluster's shared folder.
+
+    Shuffle files of what the checkpoint replaces go only when the driver collects its garbage, which an
+    idle driver may not do for long; it is asked to, so that iterative jobs do not fill the disks.
+    """
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return done
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
