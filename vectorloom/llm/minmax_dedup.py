@@ -163,11 +163,11 @@ def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def describe(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(rep, n_shingles, able, sketch, wide, keys) of the documents with those ids that may still be linked.
+    """(rep, n_shingles, able, wide, keys) of the documents with those ids that may still be linked.
 
     able: how many of a document's shingles occur in any other of these documents; two of them have no more
     in common than the smaller of these counts, so one whose own count is below 0.75 of its set is left out.
-    sketch and wide: low bytes of 128 and 1024 signature values; keys: low 32 bits of the band keys.
+    wide: low bytes of 1024 signature values, minima first; keys: low 32 bits of the band keys.
     """
     ids = ids.withColumnRenamed("rep", "doc_id")
     each = _sets(docs, ids).select("doc_id", F.explode("shingles").alias("s"))
@@ -180,18 +180,14 @@ def describe(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 hashes = value.values.to_numpy().view(np.uint64)
                 low, high = min_max(hashes, WIDE // 2)
                 keys = band_keys(low[:PERMUTATIONS], high[:PERMUTATIONS]).astype("<u4")
-                out.append((rep, len(hashes), _low_bytes(low, high, SKETCH), _low_bytes(low, high, WIDE), keys.tobytes()))
-            parts = list(zip(*out)) or [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(parts, kinds)], names=["doc_id", "n_shingles", "sketch", "wide", "keys"])
+                out.append((rep, len(hashes), _mix(np.concatenate([low, high])).astype(np.uint8).tobytes(), keys.tobytes()))
+            parts = list(zip(*out)) or [[]] * 4
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(parts, kinds)], names=["doc_id", "n_shingles", "wide", "keys"])
 
-    made = _sets(docs, ids).mapInArrow(releasing(run), "doc_id long, n_shingles long, sketch binary, wide binary, keys binary")
+    made = _sets(docs, ids).mapInArrow(releasing(run), "doc_id long, n_shingles long, wide binary, keys binary")
     full = made.join(alone, "doc_id", "left").withColumn("able", F.col("n_shingles") - F.coalesce("alone", F.lit(0)))
-    return full.where(DENOMINATOR * F.col("able") >= NUMERATOR * F.col("n_shingles")).select(F.col("doc_id").alias("rep"), "n_shingles", "able", "sketch", "wide", "keys")
-
-
-def _low_bytes(low: np.ndarray, high: np.ndarray, size: int) -> bytes:
-    return _mix(np.concatenate([low[: size // 2], high[: size // 2]])).astype(np.uint8).tobytes()
+    return full.where(DENOMINATOR * F.col("able") >= NUMERATOR * F.col("n_shingles")).select(F.col("doc_id").alias("rep"), "n_shingles", "able", "wide", "keys")
 
 
 def _bytes_of(column: pa.Array, rows: int, kind=np.uint8) -> np.ndarray:
@@ -232,7 +228,8 @@ def _across(key: tuple, table: pa.Table) -> pa.Table:
     A pair that meets in several buckets is put out in the first band that it shares only.
     """
     reps, roots, sizes, ables = (table.column(c).to_numpy() for c in ("rep", "root", "n_shingles", "able"))
-    sketches, wide = (_bytes_of(table.column(c), len(reps)) for c in ("sketch", "wide"))
+    wide = _bytes_of(table.column("wide"), len(reps))
+    sketches = np.concatenate([wide[:, : SKETCH // 2], wide[:, WIDE // 2 : (WIDE + SKETCH) // 2]], axis=1)
     keys, own = _bytes_of(table.column("keys"), len(reps), "<u4"), np.uint32(key[0].as_py() & 0xFFFFFFFF)
     out_a, out_b = [], []
     step = max(1, (1 << 20) // max(1, len(reps)))
