@@ -134,6 +134,12 @@ def _only(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if small else ids, column, "left_semi")
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents with those distinct ids."""
+    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _only(own, ids, "doc_id")
+
+
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, shingles) of the documents with those distinct ids."""
 
@@ -146,8 +152,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 flat = np.concatenate(each) if each else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64()))], names=["doc_id", "shingles"])
 
-    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _only(own, ids, "doc_id").mapInArrow(releasing(run), "doc_id long, shingles array<long>")
+    return _texts(docs, ids).mapInArrow(releasing(run), "doc_id long, shingles array<long>")
 
 
 def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -177,7 +182,7 @@ def describe(docs: DataFrame, ids: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for rep, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                hashes = value.values.to_numpy().view(np.uint64)
+                hashes = shingle_set(value.as_py())
                 low, high = min_max(hashes, WIDE // 2)
                 keys = band_keys(low[:PERMUTATIONS], high[:PERMUTATIONS]).astype("<u4")
                 out.append((rep, len(hashes), _mix(np.concatenate([low, high])).astype(np.uint8).tobytes(), keys.tobytes()))
@@ -185,7 +190,7 @@ def describe(docs: DataFrame, ids: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(parts, kinds)], names=["doc_id", "n_shingles", "wide", "keys"])
 
-    made = _sets(docs, ids).mapInArrow(releasing(run), "doc_id long, n_shingles long, wide binary, keys binary")
+    made = _texts(docs, ids).mapInArrow(releasing(run), "doc_id long, n_shingles long, wide binary, keys binary")
     full = made.join(alone, "doc_id", "left").withColumn("able", F.col("n_shingles") - F.coalesce("alone", F.lit(0)))
     return full.where(DENOMINATOR * F.col("able") >= NUMERATOR * F.col("n_shingles")).select(F.col("doc_id").alias("rep"), "n_shingles", "able", "wide", "keys")
 

@@ -32,6 +32,13 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 ASSIGNED = "length long, lo long, hi long, per_sequence long, sequence_base long, offset_base long"
 
 
+@functools.lru_cache(maxsize=4)
+def _whole_tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 @functools.lru_cache(maxsize=4)
 def _encoder(name: str):
     """text -> ids as the named tokenizer file gives them.
@@ -40,11 +47,13 @@ def _encoder(name: str):
     about four times as fast. Texts that the rank form cannot express (those holding the special
     string, or which its splitter refuses) go through the other form.
     """
+    import json
+
     import tiktoken
-    from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
-    special = [t.content for t in slow.get_added_tokens_decoder().values()]
+    path = public_tokenizers.path(f"{name}.json")
+    with open(path, encoding="utf-8") as file:
+        special = [t["content"] for t in json.load(file)["added_tokens"]]
     with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines)}
     fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -55,7 +64,7 @@ def _encoder(name: str):
                 return fast.encode_ordinary(text)
             except ValueError:
                 pass
-        return slow.encode(text, add_special_tokens=False).ids
+        return _whole_tokenizer(path).encode(text, add_special_tokens=False).ids
 
     return encode
 

@@ -44,8 +44,8 @@ from pyspark.sql import functions as F
 from vectorloom.llm.memory import release, small_batches
 
 LENGTH = 400
-CHUNK_BYTES = 4 << 20
-BLOCK = 1 << 20
+CHUNK_BYTES = 2 << 20
+BLOCK = 1 << 19
 SAMPLE_BITS, NAME_BITS = 48, 64
 PUBLISHED = "bucket int, chunk int, payload binary"
 MARKED = "chunk int, step int, bucket int, bits binary"
@@ -140,7 +140,7 @@ class Chunk:
 
     def covered(self, starts: np.ndarray, length: int) -> np.ndarray:
         """Mask of the bytes covered by strings of that length at the given positions."""
-        latest = np.full(len(self.bytes), -length, dtype=np.int64)
+        latest = np.full(len(self.bytes), -length, dtype=self.places.dtype)
         latest[starts] = starts
         return self.places - np.maximum.accumulate(latest) < length if len(latest) else np.zeros(0, bool)
 
@@ -278,7 +278,7 @@ def _run(docs: DataFrame, row: Column, length: int, r: int, chunk_bytes: int, na
     total = docs.select(F.sum(F.octet_length(data)).alias("n")).first()["n"] or 0
     chunks = max(1, -(-total // chunk_bytes))
     small_batches(docs.sparkSession)
-    steps = _Steps(length, r, -(-chunks // 2), name_bits)
+    steps = _Steps(length, r, -(-chunks // 8), name_bits)
     chunk = F.pmod(F.xxhash64(F.col("doc_id"), F.octet_length(data)), F.lit(chunks)).cast("int")
     dealt = docs.select(row.alias("row"), data.alias("data"), chunk.alias("chunk")).groupBy("chunk")
     first = dealt.applyInArrow(lambda key, table: steps.publish_sample(key, table), PUBLISHED).groupBy("bucket").applyInArrow(_marker(1), MARKED)
