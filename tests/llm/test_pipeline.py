@@ -1,7 +1,10 @@
 """The pipeline's stages against their operators, and its result as a whole."""
 
+import re
 from collections import Counter
 
+import numpy as np
+
 import corpus_pipeline
 from tests.conftest import SF_SMALL
 from vectorloom.llm import language_id, minmax_dedup, mixing, suffix_dedup
@@ -30,3 +33,36 @@ def test_stages_and_run(spark, tmp_path):
     assert seen[0] >= seen[1] == seen[2] and seen[4] >= seen[3] > 0
     last = Counter(map(tuple, docs.select("doc_id", "start", "length", "ids_crc32").collect()))
     assert Counter(map(tuple, corpus_pipeline.run(spark, SF_SMALL).select("doc_id", "start", "length", "ids_crc32").collect())) == last
+
+
+def test_suffix_stage_cuts_passages_of_over_fifty_words(spark):
+    rng = np.random.default_rng(6)
+    words = lambda n, size: ["".join(rng.choice(list("abcdefgh"), size)) for _ in range(n)]
+    letters, short, fifty = words(51, 1), words(51, 4), words(50, 6)
+    rows, expected = [], {}
+    for k, passage in enumerate((letters, short, fifty)):
+        for copy in range(2):
+            head, tail = words(30 + copy, 7), words(20, 7)
+            gap = "\n" if copy else " "
+            rows.append((2 * k + copy, " ".join(head) + gap + gap.join(passage) + " " + " ".join(tail)))
+            cut = " ".join(head) + gap + " " + " ".join(tail)
+            expected[2 * k + copy] = rows[-1][1] if passage is fifty else cut
+    rows += [(10, None), (11, ""), (12, " \n"), (13, "é " * 50), (14, "one"), (15, " ".join(letters))]
+    expected |= {10: None, 11: "", 12: " \n", 13: "é " * 50, 14: "one", 15: ""}
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stage = dict(corpus_pipeline.STAGES)["suffix_dedup"]
+    assert {r.doc_id: r.text for r in stage(spark, docs, "").collect()} == expected
+
+
+def test_passages_of_words_match_brute_force(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    spans = {i: [m.span() for m in re.finditer(rb"[^\x20\x09-\x0d]+", t)] for i, t in texts.items()}
+    passage = lambda i, k: b" ".join(texts[i][a:b] for a, b in spans[i][k : k + 51])
+    seen = Counter(passage(i, k) for i in texts for k in range(len(spans[i]) - 50))
+    kept = {r.doc_id: r.text for r in suffix_dedup.remove_repeats(docs, words=51, chunk_bytes=100_000).collect()}
+    for (i, t), mask in zip(texts.items(), suffix_dedup.brute_force(list(texts.values()), 400)):
+        for k in range(len(spans[i]) - 50):
+            if seen[passage(i, k)] > 1:
+                mask[spans[i][k][0] : spans[i][k + 50][1]] = True
+        assert kept[i] == np.frombuffer(t, np.uint8)[~mask].tobytes().decode("utf-8", "ignore"), i

@@ -1,6 +1,8 @@
 """Removal of repeated byte strings by a distributed difference-cover algorithm.
 
 Every byte covered by a string of ``length`` bytes that starts at least twice in the corpus is removed.
+``remove_repeats`` also removes every passage of ``words`` words that starts at least twice, however few
+bytes it has: the same steps then run over a text's words, each a hash of its bytes, instead of its bytes.
 A full distributed suffix array of the corpus would move some twelve bytes for two thirds of all
 suffixes, tens of times the input; as only prefixes of a fixed length matter, the algorithm works with
 a longer period and drops suffixes that cannot repeat between its steps:
@@ -23,6 +25,9 @@ text exchange is reused.
 Names are compared instead of texts: names of 64 bits make a false match of two different strings
 likely only beyond some 10^9 candidate suffixes; ``name_bits`` says how many are used in step 4.
 
+Words are runs of bytes other than ASCII white space; the white space between them does not count when
+passages are compared, and goes with a passage.
+
 Edge cases: null and empty texts have nothing to remove; equal documents remove each other if they are
 long enough; repeated rows count as separate documents; an empty table gives an empty result. A
 document must fit in a task, as a cell of a table does; work arrays take about 20 bytes per byte of a
@@ -33,7 +38,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import re
 import struct
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +51,7 @@ from pyspark.sql import functions as F
 from vectorloom.llm.memory import release, small_batches
 
 LENGTH = 400
+WORDS = 51
 CHUNK_BYTES = 2 << 20
 BLOCK = 1 << 19
 SAMPLE_BITS, NAME_BITS = 48, 64
@@ -84,6 +92,13 @@ def _hash_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(values, dtype=np.uint64), powers(multiplier), powers(pow(multiplier, -1, 1 << 64))
 
 
+def _mix(hashes: np.ndarray) -> np.ndarray:
+    hashes ^= hashes >> np.uint64(29)
+    hashes *= np.uint64(0xBF58476D1CE4E5B9)
+    hashes ^= hashes >> np.uint64(32)
+    return hashes
+
+
 class Chunk:
     """The distinct texts of a chunk, one after the other, with the place of each byte's document."""
 
@@ -102,6 +117,10 @@ class Chunk:
         self.copied = np.repeat(copies > 1, sizes)
         self.places = np.arange(len(self.bytes), dtype=kind)
 
+    def values(self, lo: int, hi: int) -> np.ndarray:
+        """A random number for each byte there, equal for equal bytes."""
+        return _hash_tables()[0][self.bytes[lo:hi]]
+
     def sampled(self, r: int, length: int) -> np.ndarray:
         """Sampled positions with a whole block of length - v + 1 bytes in their document."""
         v, members = difference_cover(r)
@@ -112,27 +131,25 @@ class Chunk:
 
     def names(self, at: np.ndarray, length: int, bits: int) -> np.ndarray:
         """Hashes of the strings of that length at the given ascending positions."""
-        table, powers, inverse = _hash_tables()
+        _, powers, inverse = _hash_tables()
         out = np.empty(len(at), dtype=np.uint64)
-        for lo in range(0, len(self.bytes), BLOCK):
+        for lo in range(0, len(self.places), BLOCK):
             a, b = np.searchsorted(at, (lo, lo + BLOCK))
             if a == b:
                 continue
-            part = self.bytes[lo : lo + BLOCK + length]
+            part = self.values(lo, lo + BLOCK + length)
             sums = np.zeros(len(part) + 1, dtype=np.uint64)
-            np.cumsum(table[part] * powers[: len(part)], out=sums[1:])
+            np.cumsum(part * powers[: len(part)], out=sums[1:])
             here = at[a:b] - lo
             out[a:b] = (sums[here + length] - sums[here]) * inverse[here]
-        out ^= out >> np.uint64(29)
-        out *= np.uint64(0xBF58476D1CE4E5B9)
-        out ^= out >> np.uint64(32)
+        _mix(out)
         return out >> np.uint64(64 - bits) if bits < 64 else out
 
     def reaching(self, marked: np.ndarray, r: int, length: int) -> np.ndarray:
         """Suffixes of at least length bytes that meet a marked sampled position within v bytes."""
         v, _ = difference_cover(r)
         far = np.iinfo(self.places.dtype).max
-        following = np.full(len(self.bytes), far, dtype=self.places.dtype)
+        following = np.full(len(self.places), far, dtype=self.places.dtype)
         following[marked] = marked
         following = np.minimum.accumulate(following[::-1])[::-1]
         near = (following < self.end_of) & (following - self.places < v) & (self.places + length <= self.end_of)
@@ -145,6 +162,50 @@ class Chunk:
         return self.places - np.maximum.accumulate(latest) < length if len(latest) else np.zeros(0, bool)
 
 
+class Words(Chunk):
+    """The words of a chunk's texts in place of their bytes."""
+
+    def __init__(self, chunk: Chunk):
+        self.bytes = chunk.bytes
+        space = (self.bytes == 32) | ((self.bytes >= 9) & (self.bytes <= 13))
+        before, after = np.ones(len(space), bool), np.ones(len(space), bool)
+        before[1:], after[:-1] = space[:-1], space[1:]
+        edges = chunk.starts[chunk.ends > chunk.starts]
+        before[edges], after[edges[1:] - 1] = True, True
+        kind = chunk.places.dtype
+        self.first, self.last = np.flatnonzero(before & ~space).astype(kind), (np.flatnonzero(after & ~space) + 1).astype(kind)
+        self.hashes = self._hashed(space)
+        starts, ends = np.searchsorted(self.first, chunk.starts), np.searchsorted(self.first, chunk.ends)
+        self.start_of, self.end_of = np.repeat(starts.astype(kind), ends - starts), np.repeat(ends.astype(kind), ends - starts)
+        self.copied = chunk.copied[self.first]
+        self.places = np.arange(len(self.first), dtype=kind)
+
+    def _hashed(self, space: np.ndarray) -> np.ndarray:
+        table, powers, _ = _hash_tables()
+        out = np.empty(len(self.first), dtype=np.uint64)
+        for lo in range(0, len(self.bytes), BLOCK):
+            a, b = np.searchsorted(self.first, (lo, lo + BLOCK))
+            if a == b:
+                continue
+            base, end = int(self.first[a]), int(self.last[b - 1])
+            at = self.first[a:b] - base
+            within = np.arange(end - base) - np.repeat(at, np.diff(at, append=end - base))
+            part = table[self.bytes[base:end]] * powers[within % BLOCK]
+            part[space[base:end]] = 0
+            out[a:b] = np.add.reduceat(part, at)
+        return _mix(out)
+
+    def values(self, lo: int, hi: int) -> np.ndarray:
+        return self.hashes[lo:hi]
+
+    def covered(self, starts: np.ndarray, length: int) -> np.ndarray:
+        """Mask of the bytes from the first to the last word of the passages at the given words."""
+        depth = np.zeros(len(self.bytes) + 1, dtype=np.int32)
+        np.add.at(depth, self.first[starts], 1)
+        np.add.at(depth, self.last[starts + length - 1], -1)
+        return np.cumsum(depth[:-1], out=depth[:-1]) > 0
+
+
 def _distinct(chunk: Chunk, at: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct names, and which of them occur in the chunk more than once."""
     unique, counts = np.unique(names, return_counts=True)
@@ -179,11 +240,11 @@ def unpack_names(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(names, dtype=np.uint64), twice
 
 
-def _publish(chunk_id: int, unique: np.ndarray, twice: np.ndarray, bits: int, buckets: int) -> pa.Table:
+def _publish(chunk_id: int, unique: np.ndarray, twice: np.ndarray, bits: int, buckets: int, offset: int) -> pa.Table:
     bounds = _bucket_bounds(unique, bits, buckets)
     used = np.flatnonzero(np.diff(bounds))
     blobs = [pack_names(unique[bounds[k] : bounds[k + 1]], twice[bounds[k] : bounds[k + 1]]) for k in used]
-    return pa.table({"bucket": pa.array(used, pa.int32()), "chunk": pa.array([chunk_id] * len(used), pa.int32()), "payload": pa.array(blobs, pa.binary())})
+    return pa.table({"bucket": pa.array(used + offset, pa.int32()), "chunk": pa.array([chunk_id] * len(used), pa.int32()), "payload": pa.array(blobs, pa.binary())})
 
 
 def _marker(step: int):
@@ -208,13 +269,13 @@ def _member(values: np.ndarray, of: np.ndarray) -> np.ndarray:
     return of[np.minimum(np.searchsorted(of, values), len(of) - 1)] == values
 
 
-def _marked(marks: pa.Table, step: int, names: np.ndarray, bits: int, buckets: int) -> np.ndarray:
+def _marked(marks: pa.Table, step: int, names: np.ndarray, bits: int, buckets: int, offset: int) -> np.ndarray:
     """Which of a chunk's names are repeated in the corpus."""
     unique, inverse = np.unique(names, return_inverse=True)
     bounds, keep = _bucket_bounds(unique, bits, buckets), np.zeros(len(unique), dtype=bool)
     for s, bucket, packed in zip(*(marks.column(c).to_pylist() for c in ("step", "bucket", "bits"))):
-        if s == step:
-            a, b = bounds[bucket], bounds[bucket + 1]
+        if s == step and offset <= bucket < offset + buckets:
+            a, b = bounds[bucket - offset], bounds[bucket - offset + 1]
             keep[a:b] = np.unpackbits(np.frombuffer(packed, np.uint8), count=b - a)
     return keep[inverse]
 
@@ -223,42 +284,64 @@ def _texts(table: pa.Table) -> list[bytes]:
     return [v or b"" for v in table.column("data").to_pylist()]
 
 
-class _Steps:
-    """What a chunk does in each step; everything is recomputed from its texts, so no state is kept."""
+class _Rule:
+    """Repeats of one length in bytes or words; names of different rules have ranges of their own."""
 
-    def __init__(self, length: int, r: int, buckets: int, name_bits: int):
-        self.length, self.r, self.buckets, self.name_bits = length, r, buckets, name_bits
+    def __init__(self, of, length: int, r: int, buckets: int, offset: int, name_bits: int):
+        self.of, self.length, self.r, self.name_bits = of, length, r, name_bits
+        self.ranges = (buckets, offset)
         self.block = length - difference_cover(r)[0] + 1
+        if self.block < 1:
+            raise ValueError(f"a cover of r = {r} is too wide for length {length}")
+
+    def sample(self, view: Chunk) -> tuple[np.ndarray, np.ndarray]:
+        at = view.sampled(self.r, self.length)
+        return at, view.names(at, self.block, SAMPLE_BITS)
+
+    def remaining(self, view: Chunk, marks: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        at, names = self.sample(view)
+        left = view.reaching(at[_marked(marks, 1, names, SAMPLE_BITS, *self.ranges)], self.r, self.length)
+        return left, view.names(left, self.length, self.name_bits)
 
-    def sample(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-        at = chunk.sampled(self.r, self.length)
-        return at, chunk.names(at, self.block, SAMPLE_BITS)
+    def publish_sample(self, key: int, chunk: Chunk) -> pa.Table:
+        view = self.of(chunk)
+        return _publish(key, *_distinct(view, *self.sample(view)), SAMPLE_BITS, *self.ranges)
 
-    def remaining(self, chunk: Chunk, marks: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        at, names = self.sample(chunk)
-        left = chunk.reaching(at[_marked(marks, 1, names, SAMPLE_BITS, self.buckets)], self.r, self.length)
-        return left, chunk.names(left, self.length, self.name_bits)
+    def publish_remaining(self, key: int, chunk: Chunk, marks: pa.Table) -> pa.Table:
+        view = self.of(chunk)
+        return _publish(key, *_distinct(view, *self.remaining(view, marks)), self.name_bits, *self.ranges)
+
+    def removed(self, chunk: Chunk, marks: pa.Table) -> np.ndarray:
+        view = self.of(chunk)
+        at, names = self.remaining(view, marks)
+        return view.covered(at[_marked(marks, 2, names, self.name_bits, *self.ranges)], self.length)
+
+
+class _Steps:
+    """What a chunk does in each step; everything is recomputed from its texts, so no state is kept."""
+
+    def __init__(self, length: int, r: int, words: int | None, buckets: int, name_bits: int):
+        self.rules = [_Rule(lambda chunk: chunk, length, r, buckets, 0, name_bits)]
+        if words:
+            self.rules.append(_Rule(Words, words, 0, buckets, buckets, name_bits))
 
     def publish_sample(self, key: tuple, table: pa.Table) -> pa.Table:
         chunk = Chunk(_texts(table))
-        at, names = self.sample(chunk)
-        out = _publish(key[0].as_py(), *_distinct(chunk, at, names), SAMPLE_BITS, self.buckets)
-        del chunk, at, names
+        out = pa.concat_tables([rule.publish_sample(key[0].as_py(), chunk) for rule in self.rules])
+        del chunk
         release()
         return out
 
     def publish_remaining(self, key: tuple, table: pa.Table, marks: pa.Table) -> pa.Table:
         chunk = Chunk(_texts(table))
-        at, names = self.remaining(chunk, marks)
-        out = _publish(key[0].as_py(), *_distinct(chunk, at, names), self.name_bits, self.buckets)
-        del chunk, at, names
+        out = pa.concat_tables([rule.publish_remaining(key[0].as_py(), chunk, marks) for rule in self.rules])
+        del chunk
         release()
         return out
 
     def removed(self, table: pa.Table, marks: pa.Table) -> tuple[Chunk, np.ndarray]:
         chunk = Chunk(_texts(table))
-        at, names = self.remaining(chunk, marks)
-        return chunk, chunk.covered(at[_marked(marks, 2, names, self.name_bits, self.buckets)], self.length)
+        return chunk, functools.reduce(np.logical_or, (rule.removed(chunk, marks) for rule in self.rules))
 
 
 def _digest_rows(chunk: Chunk, gone: np.ndarray) -> list[tuple]:
@@ -273,12 +356,12 @@ def _digest_rows(chunk: Chunk, gone: np.ndarray) -> list[tuple]:
     return out
 
 
-def _run(docs: DataFrame, row: Column, length: int, r: int, chunk_bytes: int, name_bits: int, finish, schema: str) -> DataFrame:
+def _run(docs: DataFrame, row: Column, length: int, r: int, words: int | None, chunk_bytes: int, name_bits: int, finish, schema: str) -> DataFrame:
     data = F.col("text").cast("string").cast("binary")
     total = docs.select(F.sum(F.octet_length(data)).alias("n")).first()["n"] or 0
     chunks = max(1, -(-total // chunk_bytes))
     small_batches(docs.sparkSession)
-    steps = _Steps(length, r, -(-chunks // 8), name_bits)
+    steps = _Steps(length, r, words, -(-chunks // 8), name_bits)
     chunk = F.pmod(F.xxhash64(F.col("doc_id"), F.octet_length(data)), F.lit(chunks)).cast("int")
     dealt = docs.select(row.alias("row"), data.alias("data"), chunk.alias("chunk")).groupBy("chunk")
     first = dealt.applyInArrow(lambda key, table: steps.publish_sample(key, table), PUBLISHED).groupBy("bucket").applyInArrow(_marker(1), MARKED)
@@ -304,12 +387,13 @@ def repeat_digest(docs: DataFrame, length: int = LENGTH, r: int = 2, chunk_bytes
         return pa.table({"doc_id": ids, "n_bytes": pa.array(parts[0], pa.int64()), "n_removed": pa.array(parts[1], pa.int64()), "n_spans": pa.array(parts[2], pa.int64()), "kept_sha256": pa.array(parts[3], pa.string())})
 
     row = F.struct(F.col("doc_id").cast("long").alias("doc_id"))
-    return _run(docs, row, length, r, chunk_bytes, name_bits, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _run(docs, row, length, r, None, chunk_bytes, name_bits, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, r: int = 2, chunk_bytes: int = CHUNK_BYTES, name_bits: int = NAME_BITS) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, r: int = 2, words: int | None = WORDS, chunk_bytes: int = CHUNK_BYTES, name_bits: int = NAME_BITS) -> DataFrame:
     """The documents, all rows and columns, with repeated strings cut out of text and n_chars counted anew.
 
+    Repeated passages of ``words`` words (13 at least; None: no such rule) are cut too, of any length in bytes.
     A cut may fall inside a character; what is left of such a character goes too. Null texts stay null.
     """
     columns = docs.columns
@@ -326,21 +410,32 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, r: int = 2, chunk_byte
 
     row = F.struct(*[F.col(f"`{c}`") for c in others])
     schema = f"row {docs.select(row.alias('row')).schema['row'].dataType.simpleString()}, text string"
-    cut = _run(docs, row, length, r, chunk_bytes, name_bits, finish, schema)
+    cut = _run(docs, row, length, r, words, chunk_bytes, name_bits, finish, schema)
     fields = {c: F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in columns}
     if "n_chars" in fields:
         fields["n_chars"] = F.when(F.col("text").isNull(), fields["n_chars"]).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
     return cut.select(*[fields[c].alias(c) for c in columns])
 
 
-def brute_force(texts: list[bytes], length: int = LENGTH) -> Iterator[np.ndarray]:
-    """Masks of the bytes to remove, by counting every string; for small fixtures."""
+def brute_force(texts: list[bytes], length: int | None = None) -> Iterator[np.ndarray]:
+    """Masks of the bytes to remove, by counting every string; for small fixtures.
+
+    A length asks for strings of so many bytes alone, as in repeat_digest; without one the masks are those
+    of remove_repeats, strings of LENGTH bytes and passages of WORDS words.
+    """
+    words, length = (WORDS, LENGTH) if length is None else (None, length)
     seen: dict[bytes, int] = {}
+    spans = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0d]+", t)] if words else [] for t in texts]
+    passages = [[tuple(t[a:b] for a, b in s[k : k + WORDS]) for k in range(len(s) - WORDS + 1)] for t, s in zip(texts, spans)]
+    counts = Counter(p for own in passages for p in own)
     for t in texts:
         for i in range(len(t) - length + 1):
             seen[t[i : i + length]] = seen.get(t[i : i + length], 0) + 1
-    for t in texts:
+    for t, own, s in zip(texts, passages, spans):
         mask = np.zeros(len(t), dtype=bool)
+        for k, p in enumerate(own):
+            if counts[p] > 1:
+                mask[s[k][0] : s[k + WORDS - 1][1]] = True
         for i in range(len(t) - length + 1):
             if seen[t[i : i + length]] > 1:
                 mask[i : i + length] = True
