@@ -4,9 +4,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tests.conftest import SF_SMALL
+from tests.conftest import SF_MEDIUM, SF_SMALL
 from vectorloom.llm import language_id, minmax_dedup, mixing, suffix_dedup
 
 
@@ -66,3 +68,24 @@ def test_passages_of_words_match_brute_force(spark):
             if seen[passage(i, k)] > 1:
                 mask[spans[i][k][0] : spans[i][k + 50][1]] = True
         assert kept[i] == np.frombuffer(t, np.uint8)[~mask].tobytes().decode("utf-8", "ignore"), i
+
+
+FOREIGN = [
+    "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swojej godności i swych praw. Są oni obdarzeni rozumem.",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki.",
+    "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
+    "人人生而自由在尊严和权利上一律平等他们赋有理性和良心并应以兄弟关系的精神相对待",
+]
+JUNK = ["%%%% 1234 x #### 99182 @@", "TWFuIGlzIGRpc3Rpbmd1aXNoZWQsIG5vdCBvbmx5IGJ5IGhpcyByZWFzb24sIGJ1dCBieSB0", "q 0 1 2 3 4 5 6 7 8 9", "zxqj vkwq xzzj qqkv wjxz kkqz vvxj zqwk jxvq kzwq xjvz qkzx"]
+
+
+@pytest.mark.parametrize("languages", [("en",), ("en", "de"), ("de", "en", "es", "fr")])
+def test_language_stage_drops_junk_and_foreign_texts(spark, languages):
+    docs = spark.read.parquet(f"{SF_MEDIUM}/documents.parquet").where(F.col("lang").isin(*languages))
+    planted = [(-1 - k, t, None, "src0", len(t)) for k, t in enumerate(FOREIGN + JUNK)]
+    kept = dict(corpus_pipeline.STAGES)["language_id"](spark, docs.unionByName(spark.createDataFrame(planted, "doc_id long, text string, lang string, source string, n_chars long")), "")
+    kept = {r.doc_id for r in kept.select("doc_id").collect()}
+    assert [t for k, t in enumerate(FOREIGN + JUNK) if -1 - k in kept] == []
+    clean = [r.doc_id for r in docs.where(r"text rlike '\\p{L}'").select("doc_id").collect()]
+    assert np.mean([i in kept for i in clean]) > 0.99

@@ -10,6 +10,10 @@ set from the language's count (about ``per_language`` of them), and of each a sl
 ``slice_chars`` characters at a hashed place. Languages beyond the ``max_languages`` most frequent are
 not learned. The held-out fifth (crc32 of the id, mod 5, equal to 0) is never read for training.
 
+A share of the network says which learned language is nearest, not whether the text is in any. ``accept``
+therefore also asks how likely the text's bytes are under the trigrams of its nearest languages, and how
+many of them are letters; the marks come from held-out labelled rows. Tables take 256 KB a language.
+
 Edge cases: a text that is null or has no letter is ``und`` with score 0; repeated rows get equal
 answers; without any labelled row everything is ``und``; an empty table gives an empty result; lang, source
 and doc_id are not inputs of a prediction and other columns are ignored.
@@ -143,10 +147,10 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, per_language: int = 500, slice_chars: int = 1024, max_languages: int = 200, seed: int = 7) -> ByteConvNet:
-    """Train on a bounded sample of the labelled documents that are not held out."""
+def _sample(docs: DataFrame, held: bool, per_language: int = 500, slice_chars: int = 1024, max_languages: int = 200, seed: int = 7) -> tuple[list[str], list[str]]:
+    """Texts and labels of a bounded sample of the labelled documents, held out or not."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    labelled = own.where(F.col("lang").isNotNull() & ~held_out())
+    labelled = own.where(F.col("lang").isNotNull() & (held_out() if held else ~held_out()))
     counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_003))
     below = None
@@ -154,12 +158,98 @@ def fit(docs: DataFrame, per_language: int = 500, slice_chars: int = 1024, max_l
         mine = (F.col("lang") == r["lang"]) & (draw < int(1_000_003 * min(1.0, per_language / r["n"])) + 1)
         below = mine if below is None else below | mine
     if below is None:
-        return train([], [])
+        return [], []
     start = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.greatest(F.lit(1), F.length("text") - slice_chars)).cast("int") + 1
     rows = labelled.where(below & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", F.substring("text", start, F.lit(slice_chars)).alias("part"))
     rows = rows.limit(2 * per_language * len(counts)).collect()
     rows.sort(key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"], r["part"]))
-    return train([r["part"] for r in rows], [r["lang"] for r in rows], seed)
+    return [r["part"] for r in rows], [r["lang"] for r in rows]
+
+
+def fit(docs: DataFrame, per_language: int = 500, slice_chars: int = 1024, max_languages: int = 200, seed: int = 7) -> ByteConvNet:
+    """Train on a bounded sample of the labelled documents that are not held out."""
+    return train(*_sample(docs, False, per_language, slice_chars, max_languages, seed), seed)
+
+
+def _fold() -> np.ndarray:
+    """64 kinds of bytes: letters without case, space, digit, punctuation, other signs, high bytes in fours."""
+    kinds = np.empty(256, dtype=np.int64)
+    for b in range(256):
+        c = chr(b)
+        low = ord(c.lower()) - 97 if b < 128 and c.isalpha() else 26 if c in " \t\n\v\f\r" else 27 if b < 128 and c.isdigit() else 28 if c in ".,;:!?'\"-()" else 30
+        kinds[b] = low if b < 128 else 31 + ((b - 128) >> 2)
+    return kinds
+
+
+KINDS = _fold()
+PART = 1 << 18
+
+
+@dataclass
+class Typicality:
+    """Trigram tables by language (bits in eighths) with the least likelihood and share of letters of each.
+
+    A text passes as a language's if its bits a byte are at most 2 above those of the worst hundredth of the
+    held-out texts (8 / sqrt(bytes) more for short ones), and its share of letters at least half of theirs.
+    A language with fewer than ``enough`` held-out texts takes the marks of all languages together.
+    """
+
+    tables: dict[str, np.ndarray]
+    marks: dict[str, tuple[float, float]]
+
+    @classmethod
+    def fit(cls, texts: list[str], labels: list[str], held: list[str], held_labels: list[str], enough: int = 10) -> Typicality:
+        tables: dict[str, np.ndarray] = {}
+        for name in sorted(set(labels)):
+            n = np.zeros(64**3)
+            for t, label in zip(texts, labels):
+                if label == name:
+                    n += np.bincount(_trigrams(t.encode("utf-8", "replace")), minlength=64**3)
+            n = n.reshape(64, 64, 64)
+            one = n.sum((0, 1)) + 1
+            two = (n.sum(0) + 20 * one / one.sum()) / (n.sum((0, 2))[:, None] + 20)
+            three = (n + 20 * two[None]) / (n.sum(2, keepdims=True) + 20)
+            tables[name] = np.minimum(-8 * np.log2(three), 255).astype(np.uint8).ravel()
+        own = cls(tables, {})
+        found: dict[str, list[tuple[float, float]]] = {name: [] for name in tables}
+        for t, label in zip(held, held_labels):
+            if label in tables:
+                data = t.encode("utf-8", "replace")
+                found[label].append((own.bits(data, label), letter_share(data)))
+        everything = [v for values in found.values() for v in values]
+        for name, values in found.items():
+            used = values if len(values) >= enough else everything
+            if len(used) >= enough:
+                bits, letters = np.array(used).T
+                own.marks[name] = (float(np.quantile(bits, 0.99)) + 2, float(np.quantile(letters, 0.01)) / 2)
+        return own
+
+    def bits(self, data: bytes, name: str) -> float:
+        """Mean bits a byte of the text under a language."""
+        total = sum(int(self.tables[name][_trigrams(data[at : at + PART])].sum(dtype=np.int64)) for at in range(0, len(data), PART))
+        return total / 8 / max(1, len(data))
+
+    def passes(self, data: bytes, names: list[str]) -> bool:
+        """Whether the text is typical of any of the languages; one without marks accepts all."""
+        for name in names:
+            if name not in self.marks:
+                return True
+            most, letters = self.marks[name]
+            if letter_share(data) >= letters and self.bits(data, name) <= most + 8 / np.sqrt(len(data)):
+                return True
+        return False
+
+
+def _trigrams(data: bytes) -> np.ndarray:
+    k = KINDS[np.frombuffer(b" " + data + b" ", np.uint8)]
+    return k[:-2] * 4096 + k[1:-1] * 64 + k[2:]
+
+
+def letter_share(data: bytes) -> float:
+    """Share of letters, or bytes of any sign beyond ASCII, among the bytes that are not white space."""
+    counts = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
+    letters = counts[(KINDS < 26) | (KINDS > 30)].sum()
+    return float(letters / max(1, counts[KINDS != 26].sum()))
 
 
 def predict(docs: DataFrame, net: ByteConvNet, block: int = 128) -> DataFrame:
@@ -214,36 +304,44 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, fit(docs))
 
 
-def accept(docs: DataFrame, least_score: float = 0.3) -> DataFrame:
-    """The documents, all columns, whose language is told with at least that score; the rest go."""
-    net = fit(docs)
+def accept(docs: DataFrame, least_lead: float = 0.1) -> DataFrame:
+    """The documents, all columns, that are typical of a learned language and told apart from the others; the rest go.
+
+    least_lead: how far the best share must be from a guess (1 by the number of languages, 0) to certainty (1).
+    """
+    texts, labels = _sample(docs, False)
+    net = train(texts, labels)
+    typical = Typicality.fit(texts, labels, *_sample(docs, True))
+    least = (1 - least_lead) / max(1, len(net.classes)) + least_lead
     columns = docs.columns
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
-    return _accept_rows(keyed, net, columns, least_score)
+    return _accept_rows(keyed, net, typical, columns, least)
 
 
-def _accept_rows(rows: DataFrame, net: ByteConvNet, columns: list[str], least: float) -> DataFrame:
+def _accept_rows(rows: DataFrame, net: ByteConvNet, typical: Typicality, columns: list[str], least: float) -> DataFrame:
     small_batches(rows.sparkSession)
     whole = rows.schema["row"].dataType
     doc_id, text = F.col("row.doc_id").cast("long"), F.col("row.text").cast("string")
 
     def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = _keep(batch, net, least)
+            keep = _keep(batch, net, typical, least)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep)], names=["row"])
 
     inputs = rows.select("row", doc_id.alias("doc_id"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     return inputs.mapInArrow(releasing(filtered), f"row {whole.simpleString()}").select(*[F.col(f"row.`{c}`").alias(c) for c in columns])
 
 
-def _keep(batch: pa.RecordBatch, net: ByteConvNet, least: float) -> pa.Array:
+def _keep(batch: pa.RecordBatch, net: ByteConvNet, typical: Typicality, least: float) -> pa.Array:
     keep = []
     for text, letters in zip(batch.column(2), batch.column(3).to_pylist()):
         if not letters or not net.classes:
             keep.append(False)
             continue
-        windows = cut_windows(text.as_py().encode("utf-8", "replace"))
+        data = text.as_py().encode("utf-8", "replace")
+        windows = cut_windows(data)
         total = sum(net.log_probabilities(windows[at : at + 128]).sum(axis=0) for at in range(0, len(windows), 128)) / len(windows)
         share = np.exp(total - total.max())
-        keep.append(bool(share.max() / share.sum() >= least))
+        told = bool(share.max() / share.sum() >= least - 1e-9)
+        keep.append(told and typical.passes(data, [net.classes[k] for k in np.argsort(-share)[:3]]))
     return pa.array(keep, pa.bool_())
