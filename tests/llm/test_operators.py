@@ -439,6 +439,22 @@ def test_mixing(spark, edges, empty):
     assert mixing.mix(documents(spark, [(1, ""), (2, None)])).count() >= 0
 
 
+def test_mixing_reaches_the_weight_of_a_tiny_source(spark):
+    rows = [(i, "a b c d e " * 20) for i in range(200)] + [(1000 + i, "x") for i in range(40)]
+    df = documents(spark, rows).withColumn("source", F.when(F.col("doc_id") >= 1000, F.lit("src5")).otherwise(F.lit("web")))
+    rate = 0.5 * (200 * 200 + 40) / 40
+    found = {r.doc_id: r.n for r in mixing.mix(df, {"src5": 0.5}, other_weight=0.5).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    tiny = np.array([found[1000 + i] for i in range(40)])
+    assert abs(tiny.mean() - rate) < 5 * np.sqrt(rate / 40) and 0.4 < tiny.var() / rate < 1.9
+
+
+def test_mixing_of_unnamed_sources_keeps_the_size(spark):
+    df = documents(spark, [(i, "a b c d e ") for i in range(2000)], sources=("web", "books"))
+    for other in (df, df.withColumn("source", F.lit("src3"))):
+        assert abs(mixing.mix(other).count() - 2000) < 5 * np.sqrt(2000)
+    assert mixing.mix(df, {"src0": 1.0}, other_weight=0.0).count() == 0
+
+
 def test_mixing_matches_duckdb(spark):
     import duckdb
 

@@ -1,9 +1,10 @@
 """Mixing sources to target weights by Poisson replication, in DataFrame operations only.
 
 Each stratum (a source named in the weights, or all others together) gets a mean repetition rate:
-its share of the wanted output divided by the share it has. Every document draws a uniform number
+its share of the wanted output divided by the share it has, where the weights of the strata that have a
+size are scaled to sum to 1. Every document draws a uniform number
 from a hash of the seed and its id, inverts the Poisson distribution with that mean and is repeated
-so many times. The copies are then shuffled globally by a second hash.
+so many times; a large mean is the sum of equal parts, each with a number of its own. The copies are then shuffled globally by a second hash.
 
 The rates come from one aggregation whose result has a row per stratum, so its size is bounded by
 the weights given; it is broadcast. Nothing is grouped by source afterwards, so a source with a third
@@ -28,18 +29,19 @@ PRODUCTION_WEIGHTS = {"src0": 0.10, "src1": 0.08, "src2": 0.08, "src3": 0.06, "s
 OTHER_WEIGHT = 0.60
 
 
-def _unit(seed: str, *columns: str):
-    """A number in (0, 1) from 52 bits of an md5, the same in every engine."""
-    joined = F.concat_ws("-", F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+def _unit(seed: str, *columns: str, part=None):
+    """A number in (0, 1) from 52 bits of an md5, the same in every engine; another one for each further part."""
+    further = [] if part is None else [F.lit("part"), part.cast("string")]
+    joined = F.concat_ws("-", F.lit(seed), *further, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
     return (F.conv(F.substring(F.md5(joined), 1, 13), 16, 10).cast("long").cast("double") + F.lit(0.5)) / F.lit(float(2**52))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, other_weight: float = OTHER_WEIGHT, size_factor: float = 1.0, seed: str = "mix-1", max_rate: float = 64.0) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, other_weight: float = OTHER_WEIGHT, size_factor: float = 1.0, seed: str = "mix-1", part_rate: float = 64.0) -> DataFrame:
     """Repeat documents so that sizes in code points follow the weights; globally shuffled.
 
-    size_factor: wanted output size by input size. max_rate: bound on a stratum's rate, which keeps
-    the inverted table short; a stratum too small for its weight falls short of it, as the counts
-    show. Returns the input's columns, then copy (from 0), n_copies and shuffle_key.
+    size_factor: wanted output size by input size. part_rate: a rate above it is drawn as a sum of parts up
+    to it, which keeps the inverted table short. Returns the input's columns, then copy (from 0), n_copies
+    and shuffle_key.
     """
     weights = dict(PRODUCTION_WEIGHTS if weights is None else weights)
     total_weight = sum(weights.values()) + other_weight
@@ -49,11 +51,14 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, other_weight:
     wanted = F.create_map(*[F.lit(x) for name in names for x in (name, weights[name] / total_weight)], F.lit(OTHER), F.lit(other_weight / total_weight))
 
     sizes = docs.select(stratum.alias("mix_stratum"), F.length("text").alias("mix_size")).groupBy("mix_stratum").agg(F.coalesce(F.sum("mix_size"), F.lit(0)).alias("mix_own"))
-    sizes = sizes.withColumn("mix_all", F.sum("mix_own").over(Window.partitionBy(F.lit(1))))  # one row per stratum
-    rate = F.when(F.col("mix_all") == 0, F.lit(1.0)).when(F.col("mix_own") == 0, F.lit(0.0))
-    rate = rate.otherwise(F.least(F.lit(max_rate), wanted[F.col("mix_stratum")] * size_factor * F.col("mix_all") / F.col("mix_own")))
+    everything = Window.partitionBy(F.lit(1))  # one row per stratum
+    shares = F.sort_array(F.collect_list(F.when(F.col("mix_own") > 0, wanted[F.col("mix_stratum")])).over(everything))
+    sizes = sizes.withColumn("mix_all", F.sum("mix_own").over(everything)).withColumn("mix_present", F.aggregate(shares, F.lit(0.0), lambda acc, w: acc + w))
+    rate = F.when(F.col("mix_all") == 0, F.lit(1.0)).when((F.col("mix_own") == 0) | (F.col("mix_present") == 0), F.lit(0.0))
+    rate = rate.otherwise(wanted[F.col("mix_stratum")] / F.col("mix_present") * size_factor * F.col("mix_all") / F.col("mix_own"))
+    parts = F.greatest(F.lit(1), F.ceil(rate / part_rate)).cast("int")
     # P(N <= k) for k = 0.. until what is left is below the hash's resolution
-    longest = int(max_rate + 12 * math.sqrt(max_rate) + 24)
+    longest = int(part_rate + 12 * math.sqrt(part_rate) + 24)
     step = lambda acc, k: F.struct(
         (acc["term"] * F.col("mix_rate") / k).alias("term"),
         (acc["sum"] + acc["term"] * F.col("mix_rate") / k).alias("sum"),
@@ -62,17 +67,22 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, other_weight:
     zero = F.exp(-F.col("mix_rate"))
     steps = F.sequence(F.lit(1), F.least(F.lit(longest), (F.col("mix_rate") + 12 * F.sqrt("mix_rate") + 24).cast("int")))
     start = F.struct(zero.alias("term"), zero.alias("sum"), F.array(zero).alias("below"))
-    rates = sizes.withColumn("mix_rate", rate).select("mix_stratum", F.aggregate(steps, start, step, lambda acc: acc["below"]).alias("mix_below"))
+    rates = sizes.withColumn("mix_parts", parts).withColumn("mix_rate", rate / F.col("mix_parts")).select("mix_stratum", "mix_parts", F.aggregate(steps, start, step, lambda acc: acc["below"]).alias("mix_below"))
 
     drawn = docs.select(*kept).withColumn("mix_stratum", stratum).withColumn("mix_u", _unit(seed, "doc_id"))
-    drawn = drawn.join(F.broadcast(rates), "mix_stratum").withColumn("n_copies", F.size(F.filter("mix_below", lambda c: c < F.col("mix_u"))).cast("long"))
+    draw = lambda u: F.size(F.filter("mix_below", lambda c: c < u)).cast("long")
+    further = F.aggregate(F.sequence(F.lit(2), F.col("mix_parts")), F.lit(0).cast("long"), lambda acc, k: acc + draw(_unit(seed, "doc_id", part=k)))
+    drawn = drawn.join(F.broadcast(rates), "mix_stratum").withColumn("n_copies", draw(F.col("mix_u")) + F.when(F.col("mix_parts") > 1, further).otherwise(F.lit(0)))
     copies = drawn.where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1)))
     keyed = copies.withColumn("shuffle_key", F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string"))), 1, 15), 16, 10).cast("long"))
     return keyed.select(*kept, "copy", "n_copies", "shuffle_key").sort("shuffle_key")
 
 
 def oracle_sql(weights: dict[str, float] | None = None, other_weight: float = OTHER_WEIGHT, size_factor: float = 1.0, seed: str = "mix-1", max_rate: float = 64.0, documents: str = "documents") -> str:
-    """DuckDB form of ``mix`` for the columns doc_id, source, copy, n_copies, shuffle_key."""
+    """DuckDB form of ``mix`` for the columns doc_id, source, copy, n_copies, shuffle_key.
+
+    It agrees with ``mix`` where no rate is above max_rate and every weight's stratum has a size.
+    """
     weights = dict(PRODUCTION_WEIGHTS if weights is None else weights)
     total_weight = sum(weights.values()) + other_weight
     rows = ", ".join(f"('{n}', {w / total_weight!r}::double)" for n, w in [*sorted(weights.items()), (OTHER, other_weight / total_weight)])
