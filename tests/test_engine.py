@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vectorloom.functions import numerics
 from vectorloom.operators import alignment, blocks, cloud, distances, explore, graph, matching, moments, pairs, probing, prototypes, reduce, registry, regression, topology
+from vectorloom.plans import topology_queries
 from vectorloom.sources import tables
 
 CORNERS = [(0, 0), (1, 0), (0, 1), (1, 1), (0.5, 0.5), (2, 2), (3, 2), (2, 3), (3, 3), (2.5, 2.5)]
@@ -356,3 +357,22 @@ def test_streamed_metrics_equal_batch(spark, tmp_path):
     for r in cloud.fast_metrics(source, "v", "g").collect():
         for name in ("n", "total_spread", "participation_ratio_fast", "isotropy", "density"):
             assert got[r.g][name] == pytest.approx(r[name])
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 8, 20])
+def test_loops_match_the_boundary_matrix(n):
+    rng = np.random.default_rng(n)
+    for points in (rng.normal(size=(n, 3)), rng.integers(0, 3, (n, 2)).astype(float)):
+        found = sorted(topology.rips_diagram(points, 1))
+        assert found == sorted(p for p in topology.rips_diagram(points, 2) if p[0] < 2)
+
+
+def test_persistence_query_takes_whole_clouds(spark):
+    from tests.conftest import SF_MEDIUM
+
+    rows = spark.read.parquet(f"{SF_MEDIUM}/embeddings.parquet").where("label = 1").collect()
+    points = np.array([r.embedding for r in rows], dtype=float)
+    expected = sorted((k, round(b, 6), round(x, 6)) for k, b, x in topology.rips_diagram(points, 1))
+    found = topology_queries.persistence(spark, SF_MEDIUM).where("model = 'label1'").collect()
+    found = sorted((r.dim, r.birth, r.death) for r in found)
+    assert len(points) > 24 and np.array(found) == pytest.approx(np.array(expected))
