@@ -504,6 +504,14 @@ def test_signatures(kind):
     assert media.sniff(b"") == []
 
 
+def test_gzip_of_much_content():
+    for content in (b"2026-11-26 INFO request served in 12 ms\n" * 150_000, b"\0" * (1 << 20), b"\0" * (3 << 20), np.random.default_rng(3).bytes(300_000) + b"line\n" * 10**6):
+        item = gzip.compress(content)
+        assert media.sniff(item) == [(0, len(item), "application/gzip")]
+        assert media.sniff(b"junk...." + item + b"tail" * 40_000)[0] == (8, len(item), "application/gzip")
+        assert media.sniff(item[:-3]) == []
+
+
 def test_zip_and_carving(spark, tmp_path):
     import io
     import zipfile

@@ -132,11 +132,13 @@ def _gzip(b: memoryview) -> int:
     inflater = zlib.decompressobj(31)
     try:
         fed = 0
-        while not inflater.eof and fed < len(b):
+        more = True
+        while not inflater.eof and (more or fed < len(b)):
             rest = inflater.unconsumed_tail
             part = rest or b[fed : fed + 65536]
             fed += 0 if rest else len(part)
-            inflater.decompress(part, 1 << 20)  # bounded output; the content is not kept
+            out = inflater.decompress(part, 1 << 20)  # bounded output; the content is not kept
+            more = bool(inflater.unconsumed_tail) or len(out) == 1 << 20  # a full output may hold some back
     except zlib.error:
         return 0
     return fed - len(inflater.unused_data) if inflater.eof else 0
