@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,25 +33,60 @@ def build_session(app: str = "vectorloom", cpus: int | str = "*", partitions: in
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; one of this machine only where that is unset."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "vectorloom-checkpoints")
+    """The folder all executors share: ``spark.checkpoint.dir``, else the one given to setCheckpointDir.
+
+    Only a local master falls back to a temporary folder of this machine; any other raises without a shared one.
+    """
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if found:
+        return found
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "vectorloom-checkpoints")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any of Spark's file systems."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
+@contextmanager
+def _without_shuffles_left(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries that run inside go when they end; the session's setting comes back after."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(setting)
+        else:
+            spark.conf.set(setting, before)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's shared folder.
+    """Cut the lineage: the rows are written as a Parquet table to the cluster's shared folder and read again.
 
-    Shuffle files of what the checkpoint replaces go only when the driver collects its garbage, which an
-    idle driver may not do for long; it is asked to, so that iterative jobs do not fill the disks.
+    All tables of an application lie in one folder there. Lost executors take nothing of it with them, and the
+    shuffle files that led to the table are deleted at once. ``discard`` deletes a table that is no longer read.
     """
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    done = df.checkpoint(eager=True)
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/vectorloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    with _without_shuffles_left(spark):
+        df.write.parquet(path)
+    done = spark.read.schema(df.schema).parquet(path)
+    done._written_to = path
     return done
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the table of a checkpoint; neither it nor anything made from it lazily can be read after."""
+    remove(df.sparkSession, df._written_to)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder, through Spark's reader only."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
