@@ -2,8 +2,9 @@
 
 Each five-word shingle of a text is hashed once. The top bits of the hash name a bin and the smallest
 hash of each bin is kept. Empty bins are filled by optimal densification: every bin has its own order
-in which it tries the others (an affine permutation from a two-universal family) and copies the first
-one that is filled. The low ``bits`` bits of every bin are packed into 64-bit words. Two fingerprints
+in which it tries the others (an affine permutation from a two-universal family) and takes the minimum of
+the first one that is filled, hashed again with its own number: bins that take the same minimum then agree
+with another text's by chance independently. The low ``bits`` bits of every bin are packed into 64-bit words. Two fingerprints
 are compared word by word; the share m of equal bins overstates the likeness by chance agreement
 C = 2^-bits, so the estimate is (m - C) / (1 - C), cut off at 0.
 
@@ -62,7 +63,7 @@ def fingerprint(text: Column, bins: int = BINS, bits: int = BITS, width: int = W
         # value of every bin in order, null where empty: each minimum, then the gap up to the next one
         def with_gap(h: Column, j: Column) -> Column:
             following = F.coalesce(bin_of(F.try_element_at(minima, j + 2)), F.lit(bins).cast("bigint"))
-            return F.concat(F.array(h.bitwiseAND(low)), F.array_repeat(null, (following - bin_of(h) - 1).cast("int")))
+            return F.concat(F.array(h), F.array_repeat(null, (following - bin_of(h) - 1).cast("int")))
 
         lead = F.array_repeat(null, bin_of(minima[0]).cast("int"))
         sparse = F.concat(lead, F.flatten(F.transform(minima, with_gap)))
@@ -74,13 +75,13 @@ def fingerprint(text: Column, bins: int = BINS, bits: int = BITS, width: int = W
                 probes = [F.try_element_at(values, ((step * t + start).bitwiseAND(mask) + 1).cast("int")) for t in range(PROBES)]
 
                 def search(inverse: Column) -> Column:
-                    turn = lambda h: F.shiftleft(((bin_of(h) - start + bins) * inverse).bitwiseAND(mask), bits).bitwiseOR(h.bitwiseAND(low))
-                    return F.array_min(F.transform(minima, turn)).bitwiseAND(low)
+                    turn = lambda h: F.struct(((bin_of(h) - start + bins) * inverse).bitwiseAND(mask).alias("t"), h.alias("h"))
+                    return F.array_min(F.transform(minima, turn))["h"]
 
                 inverse = _let(step, lambda s: _let(s * (2 - s * s), lambda x: (x * (2 - s * x)).bitwiseAND(mask)))
-                return F.coalesce(*probes, _let(inverse, search))
+                return F.xxhash64(F.coalesce(*probes, _let(inverse, search)), i)
 
-            return F.transform(values, lambda v, i: F.coalesce(v, ask(i.cast("bigint"))))
+            return F.transform(values, lambda v, i: F.coalesce(v, ask(i.cast("bigint"))).bitwiseAND(low))
 
         return _let(sparse, fill)
 
