@@ -10,20 +10,26 @@ a longer period and drops suffixes that cannot repeat between its steps:
 1. Sample: positions whose offset in their document lies in a difference cover D modulo v. For any two
    suffixes there is a shift d < v that puts both on sampled positions, so two equal strings of
    ``length`` bytes share a block of ``length - v + 1`` bytes at sampled positions.
-2. Name: blocks at sampled positions are named by 64-bit hashes, sorted, and adjacent equal names found.
+2. Name: blocks at sampled positions are named by hashes, sorted, and adjacent equal names found.
 3. Recurse on the names: only suffixes that reach, within v bytes, a sampled position whose name repeats
-   are kept.
-4. Merge: the remaining suffixes, sampled or not, are sorted by the name of their whole prefix and
-   adjacent ones compared; those equal to a neighbour start a repeated string.
+   are kept. Each is named by its whole prefix of ``length`` bytes. Where suffixes kept are adjacent, those
+   whose name ends in ANCHOR_BITS zero bits cut them into segments, the same ones wherever the text is the
+   same. A segment is named by the names at its two ends, which cover all strings that start in it, so a
+   segment whose name repeats is settled as a whole.
+4. Merge: the suffixes outside settled segments, and those of one copy of each settled segment, are sorted
+   by name and adjacent ones compared; those equal to a neighbour start a repeated string.
 
 Documents are dealt by a hash of their id into chunks of bounded size. A chunk publishes each distinct
 name once, with a mark if it occurs in the chunk twice, so a string that a third of all documents share
-costs one entry per chunk, not one per occurrence. Sorted names go out as delta-coded blobs per range of
-names; what comes back is one bit per published name. Text moves once: all steps are one job whose
-text exchange is reused.
+costs one entry per chunk, not one per occurrence. Sorted names go out per range of names as blobs in
+Rice code; what comes back is one bit per published name (two for segments: whether it repeats, and whether
+this chunk is the one that goes on with it). Text moves once: all steps are one job whose text exchange
+is reused.
 
-Names are compared instead of texts: names of 64 bits make a false match of two different strings
-likely only beyond some 10^9 candidate suffixes; ``name_bits`` says how many are used in step 4.
+Names are compared instead of texts. Those of steps 3 and 4 have 96 bits where chunks are compared, of
+which a chunk itself compares 64: false matches of different strings are to be expected beyond some 10^13
+candidate suffixes, or 10^8 chunks. Those of step 2 have SAMPLE_BITS
+more than a position in the corpus needs, as a false match there only keeps some suffixes for step 3.
 
 Words are runs of bytes other than ASCII white space; the white space between them does not count when
 passages are compared, and goes with a passage.
@@ -48,13 +54,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vectorloom.llm.memory import release, small_batches
+from vectorloom.llm.memory import release
 
 LENGTH = 400
 WORDS = 51
 CHUNK_BYTES = 2 << 20
 BLOCK = 1 << 19
-SAMPLE_BITS, NAME_BITS = 48, 64
+COVER, SAMPLE_BITS, NAME_BITS, ANCHOR_BITS = 1, 12, 64, 5
 PUBLISHED = "bucket int, chunk int, payload binary"
 MARKED = "chunk int, step int, bucket int, bits binary"
 
@@ -73,10 +79,11 @@ def difference_cover(r: int) -> tuple[int, np.ndarray]:
     return v, members % v
 
 
-@functools.lru_cache(maxsize=1)
-def _hash_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+@functools.lru_cache(maxsize=2)
+def _hash_tables(family: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A random 64-bit value per byte, powers of an odd multiplier and of its inverse (all modulo 2^64)."""
-    values, state, mask = [], 0x243F6A8885A308D3, (1 << 64) - 1
+    mask = (1 << 64) - 1
+    values, state = [], (0x243F6A8885A308D3 * (2 * family + 1)) & mask
     for _ in range(257):
         state = (state + 0x9E3779B97F4A7C15) & mask
         z = ((state ^ (state >> 30)) * 0xBF58476D1CE4E5B9) & mask
@@ -117,9 +124,9 @@ class Chunk:
         self.copied = np.repeat(copies > 1, sizes)
         self.places = np.arange(len(self.bytes), dtype=kind)
 
-    def values(self, lo: int, hi: int) -> np.ndarray:
+    def values(self, lo: int, hi: int, family: int) -> np.ndarray:
         """A random number for each byte there, equal for equal bytes."""
-        return _hash_tables()[0][self.bytes[lo:hi]]
+        return _hash_tables(family)[0][self.bytes[lo:hi]]
 
     def sampled(self, r: int, length: int) -> np.ndarray:
         """Sampled positions with a whole block of length - v + 1 bytes in their document."""
@@ -129,15 +136,15 @@ class Chunk:
         fits = self.places + (length - v + 1) <= self.end_of
         return np.flatnonzero(member[(self.places - self.start_of) % v] & fits)
 
-    def names(self, at: np.ndarray, length: int, bits: int) -> np.ndarray:
-        """Hashes of the strings of that length at the given ascending positions."""
-        _, powers, inverse = _hash_tables()
+    def names(self, at: np.ndarray, length: int, bits: int, family: int = 0) -> np.ndarray:
+        """Hashes of the strings of that length at the given ascending positions; families are independent."""
+        _, powers, inverse = _hash_tables(family)
         out = np.empty(len(at), dtype=np.uint64)
         for lo in range(0, len(self.places), BLOCK):
             a, b = np.searchsorted(at, (lo, lo + BLOCK))
             if a == b:
                 continue
-            part = self.values(lo, lo + BLOCK + length)
+            part = self.values(lo, lo + BLOCK + length, family)
             sums = np.zeros(len(part) + 1, dtype=np.uint64)
             np.cumsum(part * powers[: len(part)], out=sums[1:])
             here = at[a:b] - lo
@@ -195,24 +202,22 @@ class Words(Chunk):
             out[a:b] = np.add.reduceat(part, at)
         return _mix(out)
 
-    def values(self, lo: int, hi: int) -> np.ndarray:
-        return self.hashes[lo:hi]
+    def values(self, lo: int, hi: int, family: int) -> np.ndarray:
+        return _mix(self.hashes[lo:hi] + np.uint64(family)) if family else self.hashes[lo:hi]
 
     def covered(self, starts: np.ndarray, length: int) -> np.ndarray:
         """Mask of the bytes from the first to the last word of the passages at the given words."""
-        depth = np.zeros(len(self.bytes) + 1, dtype=np.int32)
-        np.add.at(depth, self.first[starts], 1)
-        np.add.at(depth, self.last[starts + length - 1], -1)
-        return np.cumsum(depth[:-1], out=depth[:-1]) > 0
+        size = len(self.bytes) + 1
+        return np.cumsum(np.bincount(self.first[starts], minlength=size) - np.bincount(self.last[starts + length - 1], minlength=size))[:-1] > 0
 
 
-def _distinct(chunk: Chunk, at: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct names, and which of them occur in the chunk more than once."""
-    unique, counts = np.unique(names, return_counts=True)
+def _distinct(names: np.ndarray, copied: np.ndarray, checks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Sorted distinct names, which of them occur in the chunk more than once, and their checks."""
+    unique, first, counts = np.unique(names, return_index=True, return_counts=True)
     twice = counts > 1
-    if chunk.copied.any():
-        twice |= np.isin(unique, names[chunk.copied[at]])
-    return unique, twice
+    if copied.any():
+        twice |= _member(unique, np.unique(names[copied]))
+    return unique, twice, None if checks is None else checks[first]
 
 
 def _bucket_bounds(unique: np.ndarray, bits: int, buckets: int) -> np.ndarray:
@@ -220,42 +225,83 @@ def _bucket_bounds(unique: np.ndarray, bits: int, buckets: int) -> np.ndarray:
     return np.searchsorted(high, np.arange(buckets + 1, dtype=np.uint64))
 
 
-def pack_names(unique: np.ndarray, twice: np.ndarray) -> bytes:
-    """Blob of sorted names: count, first name, width of a gap, gaps, marks."""
-    gaps = np.diff(unique)
-    width = max(1, -(-int(gaps.max()).bit_length() // 8)) if len(gaps) else 1
-    body = np.ascontiguousarray(gaps.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-    return struct.pack("<IQB", len(unique), int(unique[0]), width) + body + np.packbits(twice).tobytes()
+_HEADER = "<IQBI?"
+
+
+def _bits_of(values: np.ndarray, width: int) -> np.ndarray:
+    """The low ``width`` bits of each value, packed."""
+    spread = np.unpackbits(values.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    return np.packbits(spread[:, 64 - width :])
 
 
-def unpack_names(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    count, first, width = struct.unpack_from("<IQB", blob)
-    at = struct.calcsize("<IQB")
-    wide = np.zeros((count - 1, 8), dtype=np.uint8)
-    wide[:, :width] = np.frombuffer(blob, np.uint8, (count - 1) * width, at).reshape(-1, width)
+def _values_of(packed: np.ndarray, count: int, width: int) -> np.ndarray:
+    spread = np.zeros((count, 64), dtype=np.uint8)
+    spread[:, 64 - width :] = np.unpackbits(packed, count=count * width).reshape(count, width)
+    return np.packbits(spread, axis=1).view(">u8").ravel().astype(np.uint64)
+
+
+def pack_names(unique: np.ndarray, twice: np.ndarray, checks: np.ndarray | None = None) -> bytes:
+    """Blob of sorted names: a header, the gaps between names in Rice code, checks, marks."""
+    gaps = np.diff(unique)
+    width = max(0, int(0.69 * (int(unique[-1]) - int(unique[0])) / max(1, len(gaps))).bit_length() - 1)
+    unary = np.zeros(0, dtype=np.uint8)
+    if len(gaps):
+        ends = np.cumsum((gaps >> np.uint64(width)).astype(np.int64) + 1)
+        unary = np.zeros(ends[-1], dtype=np.uint8)
+        unary[ends - 1] = 1
+        unary = np.packbits(unary)
+    more = b"" if checks is None else checks.astype("<u4").tobytes()
+    return struct.pack(_HEADER, len(unique), int(unique[0]), width, len(unary), checks is not None) + unary.tobytes() + _bits_of(gaps, width).tobytes() + more + np.packbits(twice).tobytes()
+
+
+def unpack_names(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names, marks and checks (0 where there are none)."""
+    count, first, width, size, checked = struct.unpack_from(_HEADER, blob)
+    at = struct.calcsize(_HEADER)
+    high = np.diff(np.flatnonzero(np.unpackbits(np.frombuffer(blob, np.uint8, size, at))), prepend=-1) - 1
+    at += size
+    size = -(-(count - 1) * width // 8)
     names = np.empty(count, dtype=np.uint64)
     names[0] = first
-    names[1:] = wide.reshape(-1).view("<u8")
-    twice = np.unpackbits(np.frombuffer(blob, np.uint8, -1, at + (count - 1) * width), count=count).astype(bool)
-    return np.cumsum(names, dtype=np.uint64), twice
+    names[1:] = (high.astype(np.uint64) << np.uint64(width)) | _values_of(np.frombuffer(blob, np.uint8, size, at), count - 1, width)
+    at += size
+    checks = np.frombuffer(blob, "<u4", count, at) if checked else np.zeros(count, "<u4")
+    twice = np.unpackbits(np.frombuffer(blob, np.uint8, -1, at + 4 * count * checked), count=count).astype(bool)
+    return np.cumsum(names, dtype=np.uint64), twice, checks
 
 
-def _publish(chunk_id: int, unique: np.ndarray, twice: np.ndarray, bits: int, buckets: int, offset: int) -> pa.Table:
-    bounds = _bucket_bounds(unique, bits, buckets)
+def _publish(chunk_id: int, names: tuple[np.ndarray, np.ndarray, np.ndarray | None], bits: int, buckets: int, offset: int) -> pa.Table:
+    bounds = _bucket_bounds(names[0], bits, buckets)
     used = np.flatnonzero(np.diff(bounds))
-    blobs = [pack_names(unique[bounds[k] : bounds[k + 1]], twice[bounds[k] : bounds[k + 1]]) for k in used]
+    blobs = [pack_names(*(None if part is None else part[bounds[k] : bounds[k + 1]] for part in names)) for k in used]
     return pa.table({"bucket": pa.array(used + offset, pa.int32()), "chunk": pa.array([chunk_id] * len(used), pa.int32()), "payload": pa.array(blobs, pa.binary())})
 
 
-def _marker(step: int):
-    """Reducer of one range of names: which published names occur twice in the corpus, as bits per chunk."""
+def _marker(step: int, choose: bool = False):
+    """Reducer of one range of names: which published names occur twice in the corpus, as bits per chunk.
+
+    choose: a second series of bits says for which names the chunk is the first that published them.
+    """
 
     def mark(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("chunk")
         parts = [unpack_names(b) for b in table.column("payload").to_pylist()]
-        everything = np.concatenate([n for n, _ in parts])
-        everything.sort()
-        repeated = np.unique(np.concatenate([everything[1:][everything[1:] == everything[:-1]], *[n[t] for n, t in parts]]))
-        bits = [np.packbits(_member(n, repeated)).tobytes() for n, _ in parts]
+        names, twice, checks = (np.concatenate(columns) for columns in zip(*parts))
+        order = np.argsort(names, kind="stable")
+        same = names[order[1:]] == names[order[:-1]]
+        if (checks[order[1:]] != checks[order[:-1]])[same].any():
+            order = np.lexsort((checks, names))
+            same = (names[order[1:]] == names[order[:-1]]) & (checks[order[1:]] == checks[order[:-1]])
+        first = np.concatenate([[True], ~same])
+        group = np.cumsum(first) - 1
+        repeated = np.bincount(group) > 1
+        repeated[group[twice[order]]] = True
+        flags = np.empty((2 if choose else 1, len(names)), dtype=bool)
+        flags[0, order] = repeated[group]
+        if choose:
+            flags[1, order] = first
+        ends = np.cumsum([len(n) for n, _, _ in parts])
+        bits = [b"".join(np.packbits(row[end - len(n) : end]).tobytes() for row in flags) for end, (n, _, _) in zip(ends, parts)]
         rows = len(parts)
         return pa.table({"chunk": table.column("chunk").cast(pa.int32()), "step": pa.array([step] * rows, pa.int32()), "bucket": pa.array([key[0].as_py()] * rows, pa.int32()), "bits": pa.array(bits, pa.binary())})
 
@@ -269,15 +315,16 @@ def _member(values: np.ndarray, of: np.ndarray) -> np.ndarray:
     return of[np.minimum(np.searchsorted(of, values), len(of) - 1)] == values
 
 
-def _marked(marks: pa.Table, step: int, names: np.ndarray, bits: int, buckets: int, offset: int) -> np.ndarray:
-    """Which of a chunk's names are repeated in the corpus."""
+def _marked(marks: pa.Table, step: int, names: np.ndarray, bits: int, buckets: int, offset: int, series: int = 1) -> np.ndarray:
+    """For each series of bits, which of a chunk's names are marked."""
     unique, inverse = np.unique(names, return_inverse=True)
-    bounds, keep = _bucket_bounds(unique, bits, buckets), np.zeros(len(unique), dtype=bool)
+    bounds, keep = _bucket_bounds(unique, bits, buckets), np.zeros((series, len(unique)), dtype=bool)
     for s, bucket, packed in zip(*(marks.column(c).to_pylist() for c in ("step", "bucket", "bits"))):
         if s == step and offset <= bucket < offset + buckets:
             a, b = bounds[bucket - offset], bounds[bucket - offset + 1]
-            keep[a:b] = np.unpackbits(np.frombuffer(packed, np.uint8), count=b - a)
-    return keep[inverse]
+            found = np.frombuffer(packed, np.uint8).reshape(series, -1)
+            keep[:, a:b] = np.unpackbits(found, axis=1, count=b - a)
+    return keep[:, inverse]
 
 
 def _texts(table: pa.Table) -> list[bytes]:
@@ -287,8 +334,8 @@ def _texts(table: pa.Table) -> list[bytes]:
 class _Rule:
     """Repeats of one length in bytes or words; names of different rules have ranges of their own."""
 
-    def __init__(self, of, length: int, r: int, buckets: int, offset: int, name_bits: int):
-        self.of, self.length, self.r, self.name_bits = of, length, r, name_bits
+    def __init__(self, of, length: int, r: int, buckets: int, offset: int, sample_bits: int, name_bits: int):
+        self.of, self.length, self.r, self.sample_bits, self.name_bits = of, length, r, sample_bits, name_bits
         self.ranges = (buckets, offset)
         self.block = length - difference_cover(r)[0] + 1
         if self.block < 1:
@@ -296,63 +343,107 @@ class _Rule:
 
     def sample(self, view: Chunk) -> tuple[np.ndarray, np.ndarray]:
         at = view.sampled(self.r, self.length)
-        return at, view.names(at, self.block, SAMPLE_BITS)
+        return at, view.names(at, self.block, self.sample_bits)
 
     def remaining(self, view: Chunk, marks: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Suffixes that reach a repeated block, and their names."""
         at, names = self.sample(view)
-        left = view.reaching(at[_marked(marks, 1, names, SAMPLE_BITS, *self.ranges)], self.r, self.length)
+        left = view.reaching(at[_marked(marks, 1, names, self.sample_bits, *self.ranges)[0]], self.r, self.length)
         return left, view.names(left, self.length, self.name_bits)
 
+    def segments(self, left: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places in ``left`` of the first and last suffix of each segment, and the segments' names."""
+        anchors = np.flatnonzero(names & np.uint64((1 << ANCHOR_BITS) - 1) == 0)
+        a, b = anchors[:-1], anchors[1:]
+        gap = left[b] - left[a]
+        whole = (gap == b - a) & (gap <= self.length)
+        a, b, gap = a[whole], b[whole], gap[whole]
+        return a, b, self._joined(names[a], names[b], gap)
+
+    def _joined(self, first: np.ndarray, last: np.ndarray, gap: np.ndarray) -> np.ndarray:
+        joined = _mix(first * np.uint64(0x9E3779B97F4A7C15) + (last ^ (last >> np.uint64(31))) * np.uint64(0xD1B54A32D192ED03) + gap.astype(np.uint64))
+        return joined >> np.uint64(64 - self.name_bits) if self.name_bits < 64 else joined
+
+    def checks(self, view: Chunk, at: np.ndarray) -> np.ndarray:
+        return view.names(at, self.length, 64, family=1)
+
+    def settled(self, left: np.ndarray, a: np.ndarray, b: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Which suffixes lie in the given segments."""
+        size = len(left) + 1
+        return np.cumsum(np.bincount(a[which], minlength=size) - np.bincount(b[which] + 1, minlength=size))[:-1] > 0
+
     def publish_sample(self, key: int, chunk: Chunk) -> pa.Table:
         view = self.of(chunk)
-        return _publish(key, *_distinct(view, *self.sample(view)), SAMPLE_BITS, *self.ranges)
+        at, names = self.sample(view)
+        return _publish(key, _distinct(names, view.copied[at]), self.sample_bits, *self.ranges)
+
+    def publish_segments(self, key: int, chunk: Chunk, marks: pa.Table) -> pa.Table:
+        view = self.of(chunk)
+        left, names = self.remaining(view, marks)
+        a, b, joined = self.segments(left, names)
+        places = np.union1d(a, b)
+        checks = self.checks(view, left[places])
+        checks = self._joined(checks[np.searchsorted(places, a)], checks[np.searchsorted(places, b)], b - a)
+        return _publish(key, _distinct(joined, view.copied[left[a]], checks), self.name_bits, *self.ranges)
+
+    def _open(self, view: Chunk, marks: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Suffixes that remain, their names, which are in settled segments and which go on to step 4."""
+        left, names = self.remaining(view, marks)
+        a, b, joined = self.segments(left, names)
+        repeated, chosen = _marked(marks, 2, joined, self.name_bits, *self.ranges, series=2)
+        on = ~self.settled(left, a, b, repeated)
+        on |= self.settled(left, a, b, ~repeated | chosen)
+        return left, names, self.settled(left, a, b, repeated), on
 
     def publish_remaining(self, key: int, chunk: Chunk, marks: pa.Table) -> pa.Table:
         view = self.of(chunk)
-        return _publish(key, *_distinct(view, *self.remaining(view, marks)), self.name_bits, *self.ranges)
+        left, names, _, on = self._open(view, marks)
+        left, names = left[on], names[on]
+        return _publish(key, _distinct(names, view.copied[left], self.checks(view, left)), self.name_bits, *self.ranges)
 
     def removed(self, chunk: Chunk, marks: pa.Table) -> np.ndarray:
         view = self.of(chunk)
-        at, names = self.remaining(view, marks)
-        return view.covered(at[_marked(marks, 2, names, self.name_bits, *self.ranges)], self.length)
+        left, names, starts, on = self._open(view, marks)
+        starts[on] |= _marked(marks, 3, names[on], self.name_bits, *self.ranges)[0]
+        return view.covered(left[starts], self.length)
 
 
 class _Steps:
     """What a chunk does in each step; everything is recomputed from its texts, so no state is kept."""
 
-    def __init__(self, length: int, r: int, words: int | None, buckets: int, name_bits: int):
-        self.rules = [_Rule(lambda chunk: chunk, length, r, buckets, 0, name_bits)]
+    def __init__(self, length: int, r: int, words: int | None, buckets: int, sample_bits: int, name_bits: int):
+        self.rules = [_Rule(lambda chunk: chunk, length, r, buckets, 0, sample_bits, name_bits)]
         if words:
-            self.rules.append(_Rule(Words, words, 0, buckets, buckets, name_bits))
+            self.rules.append(_Rule(Words, words, 0, buckets, buckets, sample_bits, name_bits))
 
-    def publish_sample(self, key: tuple, table: pa.Table) -> pa.Table:
-        chunk = Chunk(_texts(table))
-        out = pa.concat_tables([rule.publish_sample(key[0].as_py(), chunk) for rule in self.rules])
-        del chunk
-        release()
-        return out
+    def publisher(self, publish: str):
+        """The named step of all rules as a function of a group."""
 
-    def publish_remaining(self, key: tuple, table: pa.Table, marks: pa.Table) -> pa.Table:
-        chunk = Chunk(_texts(table))
-        out = pa.concat_tables([rule.publish_remaining(key[0].as_py(), chunk, marks) for rule in self.rules])
-        del chunk
-        release()
-        return out
+        def run(key: tuple, table: pa.Table, *marks: pa.Table) -> pa.Table:
+            chunk = Chunk(_texts(table))
+            out = pa.concat_tables([getattr(rule, publish)(key[0].as_py(), chunk, *marks) for rule in self.rules])
+            del chunk
+            release()
+            return out
 
-    def removed(self, table: pa.Table, marks: pa.Table) -> tuple[Chunk, np.ndarray]:
+        if publish == "publish_sample":
+            return lambda key, table: run(key, table)
+        return lambda key, table, marks: run(key, table, marks)
+
+    def removed(self, table: pa.Table, marks: pa.Table) -> tuple[Chunk, list[np.ndarray]]:
         chunk = Chunk(_texts(table))
-        return chunk, functools.reduce(np.logical_or, (rule.removed(chunk, marks) for rule in self.rules))
+        return chunk, [rule.removed(chunk, marks) for rule in self.rules]
 
 
-def _digest_rows(chunk: Chunk, gone: np.ndarray) -> list[tuple]:
-    """(n_bytes, n_removed, n_spans, sha256 of the kept bytes) of each distinct text."""
+def _digest_rows(chunk: Chunk, gone: np.ndarray, passages: np.ndarray) -> list[tuple]:
+    """(n_bytes, n_removed, n_spans, sha256 of the kept bytes, n_passage_bytes) of each distinct text."""
     out = []
     for a, b, text in zip(chunk.starts, chunk.ends, chunk.texts):
         mask = gone[a:b]
         removed = int(mask.sum())
         spans = int(mask[0]) + int((mask[1:] & ~mask[:-1]).sum()) if removed else 0
         kept = chunk.bytes[a:b][~mask].tobytes() if removed else text
-        out.append((len(text), removed, spans, hashlib.sha256(kept).hexdigest()))
+        out.append((len(text), removed, spans, hashlib.sha256(kept).hexdigest(), int(passages[a:b].sum())))
     return out
 
 
@@ -360,13 +451,15 @@ def _run(docs: DataFrame, row: Column, length: int, r: int, words: int | None, c
     data = F.col("text").cast("string").cast("binary")
     total = docs.select(F.sum(F.octet_length(data)).alias("n")).first()["n"] or 0
     chunks = max(1, -(-total // chunk_bytes))
-    small_batches(docs.sparkSession)
-    steps = _Steps(length, r, words, -(-chunks // 8), name_bits)
+    sample_bits = min(64, max(32, int(total).bit_length() + SAMPLE_BITS))
+    steps = _Steps(length, r, words, -(-chunks // 8), sample_bits, name_bits)
     chunk = F.pmod(F.xxhash64(F.col("doc_id"), F.octet_length(data)), F.lit(chunks)).cast("int")
     dealt = docs.select(row.alias("row"), data.alias("data"), chunk.alias("chunk")).groupBy("chunk")
-    first = dealt.applyInArrow(lambda key, table: steps.publish_sample(key, table), PUBLISHED).groupBy("bucket").applyInArrow(_marker(1), MARKED)
-    second = dealt.cogroup(first.groupBy("chunk")).applyInArrow(lambda key, table, marks: steps.publish_remaining(key, table, marks), PUBLISHED).groupBy("bucket").applyInArrow(_marker(2), MARKED)
-    marks = first.unionByName(second).groupBy("chunk")
+    first = dealt.applyInArrow(steps.publisher("publish_sample"), PUBLISHED).groupBy("bucket").applyInArrow(_marker(1), MARKED)
+    second = dealt.cogroup(first.groupBy("chunk")).applyInArrow(steps.publisher("publish_segments"), PUBLISHED).groupBy("bucket").applyInArrow(_marker(2, choose=True), MARKED)
+    both = first.unionByName(second)
+    third = dealt.cogroup(both.groupBy("chunk")).applyInArrow(steps.publisher("publish_remaining"), PUBLISHED).groupBy("bucket").applyInArrow(_marker(3), MARKED)
+    marks = both.unionByName(third).groupBy("chunk")
 
     def last(key: tuple, table: pa.Table, marked: pa.Table) -> pa.Table:
         out = finish(table, *steps.removed(table, marked))
@@ -376,21 +469,26 @@ def _run(docs: DataFrame, row: Column, length: int, r: int, words: int | None, c
     return dealt.cogroup(marks).applyInArrow(last, schema)
 
 
-def repeat_digest(docs: DataFrame, length: int = LENGTH, r: int = 2, chunk_bytes: int = CHUNK_BYTES, name_bits: int = NAME_BITS) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans and the digest of the bytes kept."""
+def repeat_digest(docs: DataFrame, length: int = LENGTH, r: int = COVER, words: int | None = WORDS, chunk_bytes: int = CHUNK_BYTES, name_bits: int = NAME_BITS) -> DataFrame:
+    """Per document: doc_id, n_bytes, n_removed, n_spans and the digest of the bytes kept, by the rule of ``length`` bytes.
+
+    n_passage_bytes counts the bytes inside passages of ``words`` words that repeat (0 without that rule). They
+    do not change the other columns; has_repeat says whether either rule met the document.
+    """
 
-    def finish(table: pa.Table, chunk: Chunk, gone: np.ndarray) -> pa.Table:
-        digests = _digest_rows(chunk, gone)
+    def finish(table: pa.Table, chunk: Chunk, masks: list[np.ndarray]) -> pa.Table:
+        digests = _digest_rows(chunk, masks[0], masks[1] if len(masks) > 1 else np.zeros_like(masks[0]))
         rows = [digests[k] for k in chunk.text_of_row]
-        parts = list(zip(*rows)) or [[]] * 4
+        n_bytes, removed, spans, kept, passages = list(zip(*rows)) or [[]] * 5
         ids = table.column("row").combine_chunks().field("doc_id") if table.num_rows else pa.array([], pa.int64())
-        return pa.table({"doc_id": ids, "n_bytes": pa.array(parts[0], pa.int64()), "n_removed": pa.array(parts[1], pa.int64()), "n_spans": pa.array(parts[2], pa.int64()), "kept_sha256": pa.array(parts[3], pa.string())})
+        met = [bool(x or y) for x, y in zip(removed, passages)]
+        return pa.table({"doc_id": ids, "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(kept, pa.string()), "n_passage_bytes": pa.array(passages, pa.int64()), "has_repeat": pa.array(met, pa.bool_())})
 
     row = F.struct(F.col("doc_id").cast("long").alias("doc_id"))
-    return _run(docs, row, length, r, None, chunk_bytes, name_bits, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _run(docs, row, length, r, words, chunk_bytes, name_bits, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long, has_repeat boolean")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, r: int = 2, words: int | None = WORDS, chunk_bytes: int = CHUNK_BYTES, name_bits: int = NAME_BITS) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, r: int = COVER, words: int | None = WORDS, chunk_bytes: int = CHUNK_BYTES, name_bits: int = NAME_BITS) -> DataFrame:
     """The documents, all rows and columns, with repeated strings cut out of text and n_chars counted anew.
 
     Repeated passages of ``words`` words (13 at least; None: no such rule) are cut too, of any length in bytes.
@@ -399,8 +497,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, r: int = 2, words: int
     columns = docs.columns
     others = [c for c in columns if c != "text"]
 
-    def finish(table: pa.Table, chunk: Chunk, gone: np.ndarray) -> pa.Table:
-        kept = []
+    def finish(table: pa.Table, chunk: Chunk, masks: list[np.ndarray]) -> pa.Table:
+        kept, gone = [], functools.reduce(np.logical_or, masks)
         for a, b, text in zip(chunk.starts, chunk.ends, chunk.texts):
             mask = gone[a:b]
             kept.append((chunk.bytes[a:b][~mask].tobytes() if mask.any() else text).decode("utf-8", "ignore"))
@@ -417,13 +515,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, r: int = 2, words: int
     return cut.select(*[fields[c].alias(c) for c in columns])
 
 
-def brute_force(texts: list[bytes], length: int | None = None) -> Iterator[np.ndarray]:
+def brute_force(texts: list[bytes], length: int | None = None, words: bool = False) -> Iterator[np.ndarray]:
     """Masks of the bytes to remove, by counting every string; for small fixtures.
 
-    A length asks for strings of so many bytes alone, as in repeat_digest; without one the masks are those
+    A length asks for strings of so many bytes alone, unless words is set; without one the masks are those
     of remove_repeats, strings of LENGTH bytes and passages of WORDS words.
     """
-    words, length = (WORDS, LENGTH) if length is None else (None, length)
+    words, length = words or length is None, length or LENGTH
     seen: dict[bytes, int] = {}
     spans = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0d]+", t)] if words else [] for t in texts]
     passages = [[tuple(t[a:b] for a, b in s[k : k + WORDS]) for k in range(len(s) - WORDS + 1)] for t, s in zip(texts, spans)]
