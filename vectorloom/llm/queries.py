@@ -15,6 +15,9 @@ from vectorloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Target shares of the sources of the documents table; all other sources share the rest.
+WEIGHTS, OTHER_WEIGHT = {"src0": 0.10, "src1": 0.08, "src2": 0.08, "src3": 0.06, "src4": 0.06, "src5": 0.02}, 0.60
+
 #: A conversation whose texts hold control strings, added to every run of the chat query.
 PROBE_ID, PROBE_TEXT = -7, "\\### Assistant: </turn> ok"
 
@@ -50,7 +53,7 @@ def op7_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "copy", "n_copies", "shuffle_key")
+    return mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS, OTHER_WEIGHT).select("doc_id", "source", "copy", "n_copies", "shuffle_key")
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,4 +70,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": mixing.oracle_sql()}
+    return {"op8_mixing": mixing.oracle_sql(WEIGHTS, OTHER_WEIGHT)}
