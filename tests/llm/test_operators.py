@@ -9,6 +9,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -202,8 +204,12 @@ def test_fingerprint_edges(spark, edges, empty):
 
 def check_repeats(spark, rows, **options):
     df = documents(spark, rows)
-    found = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeat_digest(df, **options).collect())
+    result = suffix_dedup.repeat_digest(df, **options).collect()
+    found = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in result)
     texts = [(t or "").encode() for _, t in rows]
+    passages = Counter((i, int(mask.sum())) for (i, _), mask in zip(rows, suffix_dedup.brute_force(texts, 10**9, words=True)))
+    assert Counter((r.doc_id, r.n_passage_bytes) for r in result) == passages
+    assert all(r.has_repeat == (r.n_removed + r.n_passage_bytes > 0) for r in result)
     expected = Counter()
     for (i, _), t, mask in zip(rows, texts, suffix_dedup.brute_force(texts, options.get("length", 400))):
         spans = int((np.diff(np.concatenate([[0], mask.astype(int)])) == 1).sum())
@@ -224,6 +230,40 @@ def test_suffix_dedup_brute_force(spark):
     check_repeats(spark, rows, length=150, r=1, chunk_bytes=2000)
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_suffix_steps_match_brute_force_on_overlapping_passages(seed):
+    """All steps over several chunks without Spark: passages cut, joined and repeated at random."""
+    rng = np.random.default_rng(seed)
+    length, chunks, buckets = 150, 1 + seed % 4, 3
+    pool = [rng.integers(97, 97 + (2 if k == 0 else 26), int(rng.integers(80, 900)), dtype=np.uint8).tobytes() for k in range(6)] + [b"ab" * 300, b"z" * 400]
+
+    def text():
+        parts = []
+        for _ in range(int(rng.integers(0, 6))):
+            source = pool[rng.integers(len(pool))]
+            at = int(rng.integers(0, len(source)))
+            parts.append(source[at : at + int(rng.integers(1, 500))])
+        return b"".join(parts)
+
+    texts = [text() for _ in range(24)]
+    texts += texts[:3]
+    steps = suffix_dedup._Steps(length, 1, None, buckets, 40, 64)
+    tables = {c: pa.table({"data": pa.array(texts[c::chunks], pa.binary())}) for c in range(chunks)}
+    marks = suffix_dedup._marker(1)((pa.scalar(0),), pa.table({"chunk": [0], "payload": [suffix_dedup.pack_names(np.array([1], np.uint64), np.array([True]))]})).slice(0, 0)
+    for step, publish in enumerate(("publish_sample", "publish_segments", "publish_remaining"), 1):
+        run = steps.publisher(publish)
+        out = pa.concat_tables([run((pa.scalar(c),), t) if step == 1 else run((pa.scalar(c),), t, marks.filter(pc.equal(marks["chunk"], c))) for c, t in tables.items()])
+        for bucket in sorted(set(out["bucket"].to_pylist())):
+            marks = pa.concat_tables([marks, suffix_dedup._marker(step, choose=step == 2)((pa.scalar(bucket),), out.filter(pc.equal(out["bucket"], bucket)))])
+    found: dict[int, bytes] = {}
+    for c, t in tables.items():
+        chunk, (gone,) = steps.removed(t, marks.filter(pc.equal(marks["chunk"], c)))
+        for k, at in enumerate(chunk.text_of_row):
+            found[c + k * chunks] = gone[chunk.starts[at] : chunk.ends[at]].tobytes()
+    for k, mask in enumerate(suffix_dedup.brute_force(texts, length)):
+        assert found[k] == mask.tobytes(), k
+
+
 @pytest.mark.parametrize("r", [1, 2, 3])
 def test_difference_cover(r):
     v, d = suffix_dedup.difference_cover(r)
@@ -247,12 +287,22 @@ def test_remove_repeats(spark, small, edges, empty):
 def test_names_round_trip():
     names = np.unique(np.random.default_rng(1).integers(0, 2**63, 1000, dtype=np.uint64))
     twice = names % 3 == 0
-    a, b = suffix_dedup.unpack_names(suffix_dedup.pack_names(names, twice))
-    assert (a == names).all() and (b == twice).all()
-    a, b = suffix_dedup.unpack_names(suffix_dedup.pack_names(names[:1], twice[:1]))
+    for checks in (None, names * np.uint64(3)):
+        a, b, c = suffix_dedup.unpack_names(suffix_dedup.pack_names(names, twice, checks))
+        assert (a == names).all() and (b == twice).all() and (c == (0 if checks is None else checks.astype(np.uint32))).all()
+    a, b, c = suffix_dedup.unpack_names(suffix_dedup.pack_names(names[:1], twice[:1]))
     assert (a == names[:1]).all()
 
 
+def test_names_of_different_checks_are_different():
+    names = np.array([5, 9], np.uint64)
+    blob = lambda checks: suffix_dedup.pack_names(names, np.zeros(2, bool), np.array(checks, np.uint64))
+    table = pa.table({"chunk": [3, 1, 2], "payload": [blob([1, 7]), blob([2, 7]), blob([3, 8])]})
+    out = suffix_dedup._marker(2, choose=True)((pa.scalar(0),), table).to_pydict()
+    bits = dict(zip(out["chunk"], ([np.unpackbits(np.frombuffer(b, np.uint8).reshape(2, 1), axis=1, count=2).tolist() for b in out["bits"]])))
+    assert bits == {1: [[0, 1], [1, 1]], 2: [[0, 0], [1, 1]], 3: [[0, 1], [1, 0]]}
+
+
 # -- 5 language ID -------------------------------------------------------------------------------
 
 
@@ -435,8 +485,7 @@ def test_mixing(spark, edges, empty):
     assert all(per[r.doc_id] == r.n_copies for r in rows)
     found = mixing.mix(edges, {"src0": 1.0}, other_weight=1.0, size_factor=3.0)
     assert found.columns[: len(edges.columns) - 1] == [c for c in edges.columns if c != "copy"]
-    assert mixing.mix(empty).count() == 0
-    assert mixing.mix(documents(spark, [(1, ""), (2, None)])).count() >= 0
+    assert mixing.mix(empty, {"src0": 1.0}, 1.0).count() == 0
 
 
 def test_mixing_reaches_the_weight_of_a_tiny_source(spark):
@@ -451,7 +500,7 @@ def test_mixing_reaches_the_weight_of_a_tiny_source(spark):
 def test_mixing_of_unnamed_sources_keeps_the_size(spark):
     df = documents(spark, [(i, "a b c d e ") for i in range(2000)], sources=("web", "books"))
     for other in (df, df.withColumn("source", F.lit("src3"))):
-        assert abs(mixing.mix(other).count() - 2000) < 5 * np.sqrt(2000)
+        assert abs(mixing.mix(other, queries.WEIGHTS, queries.OTHER_WEIGHT).count() - 2000) < 5 * np.sqrt(2000)
     assert mixing.mix(df, {"src0": 1.0}, other_weight=0.0).count() == 0
 
 
@@ -460,8 +509,12 @@ def test_mixing_matches_duckdb(spark):
 
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{SF_MEDIUM}/documents.parquet'")
-    expected = sorted(con.execute(mixing.oracle_sql()).fetchall())
-    assert sorted(tuple(r) for r in queries.op8_mixing(spark, SF_MEDIUM).collect()) == expected
+    docs = spark.read.parquet(f"{SF_MEDIUM}/documents.parquet")
+    # the last has a rate above part_rate and weights without a source
+    for weights, other, factor in ((queries.WEIGHTS, queries.OTHER_WEIGHT, 1.0), ({"src0": 0.3}, 0.0, 1.0), ({"src5": 0.9, "nowhere": 0.4}, 0.1, 20.0)):
+        expected = sorted(con.execute(mixing.oracle_sql(weights, other, factor)).fetchall())
+        found = mixing.mix(docs, weights, other, factor).select("doc_id", "source", "copy", "n_copies", "shuffle_key")
+        assert sorted(tuple(r) for r in found.collect()) == expected
 
 
 # -- 9 media -------------------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.conftest import SF_MEDIUM, SF_SMALL
-from vectorloom.llm import language_id, minmax_dedup, mixing, suffix_dedup
+from vectorloom.llm import language_id, minmax_dedup, mixing, queries, suffix_dedup
 
 
 def test_stages_and_run(spark, tmp_path):
@@ -20,7 +20,7 @@ def test_stages_and_run(spark, tmp_path):
         "language_id": lambda d: language_id.accept(d),
         "near_dedup": lambda d: minmax_dedup.keep_one(d),
         "suffix_dedup": lambda d: suffix_dedup.remove_repeats(d),
-        "mixing": lambda d: mixing.mix(d).select(*columns),
+        "mixing": lambda d: mixing.mix(d, queries.WEIGHTS, queries.OTHER_WEIGHT).select(*columns),
     }
     seen = []
     for name, stage in corpus_pipeline.STAGES:

@@ -186,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 8000, pool: int = 30
         return QualityModel()
     picked = named.where(draw < int((1 << 30) * min(1.0, labelled / n_labels))).groupBy("doc_id")
     picked = picked.agg(F.min(F.coalesce("quality", F.lit(1))).alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
-    picked = picked.select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("double").alias("y")).limit(2 * labelled)
+    picked = picked.select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("double").alias("y")).orderBy(draw, "doc_id").limit(2 * labelled)
     other = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, pool / n_docs))
     sample = own.join(F.broadcast(picked), "doc_id", "left").where(F.col("y").isNotNull() | other)  # picked is bounded
 
@@ -202,7 +202,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 8000, pool: int = 30
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.list_(pa.int32())), pa.array(shape, pa.list_(pa.float64())), pa.array(page, pa.list_(pa.int32()))], names=["doc_id", "y", "text", "shape", "page"])
 
     made = sample.select("doc_id", "y", "text", "source", "lang", "n_chars").mapInArrow(features, "doc_id long, y double, text array<int>, shape array<double>, page array<int>")
-    rows = made.limit(2 * labelled + 2 * pool).toArrow().sort_by("doc_id")
+    order = F.col("y").isNull(), draw, "doc_id", "page", "shape"
+    rows = made.orderBy(*order).limit(2 * labelled + 2 * pool).toArrow().sort_by("doc_id")
     y = np.array(rows.column("y").to_pylist(), dtype=float)
     text, page = (_sets_of(rows.column(c).combine_chunks()) for c in ("text", "page"))
     shapes = np.array(rows.column("shape").to_pylist(), dtype=float).reshape(-1, SHAPES)

@@ -7,15 +7,16 @@ are averaged, so the whole text decides.
 
 Training reads a bounded sample: per language the labelled documents whose hash falls below a threshold
 set from the language's count (about ``per_language`` of them), and of each a slice of at most
-``slice_chars`` characters at a hashed place. Languages beyond the ``max_languages`` most frequent are
-not learned. The held-out fifth (crc32 of the id, mod 5, equal to 0) is never read for training.
+``slice_chars`` characters at a hashed place; with very many languages fewer of each, so that there are
+about ``most_rows`` in all. Every language is learned. The held-out fifth (crc32 of the id, mod 5, equal to 0) is never read for training.
 
 A share of the network says which learned language is nearest, not whether the text is in any. ``accept``
 therefore also asks how likely the text's bytes are under the trigrams of its nearest languages, and how
 many of them are letters; the marks come from held-out labelled rows. Tables take 256 KB a language.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; repeated rows get equal
-answers; without any labelled row everything is ``und``; an empty table gives an empty result; lang, source
+answers; without any labelled row everything is ``und``, and ``accept`` can tell no language from another
+and keeps every text with a letter; an empty table gives an empty result; lang, source
 and doc_id are not inputs of a prediction and other columns are ignored.
 """
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectorloom.llm.memory import releasing, small_batches
+from vectorloom.llm.memory import releasing
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -147,28 +148,27 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _sample(docs: DataFrame, held: bool, per_language: int = 500, slice_chars: int = 1024, max_languages: int = 200, seed: int = 7) -> tuple[list[str], list[str]]:
+def _sample(docs: DataFrame, held: bool, per_language: int = 500, slice_chars: int = 1024, most_rows: int = 100_000, seed: int = 7) -> tuple[list[str], list[str]]:
     """Texts and labels of a bounded sample of the labelled documents, held out or not."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     labelled = own.where(F.col("lang").isNotNull() & (held_out() if held else ~held_out()))
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()  # a row per language
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_003))
-    below = None
-    for r in counts:
-        mine = (F.col("lang") == r["lang"]) & (draw < int(1_000_003 * min(1.0, per_language / r["n"])) + 1)
-        below = mine if below is None else below | mine
-    if below is None:
+    if not counts:
         return [], []
+    per_language = max(1, min(per_language, most_rows // len(counts)))
+    marks = docs.sparkSession.createDataFrame([(r["lang"], int(1_000_003 * min(1.0, per_language / r["n"])) + 1) for r in counts], "lang string, below int")
     start = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.greatest(F.lit(1), F.length("text") - slice_chars)).cast("int") + 1
-    rows = labelled.where(below & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", F.substring("text", start, F.lit(slice_chars)).alias("part"))
-    rows = rows.limit(2 * per_language * len(counts)).collect()
+    chosen = labelled.join(F.broadcast(marks), "lang").where((draw < F.col("below")) & F.col("text").rlike(r"\p{L}"))
+    rows = chosen.select("doc_id", "lang", F.substring("text", start, F.lit(slice_chars)).alias("part"), draw.alias("draw"))
+    rows = rows.orderBy("draw", "lang", "doc_id", "part").limit(2 * per_language * len(counts)).collect()
     rows.sort(key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"], r["part"]))
     return [r["part"] for r in rows], [r["lang"] for r in rows]
 
 
-def fit(docs: DataFrame, per_language: int = 500, slice_chars: int = 1024, max_languages: int = 200, seed: int = 7) -> ByteConvNet:
+def fit(docs: DataFrame, per_language: int = 500, slice_chars: int = 1024, most_rows: int = 100_000, seed: int = 7) -> ByteConvNet:
     """Train on a bounded sample of the labelled documents that are not held out."""
-    return train(*_sample(docs, False, per_language, slice_chars, max_languages, seed), seed)
+    return train(*_sample(docs, False, per_language, slice_chars, most_rows, seed), seed)
 
 
 def _fold() -> np.ndarray:
@@ -293,7 +293,6 @@ def predict(docs: DataFrame, net: ByteConvNet, block: int = 128) -> DataFrame:
                 scores.append(float(shares[i, best[i]]) if windows_of[i] else 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    small_batches(docs.sparkSession)
     inputs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
     inputs = inputs.withColumn("letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     return inputs.mapInArrow(releasing(scored), PREDICTED)
@@ -319,7 +318,6 @@ def accept(docs: DataFrame, least_lead: float = 0.1) -> DataFrame:
 
 
 def _accept_rows(rows: DataFrame, net: ByteConvNet, typical: Typicality, columns: list[str], least: float) -> DataFrame:
-    small_batches(rows.sparkSession)
     whole = rows.schema["row"].dataType
     doc_id, text = F.col("row.doc_id").cast("long"), F.col("row.text").cast("string")
 
@@ -336,7 +334,7 @@ def _keep(batch: pa.RecordBatch, net: ByteConvNet, typical: Typicality, least: f
     keep = []
     for text, letters in zip(batch.column(2), batch.column(3).to_pylist()):
         if not letters or not net.classes:
-            keep.append(False)
+            keep.append(bool(letters))
             continue
         data = text.as_py().encode("utf-8", "replace")
         windows = cut_windows(data)

@@ -1,4 +1,4 @@
-"""Keeping Python workers small: modest Arrow batches, and freed memory given back between tasks."""
+"""Keeping Python workers small: modest slices of Arrow batches, and freed memory given back between tasks."""
 
 from __future__ import annotations
 
@@ -7,16 +7,8 @@ import functools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import SparkSession
 
-ROWS_PER_BATCH = 1000
-_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def small_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
-    """At most so many rows in an Arrow batch from now on; a smaller setting is left alone."""
-    if not 0 < int(spark.conf.get(_SETTING, "10000")) <= rows:
-        spark.conf.set(_SETTING, str(rows))
+ROWS_PER_SLICE = 1000
 
 
 @functools.lru_cache(maxsize=1)
@@ -36,10 +28,15 @@ def release() -> None:
 
 
 def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The same map function, which releases memory when its task ends."""
+    """The same map function, given at most ROWS_PER_SLICE rows at a time, which releases memory when its task ends."""
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_PER_SLICE):
+                yield batch.slice(at, ROWS_PER_SLICE)
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
+        yield from run(sliced(batches))
         release()
 
     return wrapped

@@ -9,8 +9,8 @@ Links are confirmed on the full sets, without listing the pairs of a group:
 
 1. Documents with equal sets form a class; one representative goes on.
 2. In every band bucket the smallest representative leads. Each representative is checked against the
-   leader it shares most bands with. Confirmed links give first components. A group of near copies is
-   settled here, by one link per member.
+   leader it shares most bands with. Confirmed links lead to smaller ids only, so their roots, found by
+   pointer jumping, give first components. A group of near copies is settled here, by one link per member.
 3. For documents in buckets whose members still lie in different components, shingles that no other of
    these documents has are counted. Two documents share at most what is left of either, which rules out
    most of those that have only a passage, or a heavily edited original, in common.
@@ -41,14 +41,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectorloom.llm.memory import releasing, small_batches
-from vectorloom.session import checkpoint
+from vectorloom.llm.memory import releasing
+from vectorloom.session import checkpoint, discard
 
 WIDTH, ROWS, BANDS = 5, 5, 64
 PERMUTATIONS = ROWS * BANDS // 2
 NUMERATOR, DENOMINATOR = 75, 100
-SKETCH, LEAST_EQUAL = 128, 64
+SKETCH, LEAST_EQUAL = 256, 150
 WIDE, WIDE_EQUAL = 1024, 688
+BLOCK = 512
 BROADCAST_IDS = 500_000
 SIGNED = "doc_id long, n_shingles long, set_id binary, bands array<long>"
 
@@ -168,11 +169,12 @@ def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def describe(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(rep, n_shingles, able, wide, keys) of the documents with those ids that may still be linked.
+    """(rep, n_shingles, able, wide, sketch, keys) of the documents with those ids that may still be linked.
 
     able: how many of a document's shingles occur in any other of these documents; two of them have no more
     in common than the smaller of these counts, so one whose own count is below 0.75 of its set is left out.
-    wide: low bytes of 1024 signature values, minima first; keys: low 32 bits of the band keys.
+    wide: low bytes of WIDE signature values, minima first; sketch: SKETCH of them, as many minima as maxima;
+    keys: low 32 bits of the band keys.
     """
     ids = ids.withColumnRenamed("rep", "doc_id")
     each = _sets(docs, ids).select("doc_id", F.explode("shingles").alias("s"))
@@ -184,41 +186,63 @@ def describe(docs: DataFrame, ids: DataFrame) -> DataFrame:
             for rep, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 hashes = shingle_set(value.as_py())
                 low, high = min_max(hashes, WIDE // 2)
-                keys = band_keys(low[:PERMUTATIONS], high[:PERMUTATIONS]).astype("<u4")
-                out.append((rep, len(hashes), _mix(np.concatenate([low, high])).astype(np.uint8).tobytes(), keys.tobytes()))
-            parts = list(zip(*out)) or [[]] * 4
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(parts, kinds)], names=["doc_id", "n_shingles", "wide", "keys"])
-
-    made = _texts(docs, ids).mapInArrow(releasing(run), "doc_id long, n_shingles long, wide binary, keys binary")
+                keys = band_keys(low[:PERMUTATIONS], high[:PERMUTATIONS]).astype("<u4").tobytes()
+                low, high = _mix(low).astype(np.uint8), _mix(high).astype(np.uint8)
+                out.append((rep, len(hashes), low.tobytes() + high.tobytes(), low[: SKETCH // 2].tobytes() + high[: SKETCH // 2].tobytes(), keys))
+            parts = list(zip(*out)) or [[]] * 5
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(parts, kinds)], names=["doc_id", "n_shingles", "wide", "sketch", "keys"])
+
+    made = _texts(docs, ids).mapInArrow(releasing(run), "doc_id long, n_shingles long, wide binary, sketch binary, keys binary")
     full = made.join(alone, "doc_id", "left").withColumn("able", F.col("n_shingles") - F.coalesce("alone", F.lit(0)))
-    return full.where(DENOMINATOR * F.col("able") >= NUMERATOR * F.col("n_shingles")).select(F.col("doc_id").alias("rep"), "n_shingles", "able", "wide", "keys")
+    return full.where(DENOMINATOR * F.col("able") >= NUMERATOR * F.col("n_shingles")).select(F.col("doc_id").alias("rep"), "n_shingles", "able", "wide", "sketch", "keys")
 
 
 def _bytes_of(column: pa.Array, rows: int, kind=np.uint8) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(rows, -1)
 
 
+def forest_roots(links: DataFrame) -> DataFrame:
+    """(node, root) of links (node, root) that lead from each node to a smaller one: every pointer jumps until all rest."""
+    roots = checkpoint(links)
+    while True:
+        onward = roots.select(F.col("node").alias("root"), F.col("root").alias("further"))
+        jumped = checkpoint(roots.join(onward, "root", "left").select("node", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")))
+        discard(roots)
+        roots = jumped.select("node", "root")
+        roots._written_to = jumped._written_to
+        if jumped.where("moved").isEmpty():
+            return roots
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node that each node of the edges (a, b) reaches.
+    """(node, root): the smallest node that each node of the edges (a, b) reaches; roots themselves are left out.
 
-    Large-star and small-star steps in turn until nothing changes; each round is checkpointed and
-    only two numbers come to the driver.
+    In each round every node but the local minima hooks onto its smallest neighbour, pointers jump to the
+    roots and edges are renamed by them; edges that remain join roots. Each round is written to a table.
     """
-    stars = checkpoint(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    state = None
-    while True:
-        both = stars.union(stars.select("b", "a"))
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(small.select("a", "m")).distinct()
-        stars = checkpoint(small)
-        now = stars.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first()
-        if now == state:
-            return stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        state = now
+    open_ = checkpoint(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    found = None
+    while not open_.isEmpty():
+        hooks = forest_roots(open_.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")))
+        found = hooks if found is None else checkpoint(_renamed(found, hooks, "root").unionByName(hooks))
+        named = _renamed(_renamed(open_, hooks, "a"), hooks, "b")
+        fresh = checkpoint(named.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+        discard(open_)
+        open_ = fresh
+    return open_.select(F.col("a").alias("node"), F.col("b").alias("root")) if found is None else found
+
+
+def _renamed(rows: DataFrame, roots: DataFrame, column: str) -> DataFrame:
+    """The rows with a column's nodes replaced by their roots, where they have any."""
+    to = roots.select(F.col("node").alias(column), F.col("root").alias("to"))
+    return rows.join(to, column, "left").withColumn(column, F.coalesce("to", column)).drop("to").select(*rows.columns)
+
+
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after further links (a, b) between nodes: only the components that they touch are gone through."""
+    between = components(_renamed(_renamed(links, roots, "a"), roots, "b"))
+    return checkpoint(_renamed(roots, between, "root").unionByName(between))
 
 
 def _possible(n_a: np.ndarray, n_b: np.ndarray, able_a: np.ndarray, able_b: np.ndarray) -> np.ndarray:
@@ -228,34 +252,40 @@ def _possible(n_a: np.ndarray, n_b: np.ndarray, able_a: np.ndarray, able_b: np.n
 
 
 def _across(key: tuple, table: pa.Table) -> pa.Table:
-    """Pairs of one bucket in different components whose sketches and sizes allow a link.
+    """Pairs of two blocks of a bucket (or within one) in different components whose sketches and sizes allow a link.
 
     A pair that meets in several buckets is put out in the first band that it shares only.
     """
-    reps, roots, sizes, ables = (table.column(c).to_numpy() for c in ("rep", "root", "n_shingles", "able"))
-    wide = _bytes_of(table.column("wide"), len(reps))
-    sketches = np.concatenate([wide[:, : SKETCH // 2], wide[:, WIDE // 2 : (WIDE + SKETCH) // 2]], axis=1)
-    keys, own = _bytes_of(table.column("keys"), len(reps), "<u4"), np.uint32(key[0].as_py() & 0xFFFFFFFF)
-    out_a, out_b = [], []
-    step = max(1, (1 << 20) // max(1, len(reps)))
-    for at in range(0, len(reps), step):
-        rows = slice(at, at + step)
-        able = (roots[rows, None] != roots[None]) & (reps[rows, None] > reps[None])
-        able &= _possible(sizes[rows, None], sizes[None], ables[rows, None], ables[None])
-        i, j = np.nonzero(able)
-        for lo in range(0, len(i), 1 << 14):
-            ii, jj = i[lo : lo + (1 << 14)] + at, j[lo : lo + (1 << 14)]
-            near = (sketches[ii] == sketches[jj]).sum(axis=1) >= LEAST_EQUAL
-            ii, jj = ii[near], jj[near]
-            near = (wide[ii] == wide[jj]).sum(axis=1) >= WIDE_EQUAL
-            ii, jj = ii[near], jj[near]
-            first = (keys[ii] == keys[jj]).argmax(axis=1)
-            here = keys[ii, first] == own
-            out_a.append(reps[ii[here]])
-            out_b.append(reps[jj[here]])
-    a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
-    b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    band, i, j = (k.as_py() for k in key)
+    reps, roots, sizes, ables, own = (table.column(c).to_numpy() for c in ("rep", "root", "n_shingles", "able", "block"))
+    sketches = _bytes_of(table.column("sketch"), len(reps))
+    rows, columns = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    able = roots[rows, None] != roots[None, columns]
+    if i == j:
+        able &= reps[rows, None] > reps[None, columns]
+    able &= _possible(sizes[rows, None], sizes[None, columns], ables[rows, None], ables[None, columns])
+    x, y = np.nonzero(able)
+    x, y = rows[x], columns[y]
+    keys, here = _bytes_of(table.column("keys"), len(reps), "<u4"), np.uint32(band & 0xFFFFFFFF)
+    near = np.zeros(len(x), dtype=bool)
+    for lo in range(0, len(x), 1 << 14):
+        part = slice(lo, lo + (1 << 14))
+        near[part] = (sketches[x[part]] == sketches[y[part]]).sum(axis=1) >= LEAST_EQUAL
+        close = lo + np.flatnonzero(near[part])
+        first = (keys[x[close]] == keys[y[close]]).argmax(axis=1)
+        near[close] = keys[x[close], first] == here
+    a, b = reps[x[near]], reps[y[near]]
+    return pa.table({"a": pa.array(np.maximum(a, b), pa.int64()), "b": pa.array(np.minimum(a, b), pa.int64())})
+
+
+def _bucket_pairs(placed: DataFrame, traits: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) that share a mixed bucket and may be linked, by blocks of each bucket."""
+    members = placed.join(traits.drop("wide"), "rep")
+    blocks = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("rep", "band"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    return met.drop("blocks", "other").groupBy("band", "i", "j").applyInArrow(_across, "a long, b long").distinct()
 
 
 def _likely(pairs: DataFrame, traits: DataFrame) -> DataFrame:
@@ -282,13 +312,8 @@ def _place(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return placed.join(mixed, "band")
 
 
-def _stars(roots: DataFrame) -> DataFrame:
-    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest linked id, its own included) and kept, per document."""
-    small_batches(docs.sparkSession)
     signed = checkpoint(sign(docs))
     # members of a class have one set, so any member's bands stand for all
     filled = signed.where("n_shingles > 0")
@@ -297,21 +322,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     banded = reps.select("rep", F.explode("bands").alias("band"))
     leaders = banded.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1").select("band", "leader")
     shared = checkpoint(banded.join(leaders, "band"))
-    ties = shared.where("rep <> leader").groupBy("rep", "leader").agg(F.count("*").alias("n"))
+    ties = checkpoint(shared.where("rep <> leader").groupBy("rep", "leader").agg(F.count("*").alias("n")))
     best = ties.groupBy("rep").agg(F.max(F.struct(F.col("n"), (-F.col("leader")).alias("minus"))).alias("best"))
     best = best.select(F.col("rep").alias("a"), (-F.col("best.minus")).alias("b"))
-    roots = components(confirm(docs, best))
+    roots = forest_roots(confirm(docs, best).select(F.col("a").alias("node"), F.col("b").alias("root")))
 
     undecided = checkpoint(_place(shared, roots))
     traits = checkpoint(describe(docs, undecided.select("rep").distinct()))
     at = lambda k: roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
     other = ties.select(F.col("rep").alias("a"), F.col("leader").alias("b")).join(at("a"), "a", "left").join(at("b"), "b", "left")
     other = other.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    roots = components(_stars(roots).unionByName(confirm(docs, _likely(other, traits))))
+    roots = joined(roots, confirm(docs, _likely(other, traits)))
 
-    pairs = _place(undecided, roots).join(traits, "rep").groupBy("band").applyInArrow(_across, "a long, b long")
-    edges = _stars(roots).unionByName(confirm(docs, pairs))
-    final = components(edges).withColumnRenamed("node", "rep")
+    pairs = _bucket_pairs(_place(undecided, roots), traits)
+    final = joined(roots, confirm(docs, _likely(pairs, traits))).withColumnRenamed("node", "rep")
 
     classes = reps.select("set_id", "rep").join(final, "rep", "left").select("set_id", F.coalesce("root", "rep").alias("component_id"))
     linked = signed.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left")
@@ -332,5 +356,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The documents, all columns, that stay: one row of each component, and rows without id."""
     stay = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi")
-    one = named.withColumn("dedup_place", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    return one.where("dedup_place = 1").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text")).alias("place")
+    one = named.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), place).where("place = 1")
+    return one.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]).unionByName(docs.where("doc_id is null"))

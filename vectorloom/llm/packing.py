@@ -25,7 +25,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectorloom.llm.memory import releasing, small_batches
+from vectorloom.llm.memory import releasing
 from vectorloom.session import checkpoint
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -163,7 +163,6 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k", capacity: int = 2048,
     is numbered by many tasks; the salts' totals give each group its first rank.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     pieces = checkpoint(cut_pieces(docs, tokenizer, capacity, end_id))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # <= capacity rows
     rows = _assignment(minimum_slack_plan(histogram, capacity))
@@ -176,7 +175,7 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k", capacity: int = 2048,
         .agg(F.count("*").alias("n"))
         .select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     )
-    within = Window.partitionBy("length", "salt").orderBy("doc_id", "start")
+    within = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
     ranked = (
         salted.withColumn("place", F.row_number().over(within) - 1)
         .join(firsts, ["length", "salt"])
