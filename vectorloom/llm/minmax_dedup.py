@@ -49,7 +49,7 @@ PERMUTATIONS = ROWS * BANDS // 2
 NUMERATOR, DENOMINATOR = 75, 100
 SKETCH, LEAST_EQUAL = 256, 150
 WIDE, WIDE_EQUAL = 1024, 688
-BLOCK = 512
+BLOCK = 1024
 BROADCAST_IDS = 500_000
 SIGNED = "doc_id long, n_shingles long, set_id binary, bands array<long>"
 
@@ -169,12 +169,11 @@ def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def describe(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(rep, n_shingles, able, wide, sketch, keys) of the documents with those ids that may still be linked.
+    """(rep, n_shingles, able, wide, keys) of the documents with those ids that may still be linked.
 
     able: how many of a document's shingles occur in any other of these documents; two of them have no more
     in common than the smaller of these counts, so one whose own count is below 0.75 of its set is left out.
-    wide: low bytes of WIDE signature values, minima first; sketch: SKETCH of them, as many minima as maxima;
-    keys: low 32 bits of the band keys.
+    wide: low bytes of WIDE signature values, minima first; keys: low 32 bits of the band keys.
     """
     ids = ids.withColumnRenamed("rep", "doc_id")
     each = _sets(docs, ids).select("doc_id", F.explode("shingles").alias("s"))
@@ -188,14 +187,14 @@ def describe(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 low, high = min_max(hashes, WIDE // 2)
                 keys = band_keys(low[:PERMUTATIONS], high[:PERMUTATIONS]).astype("<u4").tobytes()
                 low, high = _mix(low).astype(np.uint8), _mix(high).astype(np.uint8)
-                out.append((rep, len(hashes), low.tobytes() + high.tobytes(), low[: SKETCH // 2].tobytes() + high[: SKETCH // 2].tobytes(), keys))
-            parts = list(zip(*out)) or [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(parts, kinds)], names=["doc_id", "n_shingles", "wide", "sketch", "keys"])
+                out.append((rep, len(hashes), low.tobytes() + high.tobytes(), keys))
+            parts = list(zip(*out)) or [[]] * 4
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(parts, kinds)], names=["doc_id", "n_shingles", "wide", "keys"])
 
-    made = _texts(docs, ids).mapInArrow(releasing(run), "doc_id long, n_shingles long, wide binary, sketch binary, keys binary")
+    made = _texts(docs, ids).mapInArrow(releasing(run), "doc_id long, n_shingles long, wide binary, keys binary")
     full = made.join(alone, "doc_id", "left").withColumn("able", F.col("n_shingles") - F.coalesce("alone", F.lit(0)))
-    return full.where(DENOMINATOR * F.col("able") >= NUMERATOR * F.col("n_shingles")).select(F.col("doc_id").alias("rep"), "n_shingles", "able", "wide", "sketch", "keys")
+    return full.where(DENOMINATOR * F.col("able") >= NUMERATOR * F.col("n_shingles")).select(F.col("doc_id").alias("rep"), "n_shingles", "able", "wide", "keys")
 
 
 def _bytes_of(column: pa.Array, rows: int, kind=np.uint8) -> np.ndarray:
@@ -258,7 +257,8 @@ def _across(key: tuple, table: pa.Table) -> pa.Table:
     """
     band, i, j = (k.as_py() for k in key)
     reps, roots, sizes, ables, own = (table.column(c).to_numpy() for c in ("rep", "root", "n_shingles", "able", "block"))
-    sketches = _bytes_of(table.column("sketch"), len(reps))
+    wide = _bytes_of(table.column("wide"), len(reps))
+    sketches = np.concatenate([wide[:, : SKETCH // 2], wide[:, WIDE // 2 : (WIDE + SKETCH) // 2]], axis=1)
     rows, columns = np.flatnonzero(own == i), np.flatnonzero(own == j)
     able = roots[rows, None] != roots[None, columns]
     if i == j:
@@ -272,6 +272,8 @@ def _across(key: tuple, table: pa.Table) -> pa.Table:
         part = slice(lo, lo + (1 << 14))
         near[part] = (sketches[x[part]] == sketches[y[part]]).sum(axis=1) >= LEAST_EQUAL
         close = lo + np.flatnonzero(near[part])
+        near[close] = (wide[x[close]] == wide[y[close]]).sum(axis=1) >= WIDE_EQUAL
+        close = close[near[close]]
         first = (keys[x[close]] == keys[y[close]]).argmax(axis=1)
         near[close] = keys[x[close], first] == here
     a, b = reps[x[near]], reps[y[near]]
@@ -280,7 +282,7 @@ def _across(key: tuple, table: pa.Table) -> pa.Table:
 
 def _bucket_pairs(placed: DataFrame, traits: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) that share a mixed bucket and may be linked, by blocks of each bucket."""
-    members = placed.join(traits.drop("wide"), "rep")
+    members = placed.join(traits, "rep")
     blocks = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = members.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("rep", "band"), F.col("blocks")).cast("int"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -335,7 +337,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = joined(roots, confirm(docs, _likely(other, traits)))
 
     pairs = _bucket_pairs(_place(undecided, roots), traits)
-    final = joined(roots, confirm(docs, _likely(pairs, traits))).withColumnRenamed("node", "rep")
+    final = joined(roots, confirm(docs, pairs)).withColumnRenamed("node", "rep")
 
     classes = reps.select("set_id", "rep").join(final, "rep", "left").select("set_id", F.coalesce("root", "rep").alias("component_id"))
     linked = signed.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left")
