@@ -1,15 +1,17 @@
 """Exact all-pairs kernels in blocks: nearest neighbours, nearest anchors, mean, minimum and rank distances.
 
-Rows are dealt into blocks of bounded size by a hash of their id. Each pair of blocks meets in one group
-of a cogroup, which holds two blocks and puts out one small row per point, so neither side is ever
-broadcast or collected, and there is no join that lists pairs of rows. Work is quadratic, as the
-operators are; the number of groups grows with it.
+Rows are dealt into blocks by a hash of their id. Each pair of blocks meets in one group of a cogroup, which
+puts out at most a few rows per point, so neither side is ever broadcast or collected, and there is no join that
+lists pairs of rows. A row is copied once per block of the other side, so blocks are as large as BLOCK_BYTES
+allows, or smaller where that leaves cores idle; inside a group distances are made in strips of bounded size.
+Work is quadratic, as the operators are; the number of groups grows with it.
 
 The expansion |a|^2 + |b|^2 - 2 ab picks candidates; distances put out are recomputed from differences.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -20,11 +22,17 @@ from pyspark.sql import functions as F
 from vectorloom.functions.vectors import doubles
 from vectorloom.operators.moments import matrix_of
 
-BLOCK_ROWS = 2048
+BLOCK_BYTES, LEAST_ROWS = 64 << 20, 512
 
 
-def block_count(n: int, rows: int = BLOCK_ROWS) -> int:
-    return max(1, -(-n // rows))
+def block_counts(a: DataFrame, b: DataFrame, vector: str, rows: int | None = None) -> tuple[int, int]:
+    """Blocks of each side: of ``rows`` rows, or as few as fit in BLOCK_BYTES and keep all cores busy."""
+    shapes = [df.agg(F.count("*").alias("n"), F.max(F.size(vector)).alias("width")).first() for df in (a, b)]
+    if rows is None:
+        most = max(1, BLOCK_BYTES // (8 * max(1, *((s["width"] or 1) for s in shapes))))
+        side = math.ceil(math.sqrt(2 * a.sparkSession.sparkContext.defaultParallelism))
+        return tuple(max(1, -(-s["n"] // most), min(side, s["n"] // LEAST_ROWS)) for s in shapes)
+    return tuple(max(1, -(-s["n"] // rows)) for s in shapes)
 
 
 def _dealt(df: DataFrame, key: str, vector: str, blocks: int, others: int, own: str, other: str) -> DataFrame:
@@ -33,9 +41,9 @@ def _dealt(df: DataFrame, key: str, vector: str, blocks: int, others: int, own:
     return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
 
 
-def pairwise(a: DataFrame, b: DataFrame, key: str, vector: str, kernel: Callable, schema: str, rows: int = BLOCK_ROWS) -> DataFrame:
+def pairwise(a: DataFrame, b: DataFrame, key: str, vector: str, kernel: Callable, schema: str, rows: int | None = None) -> DataFrame:
     """kernel(ids_a, A, ids_b, B) -> pa.Table for each pair of blocks, all put together."""
-    na, nb = block_count(a.count(), rows), block_count(b.count(), rows)
+    na, nb = block_counts(a, b, vector, rows)
     left = _dealt(a, key, vector, na, nb, "i", "j").groupBy("i", "j")
     right = _dealt(b, key, vector, nb, na, "j", "i").groupBy("i", "j")
 
@@ -63,7 +71,7 @@ def _strips(n: int, m: int, budget: int = 1 << 22):
         yield slice(at, min(n, at + step))
 
 
-def nearest(a: DataFrame, b: DataFrame, key: str, vector: str, k: int, exclude_self: bool = False, rows: int = BLOCK_ROWS) -> DataFrame:
+def nearest(a: DataFrame, b: DataFrame, key: str, vector: str, k: int, exclude_self: bool = False, rows: int | None = None) -> DataFrame:
     """(src, dst, rank, d): the k nearest rows of b for each row of a; ties go to the smaller id.
 
     exclude_self leaves out the row with the same id.
@@ -99,12 +107,12 @@ def nearest(a: DataFrame, b: DataFrame, key: str, vector: str, k: int, exclude_s
     return best.select("src", F.col("n.dst").alias("dst"), F.col("rank"), F.col("n.d").alias("d"))
 
 
-def row_minimum(a: DataFrame, b: DataFrame, key: str, vector: str, rows: int = BLOCK_ROWS) -> DataFrame:
+def row_minimum(a: DataFrame, b: DataFrame, key: str, vector: str, rows: int | None = None) -> DataFrame:
     """(id, d): distance of each row of a to its nearest row of b."""
     return nearest(a, b, key, vector, 1, rows=rows).select(F.col("src").alias("id"), "d")
 
 
-def pair_sums(a: DataFrame, b: DataFrame, key: str, vector: str, rows: int = BLOCK_ROWS) -> DataFrame:
+def pair_sums(a: DataFrame, b: DataFrame, key: str, vector: str, rows: int | None = None) -> DataFrame:
     """One row: number of pairs, sum and maximum of all distances between a and b."""
 
     def kernel(ids_a, x, ids_b, y) -> pa.Table:
@@ -122,7 +130,7 @@ def pair_sums(a: DataFrame, b: DataFrame, key: str, vector: str, rows: int = BLO
     return parts.agg(F.sum("pairs").alias("pairs"), F.sum("total").alias("total"), F.max("top").alias("top"))
 
 
-def closer_than_match(a: DataFrame, b: DataFrame, key: str, vector: str, rows: int = BLOCK_ROWS) -> DataFrame:
+def closer_than_match(a: DataFrame, b: DataFrame, key: str, vector: str, rows: int | None = None) -> DataFrame:
     """(id, n_closer): for each row of a, how many rows of b are closer than the one with its own id."""
     match = a.select(F.col(key).alias("id"), doubles(vector).alias("v")).join(b.select(F.col(key).alias("id"), doubles(vector).alias("w")), "id")
     with_match = match.select("id", F.concat("v", "w").alias("v2"))

@@ -90,8 +90,9 @@ def adjacency_matrix(edges: DataFrame, nodes: DataFrame) -> tuple[np.ndarray, np
         raise ValueError(f"dense graph operators take at most {MAX_DENSE} nodes")
     place = {v: k for k, v in enumerate(rows)}
     matrix = np.zeros((len(rows), len(rows)))
-    for r in edges.collect():
-        matrix[place[r["src"]], place[r["dst"]]] = r["w"]
+    found = edges.select(F.col("src").cast("long"), F.col("dst").cast("long"), F.col("w").cast("double")).toArrow()  # at most the square of the nodes
+    src, dst = (np.fromiter((place[x] for x in found.column(c).to_pylist()), dtype=np.int64, count=found.num_rows) for c in ("src", "dst"))
+    matrix[src, dst] = found.column("w").to_numpy()
     return np.array(rows), matrix
 
 
@@ -141,11 +142,11 @@ def shortest_paths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         place = {v: k for k, v in enumerate(ids)}
         for batch in batches:
             for source in batch.column(0).to_pylist():
-                d = _dijkstra(place[source], near, weights)
+                d = _distances(place[source], near, weights)
                 hit = np.flatnonzero(np.isfinite(d) & (np.arange(len(d)) != place[source]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), source), pa.int64()), pa.array(ids[hit], pa.int64()), pa.array(d[hit])], names=["src", "dst", "d"])
 
-    return nodes.select("id").repartition(8).mapInArrow(run, "src long, dst long, d double")
+    return nodes.select("id").repartition(_tasks(nodes)).mapInArrow(run, "src long, dst long, d double")
 
 
 def _dijkstra(start: int, near: list[np.ndarray], weights: list[np.ndarray]) -> np.ndarray:
@@ -164,13 +165,47 @@ def _dijkstra(start: int, near: list[np.ndarray], weights: list[np.ndarray]) ->
 
 
 def path_indices(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """wiener, schultz, gutman (unordered sums over connected pairs, weighted degrees) and diameter."""
-    paths = shortest_paths(edges, nodes)
-    deg = degrees(edges, nodes)
-    a, b = deg.select(F.col("id").alias("src"), F.col("degree").alias("p")), deg.select(F.col("id").alias("dst"), F.col("degree").alias("q"))
-    full = paths.join(a, "src").join(b, "dst")
-    half = lambda c: F.coalesce(F.sum(c) / 2, F.lit(0.0))
-    return full.agg(half(F.col("d")).alias("wiener"), half((F.col("p") + F.col("q")) * F.col("d")).alias("schultz"), half(F.col("p") * F.col("q") * F.col("d")).alias("gutman"), F.coalesce(F.max("d"), F.lit(0.0)).alias("diameter"))
+    """wiener, schultz, gutman (unordered sums over connected pairs, weighted degrees) and diameter.
+
+    Each task sums over the paths from its sources, so one row per source is put out instead of one per pair.
+    """
+    ids, near, weights = _adjacency_lists(edges, nodes)
+    degree = np.array([w.sum() for w in weights])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {v: k for k, v in enumerate(ids)}
+        for batch in batches:
+            rows = []
+            for source in batch.column(0).to_pylist():
+                own = place[source]
+                d = _distances(own, near, weights)
+                hit = np.isfinite(d)
+                d, other = d[hit], degree[hit]
+                rows.append((d.sum(), ((degree[own] + other) * d).sum(), (degree[own] * other * d).sum(), d.max(initial=0.0)))
+            columns = list(zip(*rows)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in columns], names=["wiener", "schultz", "gutman", "diameter"])
+
+    sums = nodes.select("id").repartition(_tasks(nodes)).mapInArrow(run, "wiener double, schultz double, gutman double, diameter double")
+    half = lambda c: F.coalesce(F.sum(c) / 2, F.lit(0.0)).alias(c)
+    return sums.agg(half("wiener"), half("schultz"), half("gutman"), F.coalesce(F.max("diameter"), F.lit(0.0)).alias("diameter"))
+
+
+def _tasks(nodes: DataFrame) -> int:
+    return nodes.sparkSession.sparkContext.defaultParallelism * 2
+
+
+def _distances(start: int, near: list[np.ndarray], weights: list[np.ndarray]) -> np.ndarray:
+    """Distances from a node: by levels if all weights are 1, else by Dijkstra's algorithm."""
+    if any((w != 1).any() for w in weights):
+        return _dijkstra(start, near, weights)
+    d = np.full(len(near), np.inf)
+    d[start], level, front = 0, 0, np.array([start])
+    while len(front):
+        level += 1
+        front = np.unique(np.concatenate([near[i] for i in front]))
+        front = front[np.isinf(d[front])]
+        d[front] = level
+    return d
 
 
 def disorder(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -200,19 +235,29 @@ def square_clustering(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, c4): squares through a node over possible ones, by pairs of neighbours.
 
     For neighbours u < w of v: q is the number of their common neighbours other than v, theta 1 if they are
-    linked; c4 = sum q / sum (q + (deg u - 1 - q - theta) + (deg w - 1 - q - theta)).
+    linked; c4 = sum q / sum (q + (deg u - 1 - q - theta) + (deg w - 1 - q - theta)). The second sum is
+    (deg v - 1) * sum of the neighbours' degrees - sum q - deg v * (deg v - 1) - 2 * triangles at v, so only
+    squares and triangles are counted. Each is found once, from its node of highest (degree, id), along paths
+    v - u - x to lower ones: a hub is the middle of paths from still larger hubs only.
     """
-    e = edges.select("src", "dst").distinct()
-    deg = degrees(e.withColumn("w", F.lit(1.0)), nodes)
-    left, right = e.select(F.col("src").alias("v"), F.col("dst").alias("a")), e.select(F.col("src").alias("v"), F.col("dst").alias("b"))
-    wedges = left.join(right, "v").where("a < b")
-    common = wedges.groupBy("a", "b").agg((F.count("*") - 1).alias("q"))
-    linked = e.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(1).alias("theta"))
-    da, db = deg.select(F.col("id").alias("a"), F.col("degree").alias("da")), deg.select(F.col("id").alias("b"), F.col("degree").alias("db"))
-    full = wedges.join(common, ["a", "b"]).join(linked, ["a", "b"], "left").join(da, "a").join(db, "b").withColumn("theta", F.coalesce("theta", F.lit(0)))
-    possible = F.col("da") - (F.col("q") + 1 + F.col("theta")) + F.col("db") - (F.col("q") + 1 + F.col("theta")) + F.col("q")
-    per = full.groupBy(F.col("v").alias("id")).agg(F.sum("q").alias("squares"), F.sum(possible).alias("potential"))
-    return nodes.join(per, "id", "left").select("id", F.when(F.col("potential") > 0, F.col("squares") / F.col("potential")).otherwise(F.lit(0.0)).alias("c4"))
+    e = edges.where("src <> dst").select("src", "dst").distinct()
+    own = e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("deg"))
+    ranked = lambda c: own.select(F.col("id").alias(c), F.struct("deg", "id").alias(f"r_{c}"))
+    placed = e.select(F.col("src").alias("a"), F.col("dst").alias("b")).join(ranked("a"), "a").join(ranked("b"), "b")
+    down = placed.where("r_b < r_a")
+    first = down.select(F.col("a").alias("v"), F.col("r_a").alias("r_v"), F.col("b").alias("u"))
+    paths = first.join(placed.select(F.col("a").alias("u"), F.col("b").alias("x"), "r_b"), "u").where("r_b < r_v").select("v", "u", "x")
+    common = paths.groupBy("v", "x").agg(F.count("*").alias("c")).where("c > 1")
+    square = (F.col("c") * (F.col("c") - 1) / 2).alias("n")
+    squares = common.select(F.col("v").alias("id"), square).union(common.select("x", square))
+    squares = squares.union(paths.join(common, ["v", "x"]).select("u", (F.col("c") - 1).cast("double")))
+    closed = paths.join(down.select(F.col("a").alias("v"), F.col("b").alias("x")), ["v", "x"])
+    triangles = closed.select(F.col("v").alias("id"), F.lit(0.5).alias("n")).union(closed.select("u", F.lit(1.0)))
+    total = lambda rows, name: rows.groupBy("id").agg(F.sum("n").alias(name))
+    around = placed.groupBy(F.col("a").alias("id")).agg(F.sum("r_b.deg").alias("around"), F.first("r_a.deg").alias("deg"))
+    full = nodes.select("id").join(around, "id", "left").join(total(squares, "q"), "id", "left").join(total(triangles, "t"), "id", "left").na.fill(0)
+    possible = (F.col("deg") - 1) * F.col("around") - F.col("q") - F.col("deg") * (F.col("deg") - 1) - 2 * F.col("t")
+    return full.select("id", F.when(possible > 0, F.col("q") / possible).otherwise(F.lit(0.0)).alias("c4"))
 
 
 def minimum_spanning_tree(ids: np.ndarray, edges: list[tuple[float, int, int]]) -> list[tuple[float, int, int]]:

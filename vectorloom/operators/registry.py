@@ -52,12 +52,31 @@ FAMILIES: list[tuple[str, str, str | None]] = [
     ("lcnet", "LCNet", None), ("hardcorenas", "HardCoreNAS", None), ("nest", "NestNet", None), ("ese_vovnet", "VoVNet", "ESE"), ("tinynet", "TinyNet", None), ("csp", "CSP-Net", None),
 ]
 
-#: Coarse category of a family.
-MACRO_FAMILIES: dict[str, tuple[str, ...]] = {
-    "Vision Transformer": ("ViT", "DeiT", "CaiT", "BEiT", "EVA", "FlexiViT", "AIMv2", "ViTamin", "SAM-ViT", "NaFlexViT", "CSAFormer", "CrossViT", "XCiT", "TNT", "VOLO", "VisFormer", "Sequencer2D"),
-    "Hierarchical Vision Transformer": ("Swin", "MViT", "Hiera", "SAM2-Hiera", "PVT", "Twins", "DaViT", "GCViT", "FocalNet"),
-    "Hybrid CNN-Transformer": ("CoAtNet", "CoAtNeXt", "MaxViT", "CoaT", "TinyViT", "NextViT", "FastViT", "MobileViT", "EfficientViT", "LeViT", "NestNet", "PiT", "BotNet", "HaloNet", "ShViT", "SwiftFormer", "EfficientFormer", "RepViT"),
-    "MetaFormer": ("MetaFormer",),
+#: Family and its coarse category.
+MACRO_FAMILIES: dict[str, str] = {
+    "ViT": "Vision Transformer", "DeiT": "Vision Transformer", "CaiT": "Vision Transformer", "BEiT": "Vision Transformer",
+    "EVA": "Vision Transformer", "FlexiViT": "Vision Transformer", "AIMv2": "Vision Transformer", "ViTamin": "Vision Transformer",
+    "SAM-ViT": "Vision Transformer", "NaFlexViT": "Vision Transformer", "CSAFormer": "Vision Transformer", "Swin": "Hierarchical Vision Transformer",
+    "MViT": "Hierarchical Vision Transformer", "Hiera": "Hierarchical Vision Transformer", "SAM2-Hiera": "Hierarchical Vision Transformer",
+    "PVT": "Hierarchical Vision Transformer", "Twins": "Hierarchical Vision Transformer", "DaViT": "Hierarchical Vision Transformer",
+    "GCViT": "Hierarchical Vision Transformer", "FocalNet": "Hierarchical Vision Transformer", "CrossViT": "Vision Transformer",
+    "XCiT": "Vision Transformer", "TNT": "Vision Transformer", "VOLO": "Vision Transformer", "VisFormer": "Vision Transformer",
+    "Sequencer2D": "Vision Transformer", "CoAtNet": "Hybrid CNN-Transformer", "CoAtNeXt": "Hybrid CNN-Transformer",
+    "MaxViT": "Hybrid CNN-Transformer", "CoaT": "Hybrid CNN-Transformer", "TinyViT": "Hybrid CNN-Transformer", "NextViT": "Hybrid CNN-Transformer",
+    "FastViT": "Hybrid CNN-Transformer", "MobileViT": "Hybrid CNN-Transformer", "EfficientViT": "Hybrid CNN-Transformer",
+    "LeViT": "Hybrid CNN-Transformer", "NestNet": "Hybrid CNN-Transformer", "PiT": "Hybrid CNN-Transformer", "BotNet": "Hybrid CNN-Transformer",
+    "HaloNet": "Hybrid CNN-Transformer", "ShViT": "Hybrid CNN-Transformer", "SwiftFormer": "Hybrid CNN-Transformer",
+    "EfficientFormer": "Hybrid CNN-Transformer", "RepViT": "Hybrid CNN-Transformer", "MetaFormer": "MetaFormer", "MLP-Mixer": "MLP", "ResMLP": "MLP",
+    "gMixer": "MLP", "ConvNeXt": "Convolutional", "ConViT": "Hybrid CNN-Transformer", "InceptionNeXt": "Convolutional", "RDNet": "Convolutional",
+    "ResNet": "Convolutional", "ResNeXt": "Convolutional", "Wide-ResNet": "Convolutional", "ResNeSt": "Convolutional", "Res2Net": "Convolutional",
+    "Res2NeXt": "Convolutional", "SENet": "Convolutional", "DenseNet": "Convolutional", "VGG": "Convolutional", "Inception": "Convolutional",
+    "InceptionResNet": "Convolutional", "NFNet": "Convolutional", "HRNet": "Convolutional", "DLA": "Convolutional", "DPN": "Convolutional",
+    "RegNet": "Convolutional", "EfficientNet": "Convolutional", "HGNet": "Convolutional", "HGNetV2": "Convolutional", "TResNet": "Convolutional",
+    "MobileNet": "Convolutional", "MobileOne": "Convolutional", "MixNet": "Convolutional", "MnasNet": "Convolutional", "FBNet": "Convolutional",
+    "LCNet": "Convolutional", "RexNet": "Convolutional", "GENet": "Convolutional", "GhostNet": "Convolutional", "RepGhostNet": "Convolutional",
+    "RepVGG": "Convolutional", "EdgeNeXt": "Convolutional", "FasterNet": "Convolutional", "VoVNet": "Convolutional", "NASNet": "Convolutional",
+    "HardCoreNAS": "Convolutional", "Xception": "Convolutional", "TinyNet": "Convolutional", "SPNASNet": "Convolutional", "CSPNet": "Convolutional",
+    "DarkNet": "Convolutional", "StarNet": "Convolutional", "MambaOut": "State Space Model",
 }
 
 #: Size token and label.
@@ -158,7 +177,7 @@ def parse_names(df: DataFrame, name: str = "model_name") -> DataFrame:
     base = base.withColumn("family", F.coalesce(_ladder([(p, f) for p, f, _ in FAMILIES], v.startswith), F.lit("unknown")))
     base = base.withColumn("model_version", _ladder([(p, ver) for p, _, ver in FAMILIES], v.startswith))
     family = F.col("family")
-    base = base.withColumn("macro_family", _ladder(list((members, macro) for macro, members in MACRO_FAMILIES.items()), lambda members: family.isin(*members)))
+    base = base.withColumn("macro_family", F.create_map(*[F.lit(x) for pair in MACRO_FAMILIES.items() for x in pair])[family])
 
     width_token = _match(v0, r"(050|075|100|125|150|175|200)")
     small = F.when(

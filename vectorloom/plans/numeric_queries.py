@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vectorloom.operators import alignment, cloud, distances, matching, moments, probing, prototypes, reduce
 from vectorloom.plans.register import query, rounded
-from vectorloom.plans.vector_queries import clusters, embeddings, space_a, space_b
+from vectorloom.plans.vector_queries import LONG, clusters, embeddings, space_a, space_b
 
 
 def _record(spark, record: dict[str, float]):
@@ -29,17 +29,20 @@ def all_metrics(spark, sf_dir):
     return _record(spark, cloud.compute_metrics(embeddings(spark, sf_dir), "vec_id", "embedding"))
 
 
-@query()
+@query("SELECT i::INT AS i, j::INT AS j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0 END AS \"value\" FROM (SELECT unnest(range(64)) i) a, (SELECT unnest(range(64)) j) b")
 def whiten(spark, sf_dir):
+    """Covariance of the whitened vectors, which is the identity."""
     base = embeddings(spark, sf_dir)
-    return moments.Whitening.fit(base, "embedding").whiten(base, "embedding").select("vec_id", "embedding")
+    found = moments.moments(moments.Whitening.fit(base, "embedding").whiten(base, "embedding"), "embedding").covariance()
+    return rounded(spark.createDataFrame([(i, j, float(x)) for i, row in enumerate(found) for j, x in enumerate(row)], "i int, j int, value double"), 3)
 
 
-@query()
+@query(f"WITH {LONG} SELECT vec_id, pos, round(x, 5) + 0.0 AS x FROM v")
 def dewhiten(spark, sf_dir):
+    """Whitened vectors taken back, component by component."""
     base = embeddings(spark, sf_dir)
     w = moments.Whitening.fit(base, "embedding")
-    return w.dewhiten(w.whiten(base, "embedding"), "embedding").select("vec_id", F.transform("embedding", lambda x: F.round(x, 5) + F.lit(0.0)).alias("embedding"))
+    return rounded(w.dewhiten(w.whiten(base, "embedding"), "embedding").select("vec_id", F.posexplode("embedding").alias("pos", "x")), 5)
 
 
 @query()
@@ -165,9 +168,13 @@ def lstsq_probe(spark, sf_dir):
     return rounded(probing.scores(probe.predict(base.where("vec_id % 5 = 0"), "vec_id", "embedding", "label")))
 
 
-@query()
+@query(f"WITH {LONG}, m AS (SELECT pos, avg(x) m FROM v GROUP BY pos) SELECT vec_id, round(sum((x - m) * (x - m)), 5) squared_norm FROM v JOIN m USING (pos) GROUP BY vec_id")
 def pca(spark, sf_dir):
-    return reduce.reduce("pca", embeddings(spark, sf_dir), "vec_id", "embedding", 4)
+    """Squared length of each row's scores on all axes: that of the centred vector, as the axes are orthonormal."""
+    found = reduce.reduce("pca", embeddings(spark, sf_dir), "vec_id", "embedding", 64)
+    vector = next(c for c, t in found.dtypes if t.startswith("array"))
+    squared = F.aggregate(F.transform(vector, lambda x: x * x), F.lit(0.0), lambda a, x: a + x)
+    return rounded(found.select("vec_id", squared.alias("squared_norm")), 5)
 
 
 @query()

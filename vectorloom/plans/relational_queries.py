@@ -81,7 +81,7 @@ def _sql_match(text: str, pattern: str) -> str:
 
 _BY_LENGTH = lambda t: sorted(t.items(), key=lambda kv: -len(kv[0]))
 _V, _C = "v", "cfg"
-_MACRO = [(m, macro) for macro, members in registry.MACRO_FAMILIES.items() for m in members]
+_MACRO = list(registry.MACRO_FAMILIES.items())
 _PARSE = f"""WITH {REGISTRY_SQL}, p AS (SELECT model_name, lower(split_part(model_name, '.', 1)) v0, lower(substr(model_name, strpos(model_name, '.') + 1)) cfg FROM reg),
 q AS (SELECT *, CASE WHEN starts_with(v0, 'legacy_') THEN substr(v0, 8) ELSE v0 END v, instr(cfg, '_ft_') ft FROM p),
 f AS (SELECT *, coalesce({_sql_ladder([(p, f) for p, f, _ in registry.FAMILIES], lambda k: f"starts_with(v, '{k}')")}, 'unknown') fam, {_sql_ladder([(p, g) for p, _, g in registry.FAMILIES], lambda k: f"starts_with(v, '{k}')")} gen,
@@ -389,3 +389,17 @@ def lineitem_mean_se(spark, sf_dir):
 def brand_medians(spark, sf_dir):
     joined = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     return explore.group_medians(joined, "p_brand", "l_quantity", "l_suppkey")
+
+
+@query("SELECT vec_id, CASE WHEN CAST('0x' || substr(md5('42-' || vec_id), 1, 8) AS BIGINT) < 3435973836 THEN 'train' ELSE 'test' END AS split FROM embeddings")
+def split_80_20(spark, sf_dir):
+    """Rows of a data set without splits, dealt 80 to 20 by a hash of the id."""
+    return tables.split_rows(table(spark, sf_dir, "embeddings").select("vec_id"), "vec_id")
+
+
+@query("SELECT s_suppkey, n_name || ' → ' || s_name AS label, round(log10(s_acctbal + 1100), 6) AS log10_balance, round(log2(s_acctbal + 1100), 6) AS log2_balance FROM supplier JOIN nation ON n_nationkey = s_nationkey")
+def labels_and_logs(spark, sf_dir):
+    """Label of a pair and logarithms to base 10 and 2."""
+    both = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
+    amount = F.col("s_acctbal").cast("double") + 1100
+    return rounded(both.select("s_suppkey", F.concat("n_name", F.lit(" → "), "s_name").alias("label"), F.log10(amount).alias("log10_balance"), F.log2(amount).alias("log2_balance")))

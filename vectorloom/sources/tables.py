@@ -99,19 +99,33 @@ def keep_first(existing: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFr
 def upsert(spark: SparkSession, path: str, fresh: DataFrame, keys: list[str]) -> DataFrame:
     """Merge fresh rows into the table at a path; the existing row of a key wins.
 
-    The merged table is written beside the old one, whose files are still being read, and put in its place after.
+    Only a path that does not exist counts as no table yet. Every other fault (a column whose type clashes, a key
+    that a side lacks, files that cannot be read) raises and leaves the table as it is. The merged table is
+    written beside the old one, which is renamed aside, replaced and only then deleted; if the replacement fails
+    the old one is renamed back.
     """
-    try:
-        merged = keep_first(spark.read.parquet(path), fresh, keys)
-    except AnalysisException:
-        merged = keep_first(fresh.limit(0), fresh, keys)
-    aside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
-    merged.write.parquet(aside)
-    files = spark._jvm.org.apache.hadoop.fs.Path
-    target = files(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
     system = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    system.delete(target, True)
-    system.rename(files(aside), target)
+    exists = system.exists(target)
+    existing = spark.read.parquet(path) if exists else fresh.limit(0)
+    for side, df in (("existing", existing), ("fresh", fresh)):
+        lacking = [k for k in keys if k not in df.columns]
+        if lacking:
+            raise ValueError(f"the {side} rows lack the key columns {', '.join(lacking)}")
+    types = {f.name: f.dataType for f in existing.schema}
+    clashes = [f.name for f in fresh.schema if f.name in types and f.dataType != types[f.name]]
+    if clashes:
+        raise ValueError(f"the types of {', '.join(clashes)} differ from the existing table's")
+    made, aside = (spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}-{uuid.uuid4().hex}") for _ in range(2))
+    keep_first(existing, fresh, keys).write.parquet(made.toString())
+    if exists and not system.rename(target, aside):
+        raise OSError(f"{path} could not be renamed; the merged table is at {made.toString()}")
+    if not system.rename(made, target):
+        if exists:
+            system.rename(aside, target)
+        raise OSError(f"{path} could not be replaced; the merged table is at {made.toString()}")
+    if exists:
+        system.delete(aside, True)
     return spark.read.parquet(path)
 
 
@@ -137,6 +151,17 @@ def names_of(df: DataFrame, *columns: str) -> DataFrame:
     return out.where("name is not null").distinct()
 
 
+def split_rows(df: DataFrame, key: str, share: float = 0.8, seed: int = 42) -> DataFrame:
+    """The rows with ``split``: train for those whose md5 of seed and key falls into the share, else test; no shuffle."""
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long")
+    return df.withColumn("split", F.when(draw < int(share * 2**32), "train").otherwise("test"))
+
+
+def from_arrow(spark: SparkSession, arrow_table) -> DataFrame:
+    """A frame of an Arrow table's rows."""
+    return spark.createDataFrame(arrow_table)
+
+
 def models_per_split(df: DataFrame) -> DataFrame:
     """(split, n_models)."""
     return df.groupBy("split").agg(F.countDistinct("model").alias("n_models"))

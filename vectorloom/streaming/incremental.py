@@ -1,7 +1,8 @@
 """Incremental cloud metrics over a stream of vector files.
 
-Sums per component are mergeable, so each micro-batch adds its own to a small state table and the metrics
-that follow from variances are those of everything seen. A batch that comes again after a failure
+Count, mean and sum of squared deviations per component are mergeable, so each micro-batch adds its own to a
+small state table and the metrics that follow from variances are those of everything seen. Deviations are
+taken from each part's own mean, so a large mean costs no digits. A batch that comes again after a failure
 replaces its own part, so counts stay exact.
 """
 
@@ -17,15 +18,21 @@ from vectorloom.functions.vectors import components_of
 
 
 def partial_sums(df: DataFrame, group: str, vector: str) -> DataFrame:
-    """(group, pos, n, s, ss) of a batch."""
+    """(group, pos, n, mean, m2) of a batch; m2 is the sum of squared deviations from the mean."""
     long = components_of(df, vector, group)
-    return long.groupBy(group, "pos").agg(F.count("x").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss"))
+    return long.groupBy(group, "pos").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), (F.var_pop("x") * F.count("x")).alias("m2"))
 
 
 def metrics_of(state: DataFrame, group: str) -> DataFrame:
-    """total_spread, participation_ratio_fast, isotropy and density from summed parts."""
-    sums = state.groupBy(group, "pos").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
-    var = sums.withColumn("var", F.greatest(F.lit(0.0), F.col("ss") / F.col("n") - F.pow(F.col("s") / F.col("n"), 2)))
+    """total_spread, participation_ratio_fast, isotropy and density from the parts.
+
+    Parts merge by m2 = sum(m2) + sum(n * (mean - overall mean)^2), where the second term is n times the variance of the
+    parts' means; it too is taken from differences to one of the means.
+    """
+    shift = state.groupBy(group, "pos").agg(F.min("mean").alias("base"))
+    near = state.join(shift, [group, "pos"]).withColumn("gap", F.col("mean") - F.col("base"))
+    sums = near.groupBy(group, "pos").agg(F.sum("n").alias("n"), F.sum("m2").alias("m2"), F.sum(F.col("n") * F.col("gap")).alias("_first"), F.sum(F.col("n") * F.col("gap") * F.col("gap")).alias("_second"))
+    var = sums.withColumn("var", F.greatest(F.lit(0.0), (F.col("m2") + F.col("_second") - F.col("_first") * F.col("_first") / F.col("n")) / F.col("n")))
     out = var.groupBy(group).agg(F.max("n").alias("n"), F.sum("var").alias("total_spread"), F.sum(F.col("var") * F.col("var")).alias("sq"), F.min("var").alias("lo"), F.max("var").alias("hi"))
     return out.select(
         group,
