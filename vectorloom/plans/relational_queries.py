@@ -12,7 +12,7 @@ from vectorloom.session import table
 
 # -- fixtures that both engines build from the same text -----------------------------------------
 
-#: model_name, family, size, num_parameters, pretrain_dataset, pretrain_aug, pretrain_ft
+#: Fixed input values: model_name, family, size, num_parameters, pretrain_dataset, pretrain_aug, pretrain_ft
 REGISTRY = [
     ("vit_tiny_patch16_224.augreg_in21k", "ViT", "Tiny", 5, "ImageNet-21K", "AugReg", None), ("vit_tiny_patch16_224.augreg_in21k_ft_in1k", "ViT", "Tiny", 5, "ImageNet-21K", "AugReg", "ImageNet-1K"),
     ("vit_small_patch16_224.augreg_in1k", "ViT", "Small", 22, "ImageNet-1K", "AugReg", None), ("vit_small_patch16_224.augreg_in21k", "ViT", "Small", 22, "ImageNet-21K", "AugReg", None),
@@ -108,6 +108,13 @@ def registry_parse_config(spark, sf_dir):
     return out.select("model_name", "pretrain_org", "pretrain_dataset", "pretrain_ft", "pretrain_aug", "pretrain_dataset_size", "pretrain_i18n")
 
 
+@query(f"""WITH {REGISTRY_SQL}, m(family, macro_family) AS (VALUES ('ViT', 'Vision Transformer'), ('DeiT', 'Vision Transformer'), ('Swin', 'Hierarchical Vision Transformer'), ('ConvNeXt', 'Convolutional'), ('ResNet', 'Convolutional'), ('BEiT', 'Vision Transformer'), ('EVA', 'Vision Transformer'), ('EfficientNet', 'Convolutional'), ('MobileViT', 'Hybrid CNN-Transformer'))
+SELECT model_name, family, macro_family, size, CASE WHEN model_name LIKE '%.ns_jft_in1k' THEN 'ImageNet-1K' ELSE pretrain_dataset END pretrain_dataset, pretrain_aug, CASE WHEN model_name NOT LIKE '%.ns_jft_in1k' THEN pretrain_ft END pretrain_ft FROM reg LEFT JOIN m USING (family)""")
+def registry_parse_expected(spark, sf_dir):
+    """What the names say against the columns that were written down for them; of two data sets in a name the longer key counts."""
+    return registry.parse_names(registry_table(spark).select("model_name")).select("model_name", "family", "macro_family", "size", "pretrain_dataset", "pretrain_aug", "pretrain_ft")
+
+
 @query()
 def registry_parse_all(spark, sf_dir):
     """Every parsed column; the rules that need scanning state are checked by unit tests."""
