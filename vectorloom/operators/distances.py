@@ -1,6 +1,6 @@
 """Distances between two clouds of vectors, and between paired clouds.
 
-All are exact. Those that compare all pairs run in blocks (``blocks``); the others are rewritten so that one
+All are exact, sinkhorn on all rows unless a sample is asked for. Those that compare all pairs run in blocks (``blocks``); the others are rewritten so that one
 pass per cloud suffices: the mean cosine distance is 1 minus the product of the mean unit vectors, and
 the Procrustes residual follows from the norms and the singular values of A^T B.
 """
@@ -85,15 +85,20 @@ def procrustes(a: DataFrame, b: DataFrame, key: str, vector: str) -> float:
     return float((sizes["xx"] + sizes["yy"] - 2 * np.linalg.svd(m.cross, compute_uv=False).sum()) / m.n)
 
 
-def sinkhorn(a: DataFrame, b: DataFrame, key: str, vector: str, epsilon: float = 0.1, converge: bool = False, max_points: int = 2000) -> float:
-    """Entropic transport cost between uniform marginals on at most max_points hash-sampled rows a side.
+def sinkhorn(a: DataFrame, b: DataFrame, key: str, vector: str, epsilon: float = 0.1, converge: bool = False, max_points: int | None = None, limit: int = 5000) -> float:
+    """Entropic transport cost between uniform marginals, of all rows or of max_points hash-sampled ones a side.
 
+    The plan is a dense matrix on the driver, so a side of more than ``limit`` rows raises unless max_points is given.
     The plain form scales rows and columns once, as the comparable tool's stop test does; converge=True
     goes on until the scaling settles.
     """
-    x, y = (sample(df, key, max_points).select(doubles(vector).alias("v")).collect() for df in (a, b))
-    x, y = np.array([r["v"] for r in x]), np.array([r["v"] for r in y])
-    cost = np.sqrt(blocks.squared(x, y))
+    sides = []
+    for df in (a, b):
+        rows = (sample(df, key, max_points) if max_points else df.limit(limit + 1)).select(doubles(vector).alias("v")).collect()
+        if not max_points and len(rows) > limit:
+            raise ValueError(f"a side has more than {limit} rows; give max_points to compare samples")
+        sides.append(np.array([r["v"] for r in rows]))
+    cost = np.sqrt(blocks.squared(*sides))
     plan = sinkhorn_plan(cost, epsilon, 1000 if converge else 1)
     return float((plan * cost).sum())
 

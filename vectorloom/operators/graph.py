@@ -385,5 +385,16 @@ def distance_layout(pairs: DataFrame, method: str = "mds", seed: int = 42) -> li
 
 
 def row_ids(df: DataFrame, *order: str) -> DataFrame:
-    """A running id from 0 in the given order."""
-    return df.withColumn("id", F.row_number().over(Window.orderBy(*order)) - 1)
+    """A running id from 0 in the given order; rows that are equal in it get theirs in any order.
+
+    Rows are dealt by ranges of the order and counted per range, so no task sorts the whole table.
+    """
+    placed = checkpoint(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("n")).collect()  # one row per range
+    offsets, before = [], 0
+    for r in sorted(sizes, key=lambda r: r["_range"]):
+        offsets.append((r["_range"], before))
+        before += r["n"]
+    starts = df.sparkSession.createDataFrame(offsets, "_range int, _start long")
+    number = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return placed.join(F.broadcast(starts), "_range").withColumn("id", F.col("_start") + number - 1).drop("_range", "_start")

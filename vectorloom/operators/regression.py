@@ -146,7 +146,12 @@ def group_means(long: DataFrame, outcome: str, factor: str) -> DataFrame:
 
 
 def latex_table(results: DataFrame) -> str:
-    """Coefficients with stars, one line per analysis and outcome, as LaTeX rows."""
-    rows = results.where("term = 'is_treatment'").withColumn("mark", stars(F.col("p"))).orderBy("analysis_type", "outcome").collect()
-    lines = [f"{r['analysis_type']} & {r['outcome']} & {r['beta']:.4f}{r['mark']} & ({r['se']:.4f}) & {r['n_obs']} \\\\" for r in rows]
+    """Coefficients with stars, one line per analysis and outcome, each followed by its joint F-tests, as LaTeX rows."""
+    shown = results.where("term = 'is_treatment' or term like 'joint:%'").withColumn("mark", stars(F.col("p")))
+    lines = []
+    for r in shown.orderBy("analysis_type", "outcome", F.col("term") != "is_treatment", "term").collect():
+        if r["term"] == "is_treatment":
+            lines.append(f"{r['analysis_type']} & {r['outcome']} & {r['beta']:.4f}{r['mark']} & ({r['se']:.4f}) & {r['n_obs']} \\\\")
+        else:
+            lines.append(f" & $F$, {r['term'].removeprefix('joint:').replace('_', ' ')} & {r['stat']:.4f}{r['mark']} & [{r['p']:.4f}] & {r['n_obs']} \\\\")
     return "\n".join(["\\begin{tabular}{llrrr}", "analysis & outcome & $\\beta$ & se & $n$ \\\\ \\hline", *lines, "\\end{tabular}"])

@@ -142,6 +142,42 @@ def union_by_name(*tables: DataFrame) -> DataFrame:
     return out
 
 
+def write_file(df: DataFrame, path: str) -> None:
+    """One Parquet file of exactly this name, for small results; an older file of the name is replaced."""
+    spark = df.sparkSession
+    made = f"{path}-{uuid.uuid4().hex}"
+    write_single(df, made)
+    target, folder = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, made))
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    (part,) = [f.getPath() for f in system.listStatus(folder) if f.getPath().getName().startswith("part-")]
+    system.delete(target, False)
+    moved = system.rename(part, target)
+    system.delete(folder, True)
+    if not moved:
+        raise OSError(f"{path} could not be written")
+
+
+def write_failures(checked: DataFrame, path: str) -> int:
+    """Failed rows of a health table as JSON lines in one file; their number."""
+    failed = checked.where(~F.col("ok"))
+    failed.coalesce(1).write.mode("overwrite").json(path)
+    return failed.count()
+
+
+def clean(spark: SparkSession, pattern: str) -> list[str]:
+    """Delete what a glob pattern matches, on any of Spark's file systems; the deleted paths in order."""
+    glob = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    system = glob.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f.getPath() for f in system.globStatus(glob) or ()]
+    return sorted(p.toString() for p in found if system.delete(p, True))
+
+
+def not_uploaded(local: DataFrame, remote: DataFrame) -> DataFrame:
+    """(split, model) of ``layout`` tables that the remote side lacks."""
+    flat = [df.select("split", F.explode("models").alias("model")) for df in (local, remote)]
+    return todo(*flat, ["split", "model"])
+
+
 def names_of(df: DataFrame, *columns: str) -> DataFrame:
     """Distinct non-null values of several columns."""
     out = None
@@ -167,6 +203,18 @@ def models_per_split(df: DataFrame) -> DataFrame:
     return df.groupBy("split").agg(F.countDistinct("model").alias("n_models"))
 
 
+def dataset_card(name: str, found: DataFrame) -> str:
+    """Text of a data set's card from its ``layout`` table: a config per model with its splits, and models per split."""
+    flat = found.select("split", F.explode("models").alias("model"))
+    configs = flat.groupBy("model").agg(F.array_sort(F.collect_set("split")).alias("splits")).orderBy("model").collect()
+    counts = models_per_split(flat).orderBy("split").collect()
+    lines = ["---", "configs:"]
+    for config in configs:
+        lines += [f"- config_name: {config['model']}", "  data_files:"]
+        lines += [line for s in config["splits"] for line in (f"  - split: {s}", f"    path: {s}/{config['model']}/part-*.parquet")]
+    return "\n".join([*lines, "---", f"# {name}", "", "| split | models |", "|-|-|", *[f"| {c['split']} | {c['n_models']} |" for c in counts], ""])
+
+
 def encode(df: DataFrame, function, schema: str) -> DataFrame:
     """Hook for an encoder: a function from iterators of pandas frames to such iterators."""
     return df.mapInPandas(function, schema)
