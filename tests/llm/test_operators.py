@@ -575,10 +575,49 @@ def test_zip_and_carving(spark, tmp_path):
     assert media.sniff(b.getvalue()) == [(0, len(b.getvalue()), "application/zip")]
     df = spark.createDataFrame([(1, PNG + b"xx" + GIF, "image/gif", "q"), (2, b"text", "image/png", "q"), (3, None, None, "q")], "id long, bytes binary, declared string, carved string")
     rows = {r.id: r for r in media.sniff_column(df, "bytes", "declared").collect()}
-    assert rows[1].media_type == "image/png" and rows[1].type_changed and [tuple(c) for c in rows[1].carved] == [(len(PNG) + 2, len(GIF), "image/gif")]
+    assert rows[1].media_type == "image/png" and rows[1].type_changed and [tuple(c) for c in rows[1].carved] == [(len(PNG) + 2, len(GIF), "image/gif", 0)]
     assert rows[2].media_type == media.UNKNOWN and rows[2].type_changed and rows[3].media_type is None
 
 
+def test_items_inside_items():
+    import io
+    import zipfile
+
+    b = io.BytesIO()
+    with zipfile.ZipFile(b, "w") as z:
+        z.writestr("a.png", PNG)
+        z.writestr("b.wav", media.wav_of(b"...." + GIF + b"."))
+    data = b"skip" + b.getvalue() + JPEG
+    found = media.carve(data)
+    assert [(kind, depth) for _, _, kind, depth in found] == [("application/zip", 0), ("image/png", 1), ("audio/wav", 1), ("image/gif", 2), ("image/jpeg", 0)]
+    for start, length, kind, _ in found:
+        assert media.sniff(data[start : start + length]) == [(0, length, kind)]
+    assert media.sniff(data) == [(4, len(b.getvalue()), "application/zip"), (4 + len(b.getvalue()), len(JPEG), "image/jpeg")]
+    cut = media.wav_of(PNG[:-3] + b"\0" * 9)  # an item that would end past the one around it
+    assert media.carve(cut) == [(0, len(cut), "audio/wav", 0)]
+    assert media.sniff(b.getvalue()[:-1]) == [(b.getvalue().find(PNG), len(PNG), "image/png"), (b.getvalue().find(b"RIFF"), len(media.wav_of(b"...." + GIF + b".")), "audio/wav")]
+
+
+def test_many_signatures_in_one_archive():
+    import io
+    import time
+    import zipfile
+
+    b = io.BytesIO()
+    with zipfile.ZipFile(b, "w") as z:
+        for k in range(3000):
+            z.writestr(f"{k}.txt", "x" * 2000)
+    start = time.time()
+    assert media.carve(b.getvalue()) == [(0, len(b.getvalue()), "application/zip", 0)]
+    assert time.time() - start < 10
+
+
+def test_media_feature_names_items_in_the_text(spark):
+    df = spark.createDataFrame([(1, "ab " + PDF.decode() + " end"), (2, "plain"), (3, "ab " + PDF.decode() + " end")], "doc_id long, text string")
+    rows = {r.doc_id: r.feature for r in media.media_digest(media.store_texts(df)).collect()}
+    assert f"carved=1[3+{len(PDF)}:application/pdf]" in rows[1] and "carved=0[]" in rows[2] and rows[3] == rows[1]
+
+
 # -- 10 quality ----------------------------------------------------------------------------------
 
 

@@ -3,7 +3,10 @@
 An Aho-Corasick automaton over the magic bytes of all known formats runs once through each value. Every
 hit is given to the format's validator, which walks the structure (chunks, markers, boxes, checksums) and
 returns the length of the item or nothing. The first valid item at offset 0 decides the real type, whatever
-was declared; valid items further in are carved, unless they lie inside an item already found.
+was declared; valid items further in are carved. Items may lie inside others (a picture in a PDF, a stored member
+of a ZIP, anything in the samples of a WAV); their depth says how many items enclose them, and each must end where
+the one around it does or before. Compressed content is not opened, and the pages that one Ogg file interleaves are
+no items of their own.
 
 Payload storage: bytes are kept as 8-bit mono PCM samples of a WAV file, which any reader gives back
 bit by bit.
@@ -144,16 +147,18 @@ def _gzip(b: memoryview) -> int:
     return fed - len(inflater.unused_data) if inflater.eof else 0
 
 
-def _zip(b: memoryview) -> int:
-    data = bytes(b)
+def _zips(data: bytes) -> dict[int, int]:
+    """start -> length of the archives in a value: each end record says how far before it its archive starts."""
+    found: dict[int, int] = {}
     end = data.find(b"PK\x05\x06")
     while end >= 0:
         if end + 22 <= len(data):
-            size, start, comment = struct.unpack_from("<IIH", data, end + 12)
-            if start + size == end and data[start : start + 4] == b"PK\x01\x02" and end + 22 + comment <= len(data):
-                return end + 22 + comment
+            size, offset, comment = struct.unpack_from("<IIH", data, end + 12)
+            start = end - size - offset
+            if start >= 0 and data[end - size : end - size + 4] == b"PK\x01\x02" and end + 22 + comment <= len(data):
+                found.setdefault(start, end + 22 + comment - start)
         end = data.find(b"PK\x05\x06", end + 1)
-    return 0
+    return found
 
 
 def _pdf(b: memoryview) -> int:
@@ -195,8 +200,9 @@ def _mp4(b: memoryview) -> int:
     return at if b"ftyp" in kinds and kinds & {b"moov", b"mdat", b"moof"} else 0
 
 
-#: Magic bytes, their place in the item, media type (by RIFF form where that decides).
-MAGIC: list[tuple[bytes, int, str, Callable[[memoryview], int]]] = [
+#: Magic bytes, their place in the item, media type (by RIFF form where that decides), validator
+#: (none for archives, which are found from their ends).
+MAGIC: list[tuple[bytes, int, str, Callable[[memoryview], int] | None]] = [
     (b"\x89PNG\r\n\x1a\n", 0, "image/png", _png),
     (b"\xff\xd8\xff", 0, "image/jpeg", _jpeg),
     (b"GIF87a", 0, "image/gif", _gif),
@@ -204,7 +210,7 @@ MAGIC: list[tuple[bytes, int, str, Callable[[memoryview], int]]] = [
     (b"BM", 0, "image/bmp", _bmp),
     (b"RIFF", 0, "riff", _riff),
     (b"\x1f\x8b\x08", 0, "application/gzip", _gzip),
-    (b"PK\x03\x04", 0, "application/zip", _zip),
+    (b"PK\x03\x04", 0, "application/zip", None),
     (b"%PDF-", 0, "application/pdf", _pdf),
     (b"OggS\x00\x02", 0, "audio/ogg", _ogg),
     (b"ftyp", 4, "video/mp4", _mp4),
@@ -221,26 +227,43 @@ def _automaton() -> ahocorasick.Automaton:
     return machine
 
 
-def sniff(data: bytes) -> list[tuple[int, int, str]]:
-    """Confirmed items (offset, length, type) in order, none inside another."""
-    view, found, covered = memoryview(data), [], 0
+def carve(data: bytes) -> list[tuple[int, int, str, int]]:
+    """Confirmed items (offset, length, type, depth), by offset; an item of depth 0 lies in no other."""
+    view, found, around = memoryview(data), [], []  # around: (end, type) of the items that enclose the current place
     hits = []
     for end, k in _automaton().iter(data.decode("latin-1")):
         magic, place, _, _ = MAGIC[k]
         start = end + 1 - len(magic) - place
         if start >= 0:
             hits.append((start, k))
+    archives = None
+    taken = -1
     for start, k in sorted(hits):
-        if start < covered:
+        while around and around[-1][0] <= start:
+            around.pop()
+        _, _, kind, validate = MAGIC[k]
+        if start == taken or (kind == "audio/ogg" and around and around[-1][1] == kind):
             continue
-        length = MAGIC[k][3](view[start:])
+        stop = around[-1][0] if around else len(data)
+        if validate:
+            length = validate(view[start:stop])
+        else:
+            archives = _zips(data) if archives is None else archives
+            length = archives.get(start, 0)
+            length = length if start + length <= stop else 0
         if length:
-            kind = _RIFF_TYPES.get(data[start + 8 : start + 12], "") if MAGIC[k][2] == "riff" else MAGIC[k][2]
-            found.append((start, length, kind))
-            covered = start + length
+            kind = _RIFF_TYPES.get(data[start + 8 : start + 12], "") if kind == "riff" else kind
+            found.append((start, length, kind, len(around)))
+            around.append((start + length, kind))
+            taken = start
     return found
 
 
+def sniff(data: bytes) -> list[tuple[int, int, str]]:
+    """Confirmed items (offset, length, type) in order, none inside another."""
+    return [(start, length, kind) for start, length, kind, depth in carve(data) if not depth]
+
+
 def wav_of(payload: bytes, rate: int = 8000) -> bytes:
     """8-bit mono PCM with the payload as its samples."""
     body = payload + b"\0" * (len(payload) & 1)
@@ -266,7 +289,7 @@ def sniff_column(df: DataFrame, media: str, declared: str | None = None) -> Data
     """
     added = ("media_type", "media_length", "type_changed", "carved")
     kept = [c for c in df.columns if c not in added]
-    carved_type = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("type", pa.string())]))
+    carved_type = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("type", pa.string()), ("depth", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,10 +300,10 @@ def sniff_column(df: DataFrame, media: str, declared: str | None = None) -> Data
                 if data is None:
                     rows.append((None, 0, False, []))
                     continue
-                items = sniff(data)
+                items = carve(data)
                 head = items[0] if items and items[0][0] == 0 else None
                 kind = head[2] if head else UNKNOWN
-                carved = [{"offset": o, "length": n, "type": t} for o, n, t in (items[1:] if head else items)]
+                carved = [{"offset": o, "length": n, "type": t, "depth": d} for o, n, t, d in (items[1:] if head else items)]
                 rows.append((kind, head[1] if head else len(data), named is not None and named != kind, carved))
             parts = list(zip(*rows)) or [[]] * 4
             arrays = [pa.array(parts[0], pa.string()), pa.array(parts[1], pa.int64()), pa.array(parts[2], pa.bool_()), pa.array(parts[3], carved_type)]
@@ -288,7 +311,7 @@ def sniff_column(df: DataFrame, media: str, declared: str | None = None) -> Data
 
     row = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.struct(F.lit(1))
     inputs = df.select(row.alias("row"), F.col(f"`{media}`").cast("binary").alias("value"), (F.col(f"`{declared}`") if declared else F.lit(None)).cast("string").alias("named"))
-    schema = f"row {inputs.schema['row'].dataType.simpleString()}, media_type string, media_length long, type_changed boolean, carved array<struct<offset:long,length:long,type:string>>"
+    schema = f"row {inputs.schema['row'].dataType.simpleString()}, media_type string, media_length long, type_changed boolean, carved array<struct<offset:long,length:long,type:string,depth:int>>"
     return inputs.mapInArrow(run, schema).select(*[F.col(f"row.`{c}`").alias(c) for c in kept], *added)
 
 
@@ -308,7 +331,8 @@ def store_texts(docs: DataFrame, pad: int = 64) -> DataFrame:
 
 
 def media_digest(stored: DataFrame, pad: int = 64) -> DataFrame:
-    """Read stored media back: digests of payload and file, and a feature string of signature and samples."""
+    """Read stored media back: digests of payload and file, and a feature string of signature, samples and the items
+    found among the samples (offset in the payload, length, type)."""
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
@@ -320,7 +344,9 @@ def media_digest(stored: DataFrame, pad: int = 64) -> DataFrame:
                 data = value.as_py()
                 payload = wav_samples(data[:length]) if kind == "audio/wav" else data
                 samples = np.frombuffer(payload, np.uint8)
-                feature = f"{kind};{length};{'corrected' if changed else 'as declared'};carved={len(carved)};mean={samples.mean():.4f};std={samples.std():.4f}"
+                first = len(data) - len(payload) - (len(payload) & 1) if kind == "audio/wav" else 0
+                inside = ",".join(f"{c['offset'] - first}+{c['length']}:{c['type']}" for c in carved)
+                feature = f"{kind};{length};{'corrected' if changed else 'as declared'};carved={len(carved)}[{inside}];mean={samples.mean():.4f};std={samples.std():.4f}"
                 rows.append((doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-pad:]), len(data), hashlib.sha256(data).hexdigest(), feature))
             parts = list(zip(*rows)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(parts, kinds)], names=names)
