@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vectorloom.llm.memory import releasing
+
 UNKNOWN = "application/octet-stream"
 
 
@@ -282,6 +284,16 @@ def wav_samples(data: bytes) -> bytes:
     raise ValueError("no data chunk")
 
 
+def judge(data: bytes | None, declared: str | None) -> tuple[str | None, int, bool, list[tuple[int, int, str, int]]]:
+    """Real type, length, whether the declared type was wrong, and the carved items of a value."""
+    if data is None:
+        return None, 0, False, []
+    items = carve(data)
+    head = items[0] if items and items[0][0] == 0 else None
+    kind = head[2] if head else UNKNOWN
+    return kind, head[1] if head else len(data), declared is not None and declared != kind, items[1:] if head else items
+
+
 def sniff_column(df: DataFrame, media: str, declared: str | None = None) -> DataFrame:
     """Add media_type (corrected), media_length, type_changed and carved items to a table with a binary column.
 
@@ -296,15 +308,8 @@ def sniff_column(df: DataFrame, media: str, declared: str | None = None) -> Data
             rows = []
             said = batch.column(2).to_pylist()
             for value, named in zip(batch.column(1), said):
-                data = value.as_py()
-                if data is None:
-                    rows.append((None, 0, False, []))
-                    continue
-                items = carve(data)
-                head = items[0] if items and items[0][0] == 0 else None
-                kind = head[2] if head else UNKNOWN
-                carved = [{"offset": o, "length": n, "type": t, "depth": d} for o, n, t, d in (items[1:] if head else items)]
-                rows.append((kind, head[1] if head else len(data), named is not None and named != kind, carved))
+                kind, length, changed, carved = judge(value.as_py(), named)
+                rows.append((kind, length, changed, [{"offset": o, "length": n, "type": t, "depth": d} for o, n, t, d in carved]))
             parts = list(zip(*rows)) or [[]] * 4
             arrays = [pa.array(parts[0], pa.string()), pa.array(parts[1], pa.int64()), pa.array(parts[2], pa.bool_()), pa.array(parts[3], carved_type)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["row", *added])
@@ -312,7 +317,7 @@ def sniff_column(df: DataFrame, media: str, declared: str | None = None) -> Data
     row = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.struct(F.lit(1))
     inputs = df.select(row.alias("row"), F.col(f"`{media}`").cast("binary").alias("value"), (F.col(f"`{declared}`") if declared else F.lit(None)).cast("string").alias("named"))
     schema = f"row {inputs.schema['row'].dataType.simpleString()}, media_type string, media_length long, type_changed boolean, carved array<struct<offset:long,length:long,type:string,depth:int>>"
-    return inputs.mapInArrow(run, schema).select(*[F.col(f"row.`{c}`").alias(c) for c in kept], *added)
+    return inputs.mapInArrow(releasing(run), schema).select(*[F.col(f"row.`{c}`").alias(c) for c in kept], *added)
 
 
 def store_texts(docs: DataFrame, pad: int = 64) -> DataFrame:
@@ -327,7 +332,7 @@ def store_texts(docs: DataFrame, pad: int = 64) -> DataFrame:
                 arrays = [part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary()), pa.array(["application/octet-stream"] * len(texts), pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "media", "declared"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, media binary, declared string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(releasing(run), "doc_id long, n_bytes long, media binary, declared string")
 
 
 def media_digest(stored: DataFrame, pad: int = 64) -> DataFrame:
@@ -339,17 +344,17 @@ def media_digest(stored: DataFrame, pad: int = 64) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            columns = [batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5, 6)]
-            for doc_id, n_bytes, kind, length, changed, carved, value in zip(*columns, batch.column(2)):
+            for doc_id, n_bytes, value, named in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
                 data = value.as_py()
+                kind, length, changed, carved = judge(data, named)
                 payload = wav_samples(data[:length]) if kind == "audio/wav" else data
                 samples = np.frombuffer(payload, np.uint8)
                 first = len(data) - len(payload) - (len(payload) & 1) if kind == "audio/wav" else 0
-                inside = ",".join(f"{c['offset'] - first}+{c['length']}:{c['type']}" for c in carved)
+                inside = ",".join(f"{o - first}+{n}:{t}" for o, n, t, _ in carved)
                 feature = f"{kind};{length};{'corrected' if changed else 'as declared'};carved={len(carved)}[{inside}];mean={samples.mean():.4f};std={samples.std():.4f}"
                 rows.append((doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-pad:]), len(data), hashlib.sha256(data).hexdigest(), feature))
             parts = list(zip(*rows)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(parts, kinds)], names=names)
 
-    sniffed = sniff_column(stored, "media", "declared").select("doc_id", "n_bytes", "media", "media_type", "media_length", "type_changed", "carved")
-    return sniffed.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    own = stored.select("doc_id", "n_bytes", "media", "declared")
+    return own.mapInArrow(releasing(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
