@@ -52,6 +52,20 @@ def remove(spark: SparkSession, path: str) -> None:
     found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    """Make a folder of any of Spark's file systems."""
+    made = spark._jvm.org.apache.hadoop.fs.Path(path)
+    made.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(made)
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a folder within one of Spark's file systems."""
+    old, new = spark._jvm.org.apache.hadoop.fs.Path(source), spark._jvm.org.apache.hadoop.fs.Path(target)
+    system = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.rename(old, new):
+        raise OSError(f"cannot rename {source} to {target}")
+
+
 @contextmanager
 def _without_shuffles_left(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of the queries that run inside go when they end; the session's setting comes back after."""
