@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm import chat, click_dedup, cotraining, fingerprints, language_id, media, minmax_dedup, mixing, packing, suffix_dedup, token_counts
+from vectorloom.llm import chat, click_dedup, cotraining, fingerprints, language_id, media, minmax_dedup, mixing, packing, page_text, spelling, suffix_dedup, token_counts
 from vectorloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,12 +64,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotraining.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op13_click_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return click_dedup.dedup_clicks(table(spark, sf_dir, "clicks"))
 
 
 def queries() -> dict[str, Query]:
-    named = (op1_token_counts, op2_chat_format, op3_fingerprints, op4_suffix_dedup, op5_language_id, op6_packing, op7_minmax_dedup, op8_mixing, op9_media, op10_quality, op13_click_dedup)
+    named = (op1_token_counts, op2_chat_format, op3_fingerprints, op4_suffix_dedup, op5_language_id, op6_packing, op7_minmax_dedup, op8_mixing, op9_media, op10_quality, op11_page_text, op12_spelling, op13_click_dedup)
     return {f.__name__: f for f in named}
 
 
