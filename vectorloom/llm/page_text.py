@@ -247,7 +247,7 @@ def occurrences(pages: DataFrame) -> DataFrame:
                     sums.clear()
         yield handed_on()
 
-    made = pages.select("url", host_of(F.col("url")), "html").mapInArrow(run, "host string, token long, low long, high long, pages long, times long, places long")
+    made = pages.select("url", host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, token long, low long, high long, pages long, times long, places long")
     return made.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("low", "high", "pages", "times", "places")])
 
 
