@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from vectorloom.session import make_folder, move, remove, shared_folder
 
 SPAN, LATENESS, BATCHES = 72, 48, 12
-SHARD_ROWS = 20_000
+SHARD_ROWS, PARTITION_SHARDS = 20_000, 4
 #: Ends the last batch: every window is past its deadline.
 NO_BOUND = 1 << 60
 FED = "shard long, key long, hour long, hash binary, n long, floor long, close_below long, batch int"
@@ -205,8 +205,8 @@ def stream_windows(rows: DataFrame, batches: int = BATCHES, span: int = SPAN, la
     base = f"{shared_folder(spark).rstrip('/')}/clicks-{uuid.uuid4().hex}"
     if not write_batches(rows, f"{base}/batches", batches, span, lateness):
         return spark.createDataFrame([], WINDOWS)
-    session = _own_session(spark)
-    shards = session.read.schema(FED).parquet(f"{base}/batches").where("batch = 0 and key is null").count()
+    shards = spark.read.schema(FED).parquet(f"{base}/batches").where("batch = 0 and key is null").count()
+    session = _own_session(spark, shards)
     make_folder(spark, f"{base}/fed")
     fed = session.readStream.schema(FED).parquet(f"{base}/fed")
     query = chained(fed, span, shards).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
@@ -219,11 +219,13 @@ def stream_windows(rows: DataFrame, batches: int = BATCHES, span: int = SPAN, la
     return spark.read.schema(WINDOWS).parquet(f"{base}/windows")
 
 
-def _own_session(spark: SparkSession) -> SparkSession:
+def _own_session(spark: SparkSession, shards: int) -> SparkSession:
     """A session with the same settings for the query.
 
-    It lets one stateful operator follow another (sound here, as the second does not go by event time) and keeps
-    the state of two batches only.
+    It lets one stateful operator follow another (sound here, as the second does not go by event time), keeps
+    the state of two batches only and writes no second file of checksums beside each of its files. A partition of
+    state writes files in every batch and keeps its place for the life of the checkpoint, so their number goes by
+    the shards: at least ``PARTITION_SHARDS`` each, up to the session's number of partitions.
     """
     session = spark.newSession()
     for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.sql.files.maxPartitionBytes"):
@@ -231,6 +233,9 @@ def _own_session(spark: SparkSession) -> SparkSession:
     session.conf.set("spark.sql.streaming.unsupportedOperationCheck", "false")
     session.conf.set("spark.sql.streaming.statefulOperator.checkCorrectness.enabled", "false")
     session.conf.set("spark.sql.streaming.minBatchesToRetain", "2")
+    session.conf.set("spark.sql.streaming.checkpoint.fileChecksum.enabled", "false")
+    partitions = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), shards // PARTITION_SHARDS))
+    session.conf.set("spark.sql.streaming.internal.stateStore.partitions", str(partitions))
     return session
 
 
