@@ -180,6 +180,23 @@ def test_quality_of_documents_whose_labels_were_not_read(spark, quality):
     assert len(good) > 30 and len(bad) > 5 and auc(good, bad) > 0.9
 
 
+def test_both_views_of_quality_hand_labels_on(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    model = cotraining.fit(docs, labels.where("doc_id % 3 <> 0"))
+    assert model.text_given > 500 and model.page_given > 500
+    rows = cotraining.score(docs, model).join(labels.where("doc_id % 3 = 0"), "doc_id").collect()
+    split = lambda column: [[r[column] for r in rows if (r.quality == 1 and not r.toxic) == k] for k in (True, False)]
+    assert auc(*split("page_score")) > 0.7 and auc(*split("score")) > 0.98
+
+
+def test_ends_of_a_view_are_the_surest_shares(spark):
+    rows = [(k, k / 100) for k in range(-1000, 1000)]
+    scored = spark.createDataFrame(rows, "doc_id long, a double")
+    low, high = cotraining.ends(scored, "a", 0.05)
+    assert sum(v * 100 // 1 <= low for _, v in rows) in range(100, 103) and sum(v * 100 // 1 >= high for _, v in rows) in range(100, 103)
+    assert cotraining.ends(scored.where("doc_id = 1"), "a", 0.05) is None and cotraining.ends(scored.limit(0), "a", 0.05) is None
+
+
 def test_quality_scores_match_a_plain_sum(spark, quality):
     docs, _, model = quality
     edge = documents(spark, [(-1, None), (-2, ""), (-3, LONG[:300_000]), (-4, "Same"), (-4, "Same"), (None, "no id")]).select("doc_id", "text", "lang", "source", "n_chars")
@@ -190,7 +207,7 @@ def test_quality_scores_match_a_plain_sum(spark, quality):
         text = r.text or ""
         sets = [np.array(sorted({b for t in cotraining.text_tokens(text) for b in cotraining.token_features(t)}), dtype=int)]
         a = model.text.logits(sets, np.array([cotraining.text_shape(text)]))[0]
-        b = model.page.logits([np.array([cotraining.bucket(t) for t in cotraining.page_tokens(r.source, r.lang, r.n_chars)])], np.zeros((1, 0)))[0]
+        b = model.page.logits([np.array([cotraining.bucket(t) for t in cotraining.page_tokens(r.source, r.lang, r.n_chars) + cotraining.layout_tokens(text)])], np.zeros((1, 0)))[0]
         a, b = model.text_scale[0] + model.text_scale[1] * a, model.page_scale[0] + model.page_scale[1] * b
         given[r.doc_id].append((squash(a), squash(b), squash(model.joint[0] + model.joint[1] * a + model.joint[2] * b)))
     found = defaultdict(list)
@@ -213,14 +230,15 @@ def test_linear_view_matches_newton():
 def test_pseudo_labels_change_the_other_view():
     rng = np.random.default_rng(2)
     n, y = 60, np.arange(60) % 2
-    text = [np.array([10 + label]) for label in y]
-    page = [np.array([20 + label]) for label in y]
-    pool_text = [np.array([10 + k % 2, 30 + k % 2]) for k in range(200)]
-    pool_page = [np.array([20 + k % 2, 40 + k % 2]) for k in range(200)]
-    fold, none = rng.random(n) < 0.3, np.zeros((n, 1))
-    args = (text, none, page, y.astype(float))
-    trained = cotraining.co_train(*args, pool_text, np.zeros((200, 1)), pool_page, fold, share=0.5, sure=0.6)
-    alone = cotraining.co_train(*args, [], np.zeros((0, 1)), [], fold)
+    known = cotraining.Rows([np.array([10 + label]) for label in y], np.zeros((n, 1)), [np.array([20 + label]) for label in y], y.astype(float))
+    pool = cotraining.Rows([np.array([10 + k % 2, 30 + k % 2]) for k in range(200)], np.zeros((200, 1)), [np.array([20 + k % 2, 40 + k % 2]) for k in range(200)], np.zeros(200))
+    fold = rng.random(n) < 0.3
+
+    def exchange(model):
+        of_text, of_page = model.text.logits(pool.text, pool.shapes) > 0, model.page.logits(pool.page, np.zeros((200, 0))) > 0
+        return cotraining.Rows(pool.text, pool.shapes, pool.page, of_page.astype(float)), cotraining.Rows(pool.text, pool.shapes, pool.page, of_text.astype(float))
+
+    trained, alone = cotraining.co_train(known, fold, exchange, weight=1.0), cotraining.co_train(known, fold, None)
     # words that only the pool has are learned from the other view's labels
     assert trained.page.weights[41] > 0 > trained.page.weights[40] and not alone.page.weights[40:42].any()
     assert trained.text.weights[31] > 0 > trained.text.weights[30] and not alone.text.weights[30:32].any()

@@ -1,35 +1,44 @@
-"""Document quality by co-training two views: what a text says, and where its page comes from.
+"""Document quality by co-training two views: what a text says, and how its page is made and where it comes from.
 
 The text view sees which words, stems of words and punctuation runs occur and a few shape numbers; the page view sees
-source, language and size class. Both are logistic regressions over hashed features. Starting from the
-labelled documents, each view scores a pool of unlabelled ones in every round and hands those it is
-most sure of to the other view as pseudo-labels. At the end each view is calibrated on a fold that
-neither was fitted on, and the calibrated log-odds are combined by a third regression on that fold.
-
-A document is good if its label says quality 1 and toxic 0. Fitting reads a bounded sample: at most about
-``labelled`` labelled and ``pool`` other documents, chosen by a hash of the id, with features made on the
-executors. Scoring reads every whole text, without a shuffle.
+source, language, size class and the layout: classes of the number and length of lines, of the share of lines that
+repeat within the page, and of the shares of letters, digits and marks. Both are logistic regressions over
+hashed features, fitted on labelled documents. In every round both views, calibrated on a fold that neither was fitted
+on, score all documents on the executors; counts by score tell which are the surest ``share`` at either end of
+each view, and these become pseudo-labels of the other view, which is fitted again. At the end the calibrated
+log-odds are combined by a third regression on the fold.
+
+A document is good if its label says quality 1 and toxic 0. A fit reads a bounded sample of labelled rows: at most
+about ``labelled`` rows with labels and ``handed`` of either end that the other view labelled, chosen by a hash of the
+id among all that are sure enough. A pseudo-label is the giving view's probability and counts ``TRUST`` times the
+square of its distance from a guess. Everything else covers all documents; scoring reads every whole text, without a
+shuffle, once a round and once at the end.
 
 Edge cases: null texts are empty; null metadata are a value of their own; labels of one document are
 merged (lowest quality, highest toxicity; null counts as quality 1 and toxic 0); without labelled rows of
-both kinds all scores are 0.5 and everything is kept; repeated rows get equal scores; an empty table
-gives an empty result; other columns are ignored.
+both kinds all scores are 0.5 and everything is kept; rows without id are scored but not handed on; a view whose
+scores are all alike hands nothing on; repeated rows get equal scores; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vectorloom.session import checkpoint, discard
+
 BUCKETS = 1 << 18
 SHAPES = 5
+#: Rounds of exchange; share of all documents at either end that a view is surest of; how many of them a fit reads; weight of a pseudo-label.
+ROUNDS, SHARE, HANDED, TRUST = 2, 0.05, 1000, 0.1
 SCORED = "doc_id long, text_score double, page_score double, score double, kept boolean"
 _TOKENS = re.compile(r"[^\W\d_]+|[^\w\s]+").findall
 
@@ -68,6 +77,24 @@ def page_tokens(source: str | None, lang: str | None, n_chars: int | None) -> li
     return [f"source={source}", f"lang={lang}", f"size={size}"]
 
 
+def layout_tokens(text: str) -> list[str]:
+    """Classes of a text's layout; none of them tells which words it has."""
+    lines = text.split("\n")
+    upper, marks, digits, _, _ = text_shape(text)
+    repeated = 1 - len(set(lines)) / len(lines)
+    long = max(map(len, lines))
+    finely = lambda x: int(40 * min(x, 0.5))
+    return [
+        f"lines={int(np.log2(len(lines)))}", f"line_size={int(np.log2(1 + len(text) / len(lines)))}", f"longest={int(np.log2(1 + long))}",
+        f"repeated={finely(repeated)}", f"upper={finely(upper)}", f"marks={finely(marks)}", f"digits={finely(digits)}",
+    ]
+
+
+def view_tokens(text: str, source: str | None, lang: str | None, n_chars: int | None) -> list[int]:
+    """Buckets of the page view."""
+    return [bucket(x) for x in page_tokens(source, lang, n_chars) + layout_tokens(text)]
+
+
 @dataclass
 class Linear:
     """Logistic regression: bias, weights of hashed features (dense array), weights of shape numbers."""
@@ -80,16 +107,18 @@ class Linear:
         return np.array([self.bias + self.weights[s].sum() for s in sets]) + shapes @ self.shape
 
 
-def fit_linear(sets: list[np.ndarray], shapes: np.ndarray, y: np.ndarray, select: float, l2: float = 1.0, steps: int = 300) -> Linear:
-    """Fit by Adam on features whose association with y has a chi-square of at least ``select``."""
+def fit_linear(sets: list[np.ndarray], shapes: np.ndarray, y: np.ndarray, select: float, l2: float = 1.0, steps: int = 300, weight: np.ndarray | None = None) -> Linear:
+    """Fit by Adam on features whose association with y has a chi-square of at least ``select``; rows may count by weight."""
     n = len(y)
+    weight = np.ones(n) if weight is None else weight
+    total = weight.sum()
     flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
     rows = np.repeat(np.arange(n), [len(s) for s in sets])
-    df, pos = np.bincount(flat, minlength=BUCKETS).astype(float), np.bincount(flat, weights=y[rows], minlength=BUCKETS)
-    p = y.mean()
+    df, pos = np.bincount(flat, weights=weight[rows], minlength=BUCKETS), np.bincount(flat, weights=(weight * y)[rows], minlength=BUCKETS)
+    p = (weight * y).sum() / total
     expected = df * p
     with np.errstate(divide="ignore", invalid="ignore"):
-        chi = np.where(df >= 4, (pos - expected) ** 2 / (df * p * (1 - p) * (1 - df / (n + 1))), 0)
+        chi = np.where(df >= 4, (pos - expected) ** 2 / (df * p * (1 - p) * (1 - df / (total + 1))), 0)
     chosen = np.flatnonzero(np.nan_to_num(chi) >= select) if select else np.flatnonzero(df)
     column = np.full(BUCKETS, -1)
     column[chosen] = np.arange(len(chosen))
@@ -103,10 +132,10 @@ def fit_linear(sets: list[np.ndarray], shapes: np.ndarray, y: np.ndarray, select
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
         z = theta[0] + np.bincount(i, weights=theta[1 + j], minlength=n) + scaled @ theta[1 + len(chosen) :]
-        error = 1 / (1 + np.exp(-np.clip(z, -35, 35))) - y
+        error = weight * (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y)
         grad = np.concatenate([[error.sum()], np.bincount(j, weights=error[i], minlength=len(chosen)), scaled.T @ error])
         grad[1:] += l2 * theta[1:]
-        grad /= n
+        grad /= total
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta -= 0.08 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
     weights = np.zeros(BUCKETS)
@@ -128,91 +157,163 @@ def fit_plane(x: np.ndarray, y: np.ndarray, l2: float = 0.5) -> np.ndarray:
 
 @dataclass
 class QualityModel:
-    """Both views, their calibrations (bias, slope) and the combination (bias, slope, slope)."""
+    """Both views, their calibrations (bias, slope), the combination (bias, slope, slope), and how many pseudo-labels each got last."""
 
     text: Linear | None = None
     page: Linear | None = None
     text_scale: tuple[float, ...] = (0.0, 1.0)
     page_scale: tuple[float, ...] = (0.0, 1.0)
     joint: tuple[float, ...] = (0.0, 1.0, 1.0)
+    text_given: int = 0
+    page_given: int = 0
 
 
-def co_train(text: list[np.ndarray], shapes: np.ndarray, page: list[np.ndarray], y: np.ndarray, pool_text: list[np.ndarray], pool_shapes: np.ndarray, pool_page: list[np.ndarray], fold: np.ndarray, rounds: int = 3, share: float = 0.05, sure: float = 0.95) -> QualityModel:
-    """Fit on the labelled rows outside the fold, exchange pseudo-labels, calibrate on the fold."""
-    fit = np.flatnonzero(~fold)
-    if len(set(y[fit])) < 2 or len(set(y[fold])) < 2:
-        return QualityModel()
-    empty = np.zeros((len(pool_page), 0))
-    given: dict[str, tuple[np.ndarray, np.ndarray]] = {"text": (np.zeros(0, int), np.zeros(0)), "page": (np.zeros(0, int), np.zeros(0))}
-
-    def fit_view(sets, own_shapes, pool_sets, pool_own, extra, select):
-        at, labels = extra
-        rows = [sets[k] for k in fit] + [pool_sets[k] for k in at]
-        dense = np.concatenate([own_shapes[fit], pool_own[at]])
-        return fit_linear(rows, dense, np.concatenate([y[fit], labels]), select)
-
-    def surest(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        q = 1 / (1 + np.exp(-np.clip(logits, -35, 35)))
-        most = max(1, int(share * len(q)))
-        order = np.argsort(q, kind="stable")
-        high = [k for k in order[::-1][:most] if q[k] >= sure]
-        low = [k for k in order[:most] if q[k] <= 1 - sure]
-        return np.array(high + low, dtype=int), np.array([1.0] * len(high) + [0.0] * len(low))
-
-    page_shapes = np.zeros((len(y), 0))
-    for _ in range(rounds):
-        by_text = fit_view(text, shapes, pool_text, pool_shapes, given["text"], 15.0)
-        by_page = fit_view(page, page_shapes, pool_page, empty, given["page"], 0.0)
-        if not len(pool_text):
-            break
-        given = {"page": surest(by_text.logits(pool_text, pool_shapes)), "text": surest(by_page.logits(pool_page, empty))}
-    by_text = fit_view(text, shapes, pool_text, pool_shapes, given["text"], 15.0)
-    by_page = fit_view(page, page_shapes, pool_page, empty, given["page"], 0.0)
-    at = np.flatnonzero(fold)
-    a = by_text.logits([text[k] for k in at], shapes[at])
-    b = by_page.logits([page[k] for k in at], page_shapes[at])
-    ta, tb = fit_plane(a[:, None], y[at]), fit_plane(b[:, None], y[at])
-    joint = fit_plane(np.column_stack([ta[0] + ta[1] * a, tb[0] + tb[1] * b]), y[at])
-    return QualityModel(by_text, by_page, tuple(ta), tuple(tb), tuple(joint))
-
-
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = 8000, pool: int = 3000, seed: int = 5) -> QualityModel:
-    """Train on a bounded sample chosen by a hash of the id."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars"))
-    named = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic")
-    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30))
-    n_labels, n_docs = named.count(), docs.count()
-    if not n_labels or not n_docs:
+@dataclass
+class Rows:
+    """Documents as both views see them, with labels."""
+
+    text: list[np.ndarray] = field(default_factory=list)
+    shapes: np.ndarray = field(default_factory=lambda: np.zeros((0, SHAPES)))
+    page: list[np.ndarray] = field(default_factory=list)
+    y: np.ndarray = field(default_factory=lambda: np.zeros(0))
+
+    def take(self, at: np.ndarray) -> Rows:
+        return Rows([self.text[k] for k in at], self.shapes[at], [self.page[k] for k in at], self.y[at])
+
+    def __add__(self, other: Rows) -> Rows:
+        return Rows(self.text + other.text, np.concatenate([self.shapes, other.shapes]), self.page + other.page, np.concatenate([self.y, other.y]))
+
+
+#: What the views hand on: rows labelled by the page view, for the text view, and the other way round.
+Exchange = Callable[[QualityModel], tuple[Rows, Rows]]
+
+
+def co_train(known: Rows, fold: np.ndarray, exchange: Exchange | None, rounds: int = ROUNDS, weight: float = TRUST) -> QualityModel:
+    """Fit on the labelled rows outside the fold, exchange pseudo-labels in every round, calibrate on the fold."""
+    own, held = known.take(np.flatnonzero(~fold)), known.take(np.flatnonzero(fold))
+    if len(set(own.y)) < 2 or len(set(held.y)) < 2:
         return QualityModel()
-    picked = named.where(draw < int((1 << 30) * min(1.0, labelled / n_labels))).groupBy("doc_id")
-    picked = picked.agg(F.min(F.coalesce("quality", F.lit(1))).alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
-    picked = picked.select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("double").alias("y")).orderBy(draw, "doc_id").limit(2 * labelled)
-    other = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, pool / n_docs))
-    sample = own.join(F.broadcast(picked), "doc_id", "left").where(F.col("y").isNotNull() | other)  # picked is bounded
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def trust(given: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.ones(len(own.y)), weight * (2 * given - 1) ** 2])
+
+    def fitted(for_text: Rows, for_page: Rows) -> QualityModel:
+        more, most = own + for_text, own + for_page
+        text = fit_linear(more.text, more.shapes, more.y, 15.0, weight=trust(for_text.y))
+        page = fit_linear(most.page, np.zeros((len(most.y), 0)), most.y, 0.0, weight=trust(for_page.y))
+        a, b = text.logits(held.text, held.shapes), page.logits(held.page, np.zeros((len(held.y), 0)))
+        ta, tb = fit_plane(a[:, None], held.y), fit_plane(b[:, None], held.y)
+        joint = fit_plane(np.column_stack([ta[0] + ta[1] * a, tb[0] + tb[1] * b]), held.y)
+        return QualityModel(text, page, tuple(ta), tuple(tb), tuple(joint), len(for_text.y), len(for_page.y))
+
+    none = own.take(np.zeros(0, int))
+    model = fitted(none, none)
+    for _ in range(rounds if exchange else 0):
+        model = fitted(*exchange(model))
+    return model
+
+
+def _columns(docs: DataFrame) -> DataFrame:
+    kinds = {"doc_id": "long", "text": "string", "source": "string", "lang": "string", "n_chars": "long"}
+    return docs.select(*[F.col(c).cast(k).alias(c) for c, k in kinds.items()])
+
+
+def features(docs: DataFrame, *also: str) -> DataFrame:
+    """doc_id, further columns, and what both views see of documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, shape, page = [], [], []
-            sources, langs, sizes = (batch.column(k).to_pylist() for k in (3, 4, 5))
-            for value, source, lang, size in zip(batch.column(2), sources, langs, sizes):
+            sources, langs, sizes = (batch.column(k).to_pylist() for k in (2, 3, 4))
+            for value, source, lang, size in zip(batch.column(1), sources, langs, sizes):
                 t = value.as_py() or ""
                 text.append(sorted({b for x in text_tokens(t) for b in token_features(x)}))
                 shape.append(text_shape(t))
-                page.append([bucket(x) for x in page_tokens(source, lang, size)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.list_(pa.int32())), pa.array(shape, pa.list_(pa.float64())), pa.array(page, pa.list_(pa.int32()))], names=["doc_id", "y", "text", "shape", "page"])
+                page.append(view_tokens(t, source, lang, size))
+            made = [pa.array(text, pa.list_(pa.int32())), pa.array(shape, pa.list_(pa.float64())), pa.array(page, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[5:], *made], names=["doc_id", *also, "text", "shape", "page"])
+
+    kinds = "".join(f", {c} double" for c in also)
+    return docs.select("doc_id", "text", "source", "lang", "n_chars", *also).mapInArrow(run, f"doc_id long{kinds}, text array<int>, shape array<double>, page array<int>")
 
-    made = sample.select("doc_id", "y", "text", "source", "lang", "n_chars").mapInArrow(features, "doc_id long, y double, text array<int>, shape array<double>, page array<int>")
-    order = F.col("y").isNull(), draw, "doc_id", "page", "shape"
-    rows = made.orderBy(*order).limit(2 * labelled + 2 * pool).toArrow().sort_by("doc_id")
-    y = np.array(rows.column("y").to_pylist(), dtype=float)
+
+def _local(made: DataFrame, most: int, seed: int, *also: str) -> tuple[Rows, dict[str, np.ndarray], list[int]]:
+    """At most so many rows of features on the driver, in an order that does not depend on partitions."""
+    rows = made.orderBy(_draw(seed), "doc_id", "page", "shape").limit(most).toArrow().sort_by("doc_id")
     text, page = (_sets_of(rows.column(c).combine_chunks()) for c in ("text", "page"))
     shapes = np.array(rows.column("shape").to_pylist(), dtype=float).reshape(-1, SHAPES)
-    known, rest = np.flatnonzero(~np.isnan(y)), np.flatnonzero(np.isnan(y))
-    ids = rows.column("doc_id").to_pylist()
-    fold = np.array([zlib.crc32(f"fold-{ids[k]}".encode()) % 4 == 0 for k in known], dtype=bool)
-    if not len(known):
+    labels = {c: np.array(rows.column(c).to_pylist(), dtype=float) for c in also}
+    return Rows(text, shapes, page, labels[also[0]]), labels, rows.column("doc_id").to_pylist()
+
+
+def _draw(seed: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30))
+
+
+def ends(scored: DataFrame, column: str, share: float) -> tuple[int, int] | None:
+    """Hundredths of log-odds at and below which, and at and above which, the surest share of the rows lies.
+
+    Counts of all rows by hundredth, at most 7,001 of them, go to the driver; None if both ends would meet.
+    """
+    at = F.least(F.greatest(F.floor(F.col(column) * 100), F.lit(-3500)), F.lit(3500))
+    counts = sorted((r[0], r[1]) for r in scored.groupBy(at.alias("at")).count().collect())
+    wanted = share * sum(n for _, n in counts)
+
+    def reach(order: list[tuple[int, int]]) -> int:
+        total = 0
+        for value, n in order:
+            total += n
+            if total >= wanted:
+                break
+        return value
+
+    low, high = (reach(counts), reach(counts[::-1])) if counts else (0, 0)
+    return (low, high) if low < high else None
+
+
+def surest(docs: DataFrame, named: DataFrame, model: QualityModel, share: float = SHARE, handed: int = HANDED, seed: int = 6) -> tuple[Rows, Rows]:
+    """Rows for the text view, labelled by the page view, and rows for the page view, labelled by the text view.
+
+    All documents without a label are scored; those of either end are handed on, at most ``handed`` of each.
+    """
+    log_odds = lambda c: F.log(F.col(c) / (1 - F.col(c)))
+    clipped = lambda c: F.least(F.greatest(c, F.lit(1e-15)), F.lit(1 - 1e-15)).alias(c)
+    scored = score(docs.where("doc_id is not null"), model).select("doc_id", clipped("text_score"), clipped("page_score"))
+    scored = checkpoint(scored.join(named.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", log_odds("text_score").alias("a"), log_odds("page_score").alias("b")))
+    chosen = None
+    for column, view in (("b", "for_text"), ("a", "for_page")):
+        cuts = ends(scored, column, share)
+        likely, at = 1 / (1 + F.exp(-F.col(column))), F.floor(F.col(column) * 100)
+        for sure in (at <= cuts[0], at >= cuts[1]) if cuts else ():
+            part = scored.where(sure).select("doc_id", *[(likely if v == view else F.lit(None).cast("double")).alias(v) for v in ("for_text", "for_page")]).distinct().orderBy(_draw(seed), "doc_id").limit(handed)
+            chosen = part if chosen is None else chosen.unionByName(part)
+    if chosen is None:
+        discard(scored)
+        return Rows(), Rows()
+    picked = checkpoint(chosen.groupBy("doc_id").agg(F.max("for_text").alias("for_text"), F.max("for_page").alias("for_page")))
+    rows, labels, _ = _local(features(docs.join(F.broadcast(picked), "doc_id"), "for_text", "for_page"), 4 * handed, seed, "for_text", "for_page")  # picked is bounded
+    for left in (scored, picked):
+        discard(left)
+    found = []
+    for view in ("for_text", "for_page"):
+        rows.y = labels[view]
+        found.append(rows.take(np.flatnonzero(~np.isnan(rows.y))))
+    return found[0], found[1]
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = 8000, seed: int = 5, rounds: int = ROUNDS, handed: int = HANDED) -> QualityModel:
+    """Train on a bounded sample of labelled rows, chosen by a hash of the id, and on the views' pseudo-labels."""
+    own = _columns(docs)
+    named = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic")
+    n_labels = named.count()
+    if not n_labels:
         return QualityModel()
-    return co_train([text[k] for k in known], shapes[known], [page[k] for k in known], y[known], [text[k] for k in rest], shapes[rest], [page[k] for k in rest], fold)
+    picked = named.where(_draw(seed) < int((1 << 30) * min(1.0, labelled / n_labels))).groupBy("doc_id")
+    picked = picked.agg(F.min(F.coalesce("quality", F.lit(1))).alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
+    picked = picked.select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("double").alias("y")).orderBy(_draw(seed), "doc_id").limit(2 * labelled)
+    known, _, ids = _local(features(own.join(F.broadcast(picked), "doc_id"), "y"), 2 * labelled, seed, "y")  # picked is bounded
+    fold = np.array([zlib.crc32(f"fold-{k}".encode()) % 4 == 0 for k in ids], dtype=bool)
+    return co_train(known, fold, lambda model: surest(own, named, model, handed=handed), rounds)
 
 
 def _sets_of(column: pa.ListArray) -> list[np.ndarray]:
@@ -254,7 +355,7 @@ def score(docs: DataFrame, model: QualityModel, least: float = 0.5) -> DataFrame
                 # features that share a bucket count once, as in training
                 hit = {b: w for found in map(weights.__getitem__, text_tokens(text)) for b, w in found}
                 a = model.text.bias + sum(sorted(hit.values())) + float(np.dot(text_shape(text), model.text.shape))
-                b = model.page.bias + sum(float(model.page.weights[bucket(x)]) for x in page_tokens(source, lang, size))
+                b = model.page.bias + float(model.page.weights[view_tokens(text, source, lang, size)].sum())
                 a, b = model.text_scale[0] + model.text_scale[1] * a, model.page_scale[0] + model.page_scale[1] * b
                 both = squash(model.joint[0] + model.joint[1] * a + model.joint[2] * b)
                 out.append((squash(a), squash(b), both, both >= least))
@@ -262,8 +363,7 @@ def score(docs: DataFrame, model: QualityModel, least: float = 0.5) -> DataFrame
             kinds = [pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(parts, kinds))], names=["doc_id", "text_score", "page_score", "score", "kept"])
 
-    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long"))
-    return own.mapInArrow(run, SCORED)
+    return _columns(docs).mapInArrow(run, SCORED)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
