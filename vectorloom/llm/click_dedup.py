@@ -48,17 +48,20 @@ _OPEN = np.dtype([("key", "<i8"), ("start", "<i8"), ("hash", "V32")])
 _COUNTS = np.dtype([("key", "<i8"), ("start", "<i8"), ("repeats", "<i8"), ("conflicts", "<i8"), ("crc", "<i8")])
 
 
-def utc_micros(column: str) -> Column:
-    """Microseconds since 1970 of a timestamp; one without a zone is taken as UTC."""
-    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast({column} as timestamp_ntz))")
+def utc_micros(df: DataFrame, column: str) -> Column:
+    """Microseconds since 1970 of a timestamp; one without a zone is taken as UTC, whatever the session's zone."""
+    if dict(df.dtypes)[column] == "timestamp":
+        return F.unix_micros(column)
+    day, second = F.datediff(F.col(column).cast("date"), F.lit("1970-01-01").cast("date")).cast("long"), F.hour(column) * 3600 + F.minute(column) * 60
+    return (day * 86_400 + second) * 1_000_000 + F.expr(f"cast(extract(second from {column}) * 1000000 as long)")
 
 
 def click_copies(clicks: DataFrame) -> DataFrame:
     """(key, hour, place, hash) of every copy of every row; place is the copy's order of arrival."""
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     rows = clicks.select(
-        F.col("click_id").cast("long").alias("key"), utc_micros("arrived_at").alias("arrived"),
-        F.concat_ws("|", text(F.col("client_id")), text(F.col("kind")), text(F.floor(F.lit(100) * F.col("value") + F.lit(0.5)).cast("long")), text(utc_micros("ts")), text(F.col("props"))).alias("payload"),
+        F.col("click_id").cast("long").alias("key"), utc_micros(clicks, "arrived_at").alias("arrived"),
+        F.concat_ws("|", text(F.col("client_id")), text(F.col("kind")), text(F.floor(F.lit(100) * F.col("value") + F.lit(0.5)).cast("long")), text(utc_micros(clicks, "ts")), text(F.col("props"))).alias("payload"),
     ).where("key is not null and arrived is not null")
     rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.pmod("key", F.lit(3)).cast("int"))))
     rows = rows.withColumn("c", F.crc32(F.concat_ws(":", "key", "j").cast("binary")))

@@ -50,6 +50,8 @@ HELD = 200_000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea iframe noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
+#: The elements that make up a path; text, headings and lists belong to the container they lie in.
+CONTAINERS = frozenset("html head body main article section div nav aside header footer form table center details fieldset".split())
 CLOSED_BY = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
@@ -203,8 +205,8 @@ def read_page(page: str) -> tuple[list[int], list[Block]]:
             continue
         level = max(level, top.level)
         left_out = top.left_out or left_out or header and level < ARTICLE
-        inside = name == "p" or name in INLINE  # only containers make up a path
-        stack.append(Element(name, top.path if inside else _hash(top.path, f">{label}"), left_out, level, top.link or name == "a"))
+        path = _hash(top.path, f">{label}") if name in CONTAINERS else top.path
+        stack.append(Element(name, path, left_out, level, top.link or name == "a"))
     return tokens, [b for b in blocks if b.text]
 
 
