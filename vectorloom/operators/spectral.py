@@ -30,7 +30,7 @@ from vectorloom.operators import graph
 from vectorloom.session import checkpoint, discard
 
 #: Vectors beyond k that the block carries, steps of a filter and rounds at most.
-SPARE, DEGREE, ROUNDS = 6, 12, 60
+SPARE, DEGREE, ROUNDS = 16, 8, 60
 
 
 @dataclass
@@ -46,27 +46,35 @@ def _names(width: int) -> list[str]:
     return [f"x{k}" for k in range(width)]
 
 
+def with_diagonal(entries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(i, j, value) with one row per place and one for every node's place on the diagonal, be it 0."""
+    zeros = nodes.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0.0).alias("value"))
+    return entries.select("i", "j", "value").unionByName(zeros).groupBy("i", "j").agg(F.sum("value").alias("value"))
+
+
 def multiply(entries: DataFrame, block: DataFrame, names: list[str]) -> DataFrame:
-    """(id, columns) of the product of a matrix (i, j, value) with a block (id, columns); rows of zeros stay."""
+    """(id, columns) of the product of a matrix with a whole diagonal and a block (id, columns)."""
     terms = entries.join(block.withColumnRenamed("id", "j"), "j").select(F.col("i").alias("id"), *[(F.col("value") * F.col(c)).alias(c) for c in names])
-    zeros = block.select("id", *[F.lit(0.0).alias(c) for c in names])
-    return terms.unionByName(zeros).groupBy("id").agg(*[F.sum(c).alias(c) for c in names])
+    return terms.groupBy("id").agg(*[F.sum(c).alias(c) for c in names])
 
 
 def _filtered(entries: DataFrame, block: DataFrame, names: list[str], low: float, high: float, degree: int) -> DataFrame:
     """The block under the Chebyshev polynomial that is small between low and high.
 
-    y' = 2 (A y - centre y) / half - before: products, the row itself and the vector before it meet in one sum.
+    y' = 2 (A y - centre y) / half - before. The diagonal's row of the join carries the row itself and the vector
+    before it, so each step reads the last one once and the plan grows with the degree alone.
     """
     centre, half = (low + high) / 2, (high - low) / 2
     before = [f"b{c}" for c in names]
-    state = block.select("id", *names, *[F.lit(0.0).alias(b) for b in before])
+    state = block.select(F.col("id").alias("j"), *names, *[F.lit(0.0).alias(b) for b in before])
+    own = F.col("i") == F.col("j")
     for step in range(degree):
         scale = (1.0 if step == 0 else 2.0) / half
-        terms = entries.join(state.select(F.col("id").alias("j"), *names), "j").select(F.col("i").alias("id"), *[(F.col("value") * F.col(c) * scale).alias(c) for c in names], *[F.lit(0.0).alias(b) for b in before])
-        own = state.select("id", *[(F.col(c) * (-centre * scale) - F.col(b)).alias(c) for c, b in zip(names, before)], *[F.col(c).alias(b) for c, b in zip(names, before)])
-        state = terms.unionByName(own).groupBy("id").agg(*[F.sum(c).alias(c) for c in names + before])
-    return state.select("id", *names)
+        shifted = (F.col("value") - F.when(own, F.lit(centre)).otherwise(F.lit(0.0))) * scale
+        placed = entries.join(state, "j").withColumn("value", shifted).withColumn("own", own.cast("double"))
+        terms = placed.select("i", *[(F.col("value") * F.col(c) - F.col("own") * F.col(b)).alias(c) for c, b in zip(names, before)], *[(F.col("own") * F.col(c)).alias(b) for c, b in zip(names, before)])
+        state = terms.groupBy(F.col("i").alias("j")).agg(*[F.sum(c).alias(c) for c in names + before])
+    return state.select(F.col("j").alias("id"), *names)
 
 
 def _products(block: DataFrame, times: DataFrame, names: list[str]) -> np.ndarray:
@@ -117,7 +125,7 @@ def smallest(entries: DataFrame, nodes: DataFrame, k: int, top: float, tolerance
     if not width or k < 1:
         return Eigenpairs(np.zeros(0), np.zeros(0), ids.select("id", F.array().cast("array<double>").alias("v")))
     names = _names(width)
-    matrix = checkpoint(entries.groupBy("i", "j").agg(F.sum("value").alias("value")))
+    matrix = checkpoint(with_diagonal(entries, ids))
     # unlike numbers from hashes of the ids, the same in every run and on every partitioning
     start = [(F.pmod(F.xxhash64(F.lit(seed * 1000 + c), "id"), F.lit(1 << 30)) / float(1 << 29) - 1).alias(x) for c, x in enumerate(names)]
     block = checkpoint(ids.select("id", *start))

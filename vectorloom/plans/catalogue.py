@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vectorloom.plans import graph_queries, numeric_queries, relational_queries, topology_queries, vector_queries, workflow_queries
+from vectorloom.plans import graph_queries, numeric_queries, relational_queries, scale_queries, topology_queries, vector_queries, workflow_queries
 from vectorloom.plans.register import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "graph_queries", "numeric_queries", "relational_queries", "topology_queries", "vector_queries", "workflow_queries"]
+__all__ = ["ORACLES", "QUERIES", "graph_queries", "numeric_queries", "relational_queries", "scale_queries", "topology_queries", "vector_queries", "workflow_queries"]

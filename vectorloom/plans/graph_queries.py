@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vectorloom.operators import graph
+from vectorloom.operators import graph, spectral
 from vectorloom.plans.register import query, r, rounded
 from vectorloom.plans.vector_queries import embeddings
+from vectorloom.session import checkpoint
 
 K = 5
 DIST = "d AS (SELECT a.vec_id i, b.vec_id j, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)"
@@ -103,13 +104,13 @@ def graph_signature(spark, sf_dir):
 
 @query()
 def eigengap(spark, sf_dir):
-    import numpy as np
-
-    values = np.linalg.eigvalsh(graph.laplacian_matrix(*_graph(spark, sf_dir), kind="symmetric")[1])
+    edges, nodes = _graph(spark, sf_dir)
+    values = spectral.laplacian_pairs(checkpoint(edges), nodes, 6).values
     return spark.createDataFrame([(k, graph.eigengap(values, k)) for k in range(1, 6)], "k int, eigengap double")
 
 
 @query()
 def spectral_layout(spark, sf_dir):
-    ids, xy = graph.spectral_layout(*_graph(spark, sf_dir))
-    return spark.createDataFrame([(int(i), float(x), float(y)) for i, (x, y) in zip(ids, xy)], "id long, x double, y double").select("id", r("x").alias("x"), r("y").alias("y"))
+    edges, nodes = _graph(spark, sf_dir)
+    found = spectral.fixed_signs(spectral.laplacian_pairs(checkpoint(edges), nodes, 3).vectors, 3)
+    return found.select("id", r(F.col("v")[1]).alias("x"), r(F.col("v")[2]).alias("y"))
