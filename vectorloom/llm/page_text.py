@@ -72,6 +72,7 @@ ARTICLE, MAIN, NAMED = 3, 2, 1
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORDS = re.compile(r"[a-z]+")
+_RAW_END = {name: re.compile(f"</{name}(?=[\\s/>])", re.I) for name in RAW}
 
 
 @dataclass
@@ -104,8 +105,19 @@ class Block:
 @functools.lru_cache(maxsize=1 << 16)
 def _hash(parent: int, label: str) -> int:
     """Signed hash of a label under a path; never 0, which marks the page itself."""
-    value = xxhash.xxh3_64_intdigest(f"{parent}/{label}")
-    return (value - (1 << 64) if value >= 1 << 63 else value) or 1
+    return _signed(xxhash.xxh3_64_intdigest(f"{parent}/{label}")) or 1
+
+
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >= 1 << 63 else value
+
+
+@functools.lru_cache(maxsize=1 << 14)
+def _tag(markup: str) -> tuple[str, bool, str, bool]:
+    """(name, whether it ends an element, attributes, whether it is inline) of a tag; no name for comments and the like."""
+    m = _TOKEN.fullmatch(markup)
+    name = (m[2] or m[5] or "").lower()
+    return name, bool(m[1] or m[4]), m[3] or m[6] or "", name in INLINE
 
 
 @functools.lru_cache(maxsize=1 << 14)
@@ -146,7 +158,7 @@ def read_page(page: str) -> tuple[list[int], list[Block]]:
         squeezed = " ".join(own.split())
         if not squeezed:
             return
-        node = _hash(top.path, f"#{xxhash.xxh3_64_hexdigest(squeezed.encode('utf-8', 'replace'))}")
+        node = _signed(xxhash.xxh3_64_intdigest(squeezed.encode("utf-8", "replace"), top.path & 0xFFFFFFFFFFFFFFFF)) or 1
         tokens.append(node)
         if top.left_out:
             return
@@ -168,46 +180,46 @@ def read_page(page: str) -> tuple[list[int], list[Block]]:
                 return
 
     while at < end:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            text(page[at:])
+        for m in _TOKEN.finditer(page, at):
+            start = m.start()
+            if start > at:
+                text(page[at:start])
+            at = m.end()
+            name, ending, attributes, inline = _tag(m[0])
+            if not name:
+                continue
+            if not inline:
+                block = None
+            elif name == "br" and block is not None:
+                block.parts.append(" ")
+            if ending:
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].name == name:
+                        del stack[k:]
+                        break
+                tokens.append(_hash(stack[-1].path, f"/{name}"))
+                continue
+            if name in CLOSED_BY:
+                close(*CLOSED_BY[name])
+            elif not inline:
+                close({"p"}, {"table", "button", "object"})
+            label, left_out, header, level = judge(name, attributes)
+            top = stack[-1]
+            tokens.append(_hash(top.path, label))
+            if not (name in VOID or attributes.endswith("/")):
+                level = max(level, top.level)
+                left_out = top.left_out or left_out or header and level < ARTICLE
+                path = _hash(top.path, f">{label}") if name in CONTAINERS else top.path
+                stack.append(Element(name, path, left_out, level, top.link or name == "a"))
+            if name in RAW:  # what it holds is not markup: go on at its end
+                stop = _RAW_END[name].search(page, at)
+                at = stop.start() if stop else end
+                break
+        else:
+            if at < end:
+                text(page[at:])
             break
-        if m.start() > at:
-            text(page[at : m.start()])
-        at = m.end()
-        name = m[2] or m[5]
-        if name is None:
-            continue
-        name, ending = name.lower(), bool(m[1] or m[4])
-        if name not in INLINE:
-            block = None
-        elif name == "br" and block is not None:
-            block.parts.append(" ")
-        if ending:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    del stack[k:]
-                    break
-            tokens.append(_hash(stack[-1].path, f"/{name}"))
-            continue
-        if name in CLOSED_BY:
-            close(*CLOSED_BY[name])
-        elif name not in INLINE:
-            close({"p"}, {"table", "button", "object"})
-        attributes = m[3] or m[6] or ""
-        label, left_out, header, level = judge(name, attributes)
-        top = stack[-1]
-        tokens.append(_hash(top.path, label))
-        if name in RAW:
-            stop = re.compile(f"</{name}(?=[\\s/>])", re.I).search(page, at)
-            at = stop.start() if stop else end
-        if name in VOID or attributes.endswith("/"):
-            continue
-        level = max(level, top.level)
-        left_out = top.left_out or left_out or header and level < ARTICLE
-        path = _hash(top.path, f">{label}") if name in CONTAINERS else top.path
-        stack.append(Element(name, path, left_out, level, top.link or name == "a"))
-    return tokens, [b for b in blocks if b.text]
+    return tokens, blocks
 
 
 def host_of(url: Column) -> Column:
@@ -307,8 +319,7 @@ class Template:
 
 
 def _slot(token: int, path: int) -> int:
-    value = xxhash.xxh3_64_intdigest(token.to_bytes(8, "little", signed=True), path & 0xFFFFFFFFFFFFFFFF)
-    return value - (1 << 64) if value >= 1 << 63 else value
+    return _signed(xxhash.xxh3_64_intdigest(token.to_bytes(8, "little", signed=True), path & 0xFFFFFFFFFFFFFFFF))
 
 
 def _rising(pairs: list[tuple[int, int]]) -> list[int]:
