@@ -147,7 +147,7 @@ def test_regression_with_hc3(spark):
         for r in rows:
             if r.term == "is_treatment" and r.se:
                 assert r.stat == pytest.approx(r.beta / r.se, abs=1e-3) and r.ci_low <= r.beta <= r.ci_high and 0 <= r.p <= 1
-    assert relational_queries._long(spark).count() > 0
+    assert relational_queries._long(spark, SF_SMALL).count() > 0
 
 
 @pytest.mark.parametrize("rows", [7, 64, None])

@@ -10,9 +10,9 @@ from vectorloom.plans.register import query, r, rounded
 from vectorloom.sources import tables
 from vectorloom.session import table
 
-# -- fixtures that both engines build from the same text -----------------------------------------
+# -- the registry and its metrics, made from suppliers and their order lines -----------------------
 
-#: Fixed input values: model_name, family, size, num_parameters, pretrain_dataset, pretrain_aug, pretrain_ft
+#: The names that suppliers' models are called after: model_name, family, size, num_parameters, pretrain_dataset, pretrain_aug, pretrain_ft
 REGISTRY = [
     ("vit_tiny_patch16_224.augreg_in21k", "ViT", "Tiny", 5, "ImageNet-21K", "AugReg", None), ("vit_tiny_patch16_224.augreg_in21k_ft_in1k", "ViT", "Tiny", 5, "ImageNet-21K", "AugReg", "ImageNet-1K"),
     ("vit_small_patch16_224.augreg_in1k", "ViT", "Small", 22, "ImageNet-1K", "AugReg", None), ("vit_small_patch16_224.augreg_in21k", "ViT", "Small", 22, "ImageNet-21K", "AugReg", None),
@@ -42,26 +42,36 @@ def _literal(value) -> str:
     return "NULL" if value is None else str(value) if isinstance(value, (int, float)) else "'" + value + "'"
 
 
-REGISTRY_SQL = "reg(model_name, family, size, num_parameters, pretrain_dataset, pretrain_aug, pretrain_ft) AS (VALUES " + ", ".join("(" + ", ".join(map(_literal, row)) + ")" for row in REGISTRY) + ")"
-#: Metric rows: every model but two, on two datasets, from a formula of the model's place in name order.
-METRICS_SQL = f"""{REGISTRY_SQL}, met AS (SELECT model_name AS model, d.dataset, ((k * 37 + d.o * 11) % 101) / 10.0::DOUBLE AS isotropy, CASE WHEN k % 9 = 0 THEN NULL ELSE ((k * 53 + d.o * 7) % 89) / 7.0::DOUBLE END AS spread
-FROM (SELECT model_name, row_number() OVER (ORDER BY model_name) k FROM reg), (VALUES ('cifar10', 0), ('mnist', 1)) d(dataset, o) WHERE k NOT IN (5, 17))"""
+#: Every supplier is a model: named after a row of REGISTRY by its key, with the block of keys in its variant.
+REGISTRY_SQL = f"""tpl(place, model_name, family, size, num_parameters, pretrain_dataset, pretrain_aug, pretrain_ft) AS (VALUES {", ".join("(" + ", ".join(map(_literal, (k, *row))) + ")" for k, row in enumerate(REGISTRY))}),
+named AS (SELECT s_suppkey, replace(model_name, '.', '_no' || (s_suppkey // {len(REGISTRY)}) || '.') model_name, family, size, num_parameters + floor(abs(s_acctbal))::BIGINT % 7 num_parameters, pretrain_dataset, pretrain_aug, pretrain_ft FROM supplier JOIN tpl ON place = s_suppkey % {len(REGISTRY)}),
+reg AS (SELECT * EXCLUDE s_suppkey FROM named)"""
+#: Metrics of a model on two data sets, open and filled lines: means over its supplier's order lines; two suppliers of twenty have none.
+METRICS_SQL = f"""{REGISTRY_SQL}, met AS (SELECT model_name AS model, CASE l_linestatus WHEN 'O' THEN 'cifar10' ELSE 'mnist' END AS dataset, avg(l_quantity)::DOUBLE AS isotropy, CASE WHEN count(*) % 9 <> 0 THEN avg(l_linenumber)::DOUBLE END AS spread
+FROM lineitem JOIN named ON s_suppkey = l_suppkey WHERE s_suppkey % 20 NOT IN (5, 17) GROUP BY ALL)"""
 
 
-def registry_table(spark):
-    return spark.createDataFrame(REGISTRY, COLUMNS)
+def _named(spark, sf_dir):
+    """s_suppkey and the registry's columns of every supplier."""
+    names = spark.createDataFrame([(k, *row) for k, row in enumerate(REGISTRY)], "place int, " + COLUMNS)
+    own = table(spark, sf_dir, "supplier").withColumn("place", (F.col("s_suppkey") % len(REGISTRY)).cast("int"))
+    both = own.join(F.broadcast(names), "place")  # one row a name
+    block = F.concat(F.lit("_no"), F.expr(f"s_suppkey div {len(REGISTRY)}"), F.lit("."))
+    return both.select(
+        "s_suppkey", F.replace("model_name", F.lit("."), block).alias("model_name"), "family", "size", (F.col("num_parameters") + F.floor(F.abs("s_acctbal")) % 7).alias("num_parameters"),
+        "pretrain_dataset", "pretrain_aug", "pretrain_ft",
+    )
 
 
-def metrics_table(spark):
-    placed = tables_row_numbers(registry_table(spark), "model_name")
-    sets = spark.createDataFrame([("cifar10", 0), ("mnist", 1)], "dataset string, o int")
-    both = placed.withColumn("u", F.lit(1)).join(sets.withColumn("u", F.lit(1)), "u").where(~F.col("k").isin(5, 17))
-    spread = F.when(F.col("k") % 9 != 0, ((F.col("k") * 53 + F.col("o") * 7) % 89) / F.lit(7.0))
-    return both.select(F.col("model_name").alias("model"), "dataset", (((F.col("k") * 37 + F.col("o") * 11) % 101) / F.lit(10.0)).alias("isotropy"), spread.alias("spread"))
+def registry_table(spark, sf_dir):
+    return _named(spark, sf_dir).drop("s_suppkey")
 
 
-def tables_row_numbers(df, *order):
-    return df.withColumn("k", F.row_number().over(Window.orderBy(*order)))
+def metrics_table(spark, sf_dir):
+    own = _named(spark, sf_dir).where(~(F.col("s_suppkey") % 20).isin(5, 17)).select("s_suppkey", F.col("model_name").alias("model"))
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_quantity", "l_linenumber", F.when(F.col("l_linestatus") == "O", "cifar10").otherwise("mnist").alias("dataset"))
+    sums = lines.groupBy("l_suppkey", "dataset").agg(F.avg("l_quantity").cast("double").alias("isotropy"), F.when(F.count("*") % 9 != 0, F.avg("l_linenumber").cast("double")).alias("spread"))
+    return sums.join(own, F.col("s_suppkey") == F.col("l_suppkey")).select("model", "dataset", "isotropy", "spread")
 
 
 # -- name parsing --------------------------------------------------------------------------------
@@ -94,7 +104,7 @@ coalesce(TRY_CAST({_sql_match(_V, 'patch([0-9]+)')} AS BIGINT), TRY_CAST({_sql_m
 CASE WHEN NOT starts_with(v, 'swin') AND NOT starts_with(v, 'sam') THEN {_sql_match(_V, '(s[0-9]+)')} END stride_code, {_sql_ladder(registry.POSITIONS, _sql_token(_V))} positional_encoding, {_sql_ladder(registry.HEADS, _sql_token(_V))} head_type,
 contains('_' || v || '_', '_aa_') OR regexp_matches(v, '^(?:resnetaa|darknetaa|seresnextaa)') uses_aa, regexp_matches(v, '[0-9]ts(?:_|$)') uses_ts FROM f""")
 def registry_parse_variant(spark, sf_dir):
-    out = registry.parse_names(registry_table(spark).select("model_name"))
+    out = registry.parse_names(registry_table(spark, sf_dir).select("model_name"))
     return out.select("model_name", "is_legacy", "family", "model_version", "macro_family", "size", "patch_size", "window_size", "stride_code", "positional_encoding", "head_type", "uses_aa", "uses_ts")
 
 
@@ -104,7 +114,7 @@ h AS (SELECT *, coalesce({_sql_ladder(_BY_LENGTH(registry.DATASETS), lambda k: f
 SELECT model_name, org pretrain_org, CASE WHEN ds0 IS NULL AND ft0 <> 'ImageNet-1K' THEN ft0 ELSE ds0 END pretrain_dataset, CASE WHEN ds0 IS NULL AND ft0 <> 'ImageNet-1K' THEN 'ImageNet-1K' ELSE ft0 END pretrain_ft,
 {_sql_ladder(registry.AUGMENTATIONS, _sql_token(_C))} pretrain_aug, {_sql_ladder(registry.DATASET_SIZES, lambda k: f"contains(cfg, '{k}')")} pretrain_dataset_size, contains('_' || cfg || '_', '_i18n_') pretrain_i18n FROM h""")
 def registry_parse_config(spark, sf_dir):
-    out = registry.parse_names(registry_table(spark).select("model_name"))
+    out = registry.parse_names(registry_table(spark, sf_dir).select("model_name"))
     return out.select("model_name", "pretrain_org", "pretrain_dataset", "pretrain_ft", "pretrain_aug", "pretrain_dataset_size", "pretrain_i18n")
 
 
@@ -112,13 +122,13 @@ def registry_parse_config(spark, sf_dir):
 SELECT model_name, family, macro_family, size, CASE WHEN model_name LIKE '%.ns_jft_in1k' THEN 'ImageNet-1K' ELSE pretrain_dataset END pretrain_dataset, pretrain_aug, CASE WHEN model_name NOT LIKE '%.ns_jft_in1k' THEN pretrain_ft END pretrain_ft FROM reg LEFT JOIN m USING (family)""")
 def registry_parse_expected(spark, sf_dir):
     """What the names say against the columns that were written down for them; of two data sets in a name the longer key counts."""
-    return registry.parse_names(registry_table(spark).select("model_name")).select("model_name", "family", "macro_family", "size", "pretrain_dataset", "pretrain_aug", "pretrain_ft")
+    return registry.parse_names(registry_table(spark, sf_dir).select("model_name")).select("model_name", "family", "macro_family", "size", "pretrain_dataset", "pretrain_aug", "pretrain_ft")
 
 
 @query()
 def registry_parse_all(spark, sf_dir):
     """Every parsed column; the rules that need scanning state are checked by unit tests."""
-    return registry.parse_names(registry_table(spark).select("model_name"))
+    return registry.parse_names(registry_table(spark, sf_dir).select("model_name"))
 
 
 # -- pairs ---------------------------------------------------------------------------------------
@@ -137,35 +147,35 @@ ALL_PAIRS = f"{BASE}, {SCALED}, pr AS ({CHANGE} UNION ALL {LARGE} UNION ALL {SMA
 
 @query(f"WITH {BASE} {CHANGE}")
 def pairs_dataset_change(spark, sf_dir):
-    return pairs.dataset_change(registry_table(spark))
+    return pairs.dataset_change(registry_table(spark, sf_dir))
 
 
 @query(f"WITH {BASE} {LARGE}")
 def pairs_large_vs_finetuned(spark, sf_dir):
-    return pairs.large_vs_finetuned(registry_table(spark))
+    return pairs.large_vs_finetuned(registry_table(spark, sf_dir))
 
 
 @query(f"WITH {BASE} {SMALL}")
 def pairs_small_vs_finetuned(spark, sf_dir):
-    return pairs.small_vs_finetuned(registry_table(spark))
+    return pairs.small_vs_finetuned(registry_table(spark, sf_dir))
 
 
 @query(f"WITH {BASE} {AUG}")
 def pairs_augmentation(spark, sf_dir):
-    return pairs.augmentation(registry_table(spark))
+    return pairs.augmentation(registry_table(spark, sf_dir))
 
 
 @query(f"WITH {BASE}, {SCALED} {SCALE}")
 def pairs_model_scale(spark, sf_dir):
-    return pairs.model_scale(registry_table(spark))
+    return pairs.model_scale(registry_table(spark, sf_dir))
 
 
-def _family_pairs(spark):
-    return pairs.attach_family(pairs.all_pairs(registry_table(spark)), registry_table(spark))
+def _family_pairs(spark, sf_dir):
+    return pairs.attach_family(pairs.all_pairs(registry_table(spark, sf_dir)), registry_table(spark, sf_dir))
 
 
-def _long(spark):
-    return pairs.pair_long(_family_pairs(spark), metrics_table(spark), "isotropy", "spread")
+def _long(spark, sf_dir):
+    return pairs.pair_long(_family_pairs(spark, sf_dir), metrics_table(spark, sf_dir), "isotropy", "spread")
 
 
 METRIC_ROWS = METRICS_SQL.removeprefix(REGISTRY_SQL + ", ")
@@ -176,27 +186,27 @@ UNION ALL SELECT pair_id, analysis_type, arch_key, arch_family, c.dataset, t.mod
 
 @query(f"WITH {PAIR_LONG} SELECT pair_id, analysis_type, arch_key, arch_family, dataset, model, is_treatment, round(isotropy, 6) isotropy, round(spread, 6) spread FROM l")
 def pair_long(spark, sf_dir):
-    return rounded(_long(spark))
+    return rounded(_long(spark, sf_dir))
 
 
 @query(f"WITH {PAIR_LONG} SELECT analysis_type, dataset, count(*) // 2 n_pairs FROM l GROUP BY ALL")
 def obs_counts(spark, sf_dir):
-    return pairs.observation_counts(_long(spark))
+    return pairs.observation_counts(_long(spark, sf_dir))
 
 
 @query(f"WITH {PAIR_LONG} SELECT analysis_type, (count(*) FILTER (dataset = 'cifar10') // 2)::BIGINT cifar10, (count(*) FILTER (dataset = 'mnist') // 2)::BIGINT mnist, (count(*) FILTER (dataset = 'cifar10') // 2 + count(*) FILTER (dataset = 'mnist') // 2)::BIGINT total FROM l GROUP BY ALL")
 def obs_counts_wide(spark, sf_dir):
-    return pairs.counts_table(_long(spark), ["cifar10", "mnist"])
+    return pairs.counts_table(_long(spark, sf_dir), ["cifar10", "mnist"])
 
 
 @query(f"WITH {ALL_PAIRS}, {METRIC_ROWS}, m AS (SELECT control_model model FROM pr UNION SELECT treatment_model FROM pr) SELECT model FROM m WHERE model NOT IN (SELECT model FROM met)")
 def missing_models(spark, sf_dir):
-    return pairs.missing_models(pairs.all_pairs(registry_table(spark)), metrics_table(spark))
+    return pairs.missing_models(pairs.all_pairs(registry_table(spark, sf_dir)), metrics_table(spark, sf_dir))
 
 
 @query(f"WITH {REGISTRY_SQL} SELECT a.model_name model_a, b.model_name model_b FROM reg a JOIN reg b ON a.model_name < b.model_name ORDER BY md5('42-' || a.model_name || '-' || b.model_name) LIMIT 50")
 def sampled_model_pairs(spark, sf_dir):
-    return pairs.unordered_pairs(registry_table(spark), "model_name", 50)
+    return pairs.unordered_pairs(registry_table(spark, sf_dir), "model_name", 50)
 
 
 # -- regression ----------------------------------------------------------------------------------
@@ -204,22 +214,22 @@ def sampled_model_pairs(spark, sf_dir):
 
 @query(f"WITH {PAIR_LONG} SELECT analysis_type, round(regr_slope(isotropy, is_treatment::DOUBLE), 6) beta, count(*) n_obs FROM l WHERE isotropy IS NOT NULL GROUP BY analysis_type")
 def simple_slopes(spark, sf_dir):
-    return rounded(regression.simple_slope(_long(spark), "isotropy"))
+    return rounded(regression.simple_slope(_long(spark, sf_dir), "isotropy"))
 
 
 @query(f"WITH {PAIR_LONG} SELECT analysis_type, round(stddev_samp(isotropy), 6) control_std FROM l WHERE is_treatment = 0 GROUP BY analysis_type")
 def control_std(spark, sf_dir):
-    return rounded(regression.control_std(_long(spark), "isotropy"))
+    return rounded(regression.control_std(_long(spark, sf_dir), "isotropy"))
 
 
 @query(f"WITH {PAIR_LONG}, m AS (SELECT dataset, avg(isotropy) my, avg(is_treatment) mt FROM l GROUP BY dataset) SELECT dataset, round(isotropy - my, 6) + 0.0 AS y_resid, round(is_treatment - mt, 6) + 0.0 AS t_resid FROM l JOIN m USING (dataset)")
 def partial_residuals(spark, sf_dir):
-    return rounded(regression.partial_residuals(_long(spark), "isotropy", "dataset"))
+    return rounded(regression.partial_residuals(_long(spark, sf_dir), "isotropy", "dataset"))
 
 
 @query(f"WITH {PAIR_LONG}, m AS (SELECT dataset, avg(isotropy) my FROM l GROUP BY dataset), sd AS (SELECT arch_key, stddev_samp(isotropy - my) spread FROM l JOIN m USING (dataset) GROUP BY arch_key), lt AS (SELECT median(spread) + 1.5 * stddev_samp(spread) lim FROM sd WHERE spread IS NOT NULL) SELECT arch_key, round(spread, 6) spread, spread > lim outlier FROM sd, lt WHERE spread IS NOT NULL ORDER BY sd.spread DESC, arch_key LIMIT 20")
 def residual_spread(spark, sf_dir):
-    long = _long(spark)
+    long = _long(spark, sf_dir)
     means = long.groupBy("dataset").agg(F.avg("isotropy").alias("my"))
     residuals = long.join(means, "dataset").select("arch_key", (F.col("isotropy") - F.col("my")).alias("y_resid"))
     return rounded(regression.residual_spread(residuals, "arch_key"))
@@ -227,22 +237,22 @@ def residual_spread(spark, sf_dir):
 
 @query(f"WITH {PAIR_LONG} SELECT arch_family, is_treatment, round(avg(isotropy), 6) mean, count(isotropy) n, round(1.96 * stddev_samp(isotropy) / sqrt(count(isotropy)), 6) half_width FROM l GROUP BY ALL")
 def group_means(spark, sf_dir):
-    return rounded(regression.group_means(_long(spark), "isotropy", "arch_family"))
+    return rounded(regression.group_means(_long(spark, sf_dir), "isotropy", "arch_family"))
 
 
 @query()
 def ols_hc3(spark, sf_dir):
-    return rounded(regression.regress(_long(spark), ["isotropy", "spread"]))
+    return rounded(regression.regress(_long(spark, sf_dir), ["isotropy", "spread"]))
 
 
 @query()
 def ols_hc3_within(spark, sf_dir):
-    return rounded(regression.regress(_long(spark), ["isotropy", "spread"], "within"))
+    return rounded(regression.regress(_long(spark, sf_dir), ["isotropy", "spread"], "within"))
 
 
 @query()
 def ols_hc3_interaction(spark, sf_dir):
-    return rounded(regression.regress(_long(spark), ["isotropy", "spread"], "interaction"))
+    return rounded(regression.regress(_long(spark, sf_dir), ["isotropy", "spread"], "interaction"))
 
 
 _RESULTS = [("a", "isotropy", "is_treatment", 1.5, 0.5, 3.0, 0.004, 0.5, 2.5, 0.2, 40, 30, 2.0), ("a", "spread", "is_treatment", -0.4, 0.2, -2.0, 0.045, -0.8, 0.0, 0.1, 40, 30, 0.0), ("b", "isotropy", "is_treatment", 0.1, 0.06, 1.7, 0.09, -0.1, 0.3, 0.05, 20, 15, 0.5), ("b", "isotropy", "joint:dataset", None, None, 2.2, 0.5, None, None, 0.05, 20, 15, 0.5)]
@@ -259,58 +269,58 @@ def forest_scaled(spark, sf_dir):
 _FLAGGED = f"{REGISTRY_SQL}, fl AS (SELECT *, pretrain_aug IS NOT NULL has_aug, pretrain_ft IS NOT NULL has_ft, contains(model_name, 'patch') has_patch FROM reg)"
 
 
-def _flagged(spark):
-    return registry_table(spark).withColumns({"has_aug": F.col("pretrain_aug").isNotNull(), "has_ft": F.col("pretrain_ft").isNotNull(), "has_patch": F.col("model_name").contains("patch")})
+def _flagged(spark, sf_dir):
+    return registry_table(spark, sf_dir).withColumns({"has_aug": F.col("pretrain_aug").isNotNull(), "has_ft": F.col("pretrain_ft").isNotNull(), "has_patch": F.col("model_name").contains("patch")})
 
 
 @query(f"WITH {REGISTRY_SQL}, w AS (SELECT family, round(100 * avg((size IS NOT NULL)::INT), 1) size, round(100 * avg((num_parameters IS NOT NULL)::INT), 1) num_parameters, round(100 * avg((pretrain_aug IS NOT NULL)::INT), 1) pretrain_aug FROM reg GROUP BY family) UNPIVOT w ON size, num_parameters, pretrain_aug INTO NAME \"column\" VALUE pct")
 def registry_completeness(spark, sf_dir):
-    return explore.completeness(registry_table(spark), "family", ["size", "num_parameters", "pretrain_aug"])
+    return explore.completeness(registry_table(spark, sf_dir), "family", ["size", "num_parameters", "pretrain_aug"])
 
 
 @query(f"WITH {REGISTRY_SQL} SELECT 'size' AS \"column\", count(*) - count(size) AS nulls FROM reg UNION ALL SELECT 'pretrain_ft', count(*) - count(pretrain_ft) FROM reg")
 def null_counts(spark, sf_dir):
-    return explore.null_counts(registry_table(spark), ["size", "pretrain_ft"])
+    return explore.null_counts(registry_table(spark, sf_dir), ["size", "pretrain_ft"])
 
 
 @query(f"WITH {_FLAGGED} SELECT 'has_aug' flag, round(100 * avg(has_aug::INT), 6) pct FROM fl UNION ALL SELECT 'has_ft', round(100 * avg(has_ft::INT), 6) FROM fl UNION ALL SELECT 'has_patch', round(100 * avg(has_patch::INT), 6) FROM fl")
 def flag_rates(spark, sf_dir):
-    return rounded(explore.flag_rates(_flagged(spark), ["has_aug", "has_ft", "has_patch"]))
+    return rounded(explore.flag_rates(_flagged(spark, sf_dir), ["has_aug", "has_ft", "has_patch"]))
 
 
 @query(f"WITH {_FLAGGED}, n AS (SELECT has_aug::INT has_aug, has_ft::INT has_ft, has_patch::INT has_patch, k: row_number() OVER () FROM fl), u AS (UNPIVOT n ON has_aug, has_ft, has_patch INTO NAME f VALUE x) SELECT p.f a, q.f b, round(corr(p.x, q.x), 6) r FROM u p JOIN u q USING (k) GROUP BY ALL")
 def flag_corr(spark, sf_dir):
-    return rounded(explore.correlations(_flagged(spark), ["has_aug", "has_ft", "has_patch"]))
+    return rounded(explore.correlations(_flagged(spark, sf_dir), ["has_aug", "has_ft", "has_patch"]))
 
 
 @query(f"WITH {REGISTRY_SQL} SELECT family, median(num_parameters)::DOUBLE median, count(*) n, count(DISTINCT pretrain_dataset) n_distinct FROM reg GROUP BY family")
 def method_scale(spark, sf_dir):
-    return explore.group_medians(registry_table(spark), "family", "num_parameters", "pretrain_dataset")
+    return explore.group_medians(registry_table(spark, sf_dir), "family", "num_parameters", "pretrain_dataset")
 
 
 @query(f"WITH {REGISTRY_SQL} SELECT family, count(*) n FROM reg GROUP BY family ORDER BY n DESC, family LIMIT 10")
 def top_families(spark, sf_dir):
-    return explore.top_values(registry_table(spark), "family")
+    return explore.top_values(registry_table(spark, sf_dir), "family")
 
 
 @query(f"WITH {REGISTRY_SQL} SELECT family, CASE WHEN count(*) FILTER (pretrain_dataset = 'ImageNet-1K') > 1 THEN count(*) FILTER (pretrain_dataset = 'ImageNet-1K') ELSE 0 END AS \"ImageNet-1K\", CASE WHEN count(*) FILTER (pretrain_dataset = 'ImageNet-22K') > 1 THEN count(*) FILTER (pretrain_dataset = 'ImageNet-22K') ELSE 0 END AS \"ImageNet-22K\" FROM reg GROUP BY family")
 def dataset_pivot(spark, sf_dir):
-    return explore.pivot_counts(registry_table(spark), "family", "pretrain_dataset", ["ImageNet-1K", "ImageNet-22K"])
+    return explore.pivot_counts(registry_table(spark, sf_dir), "family", "pretrain_dataset", ["ImageNet-1K", "ImageNet-22K"])
 
 
 @query(f"WITH {METRICS_SQL} SELECT dataset, round(avg(isotropy), 6) mean, round(stddev_samp(isotropy) / sqrt(count(isotropy)), 6) se, count(isotropy) n FROM met GROUP BY dataset")
 def metric_mean_se(spark, sf_dir):
-    return rounded(explore.mean_se(metrics_table(spark), ["dataset"], "isotropy"))
+    return rounded(explore.mean_se(metrics_table(spark, sf_dir), ["dataset"], "isotropy"))
 
 
 @query(f"WITH {METRICS_SQL} SELECT model, dataset, round((isotropy - (SELECT min(isotropy) FROM met)) / ((SELECT max(isotropy) - min(isotropy) FROM met) + 1e-8), 6) isotropy FROM met")
 def parallel_coordinates(spark, sf_dir):
-    return rounded(explore.minmax_scaled(metrics_table(spark).select("model", "dataset", "isotropy"), ["isotropy"]))
+    return rounded(explore.minmax_scaled(metrics_table(spark, sf_dir).select("model", "dataset", "isotropy"), ["isotropy"]))
 
 
 @query(f"WITH {METRICS_SQL} SELECT model FROM met GROUP BY model HAVING count(DISTINCT dataset) = (SELECT count(DISTINCT dataset) FROM met)")
 def models_in_all_datasets(spark, sf_dir):
-    return explore.in_all_groups(metrics_table(spark), "model", "dataset")
+    return explore.in_all_groups(metrics_table(spark, sf_dir), "model", "dataset")
 
 
 FEATURES = f"""{REGISTRY_SQL}, f AS (SELECT model_name, coalesce(num_parameters, 0)::DOUBLE f0, (pretrain_aug IS NOT NULL)::INT::DOUBLE f1, coalesce((family = 'ViT')::INT, 0)::DOUBLE f2, coalesce((family = 'ConvNeXt')::INT, 0)::DOUBLE f3 FROM reg),
@@ -319,18 +329,18 @@ z AS (SELECT model_name, [{', '.join(f'(f{i} - avg(f{i}) OVER ()) / CASE WHEN st
 
 @query(f"WITH {FEATURES} SELECT model_name, i::INT pos, round(v[i + 1], 6) + 0.0 AS x FROM z, (SELECT unnest(range(4)) i)")
 def feature_matrix(spark, sf_dir):
-    base = registry_table(spark).withColumn("has_aug", F.col("pretrain_aug").isNotNull())
+    base = registry_table(spark, sf_dir).withColumn("has_aug", F.col("pretrain_aug").isNotNull())
     out = explore.feature_matrix(base, "model_name", ["num_parameters"], ["has_aug"], {"family": ["ViT", "ConvNeXt"]})
     return rounded(out.select("model_name", F.posexplode("features").alias("pos", "x")))
 
 
-@query(f"""WITH {METRICS_SQL}, k AS (SELECT row_number() OVER (ORDER BY model, dataset) id, * FROM met), n AS (SELECT id, [isotropy - 5, coalesce(spread, 0) - 6, (id % 7)::DOUBLE - 3] v FROM k),
+@query(f"""WITH {METRICS_SQL}, k AS (SELECT row_number() OVER (ORDER BY model, dataset) id, * FROM met), n AS (SELECT id, [isotropy - 25.5, 7 * (coalesce(spread, 0) - 4), (id % 7)::DOUBLE - 3] v FROM k),
 s AS (SELECT a.id i, b.id j, list_cosine_similarity(a.v, b.v) c, list_distance([x / sqrt(list_dot_product(a.v, a.v)) for x in a.v], [x / sqrt(list_dot_product(b.v, b.v)) for x in b.v]) d FROM n a JOIN n b ON a.id <> b.id),
 r AS (SELECT i, j, c FROM s QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) <= 5), e AS (SELECT i, j, c FROM r WHERE c > 0.9 UNION ALL SELECT j, i, c FROM r WHERE c > 0.9)
 SELECT i src, j dst, CASE WHEN max(c) > 0.97 THEN 'high' WHEN max(c) > 0.93 THEN 'medium' ELSE 'low' END band FROM e GROUP BY ALL""")
 def similarity_graph(spark, sf_dir):
-    base = metrics_table(spark).withColumn("id", F.row_number().over(Window.orderBy("model", "dataset")).cast("long"))
-    vectors = base.select("id", F.array(F.col("isotropy") - 5, F.coalesce("spread", F.lit(0.0)) - 6, (F.col("id") % 7).cast("double") - 3).alias("features"))
+    base = metrics_table(spark, sf_dir).withColumn("id", F.row_number().over(Window.orderBy("model", "dataset")).cast("long"))
+    vectors = base.select("id", F.array(F.col("isotropy") - 25.5, 7 * (F.coalesce("spread", F.lit(0.0)) - 4), (F.col("id") % 7).cast("double") - 3).alias("features"))
     return explore.similarity_graph(vectors, "id").select("src", "dst", explore.similarity_band(F.col("sim")).alias("band"))
 
 
@@ -339,31 +349,31 @@ def similarity_graph(spark, sf_dir):
 
 @query(f"WITH {METRICS_SQL} SELECT model, dataset, round(isotropy, 6) isotropy FROM met WHERE model < 'm' UNION ALL SELECT model, dataset, round(isotropy + 100, 6) FROM met WHERE model >= 'm'")
 def upsert_keep_first(spark, sf_dir):
-    base = metrics_table(spark).select("model", "dataset", "isotropy")
+    base = metrics_table(spark, sf_dir).select("model", "dataset", "isotropy")
     fresh = base.withColumn("isotropy", F.col("isotropy") + 100)
     return rounded(tables.keep_first(base.where("model < 'm'"), fresh, ["model", "dataset"]))
 
 
 @query(f"WITH {METRICS_SQL} SELECT model, dataset FROM met WHERE NOT (dataset = 'mnist' AND model < 'm')")
 def todo_outputs(spark, sf_dir):
-    base = metrics_table(spark).select("model", "dataset")
+    base = metrics_table(spark, sf_dir).select("model", "dataset")
     return tables.todo(base, base.where("dataset = 'mnist' and model < 'm'"), ["model", "dataset"])
 
 
 @query(f"WITH {ALL_PAIRS} SELECT control_model AS name FROM pr UNION SELECT treatment_model FROM pr")
 def candidate_models(spark, sf_dir):
-    return tables.names_of(pairs.all_pairs(registry_table(spark)), "control_model", "treatment_model")
+    return tables.names_of(pairs.all_pairs(registry_table(spark, sf_dir)), "control_model", "treatment_model")
 
 
 @query(f"WITH {METRICS_SQL} SELECT model, dataset, round(isotropy, 6) isotropy, round(spread, 6) spread, NULL::DOUBLE baseline FROM met UNION ALL SELECT 'baseline', 'cifar10', NULL, NULL, 0.5")
 def diagonal_union(spark, sf_dir):
     extra = spark.createDataFrame([("baseline", "cifar10", 0.5)], "model string, dataset string, baseline double")
-    return rounded(tables.union_by_name(metrics_table(spark), extra))
+    return rounded(tables.union_by_name(metrics_table(spark, sf_dir), extra))
 
 
 @query(f"WITH {METRICS_SQL} SELECT model, count(*) n FROM met WHERE regexp_matches(model, 'vit|swin') AND dataset IN ('cifar10', 'mnist') AND spread IS NOT NULL GROUP BY model")
 def filtered_models(spark, sf_dir):
-    base = metrics_table(spark).where(F.col("model").rlike("vit|swin") & F.col("dataset").isin("cifar10", "mnist")).dropna(subset=["spread"])
+    base = metrics_table(spark, sf_dir).where(F.col("model").rlike("vit|swin") & F.col("dataset").isin("cifar10", "mnist")).dropna(subset=["spread"])
     return explore.group_counts(base, "model")
 
 
