@@ -189,6 +189,13 @@ def test_both_views_of_quality_hand_labels_on(spark):
     assert auc(*split("page_score")) > 0.7 and auc(*split("score")) > 0.98
 
 
+def test_features_are_packed_without_loss():
+    rng = np.random.default_rng(9)
+    for n in (0, 1, 5, 300):
+        rows = sorted({int(x) for x in rng.integers(0, cotraining.BUCKETS, n)} | ({0, 65534, 65535, 131070, cotraining.BUCKETS - 1} if n == 5 else set()))
+        assert cotraining.unpacked(cotraining.packed(rows)).tolist() == rows
+
+
 def test_ends_of_a_view_are_the_surest_shares(spark):
     rows = [(k, k / 100) for k in range(-1000, 1000)]
     scored = spark.createDataFrame(rows, "doc_id long, a double")

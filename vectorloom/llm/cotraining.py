@@ -10,9 +10,9 @@ log-odds are combined by a third regression on the fold.
 
 A document is good if its label says quality 1 and toxic 0. A fit reads a bounded sample of labelled rows: at most
 about ``labelled`` rows with labels and ``handed`` of either end that the other view labelled, chosen by a hash of the
-id among all that are sure enough. A pseudo-label is the giving view's probability and counts ``TRUST`` times the
-square of its distance from a guess. Everything else covers all documents; scoring reads every whole text, without a
-shuffle, once a round and once at the end.
+id among all that are sure enough. What both views see of the documents is made in one pass over the texts and kept as a
+table, some two bytes a feature, which every round and the last scoring read. A pseudo-label is the giving view's probability and counts ``TRUST`` times the
+square of its distance from a guess. Everything else covers all documents.
 
 Edge cases: null texts are empty; null metadata are a value of their own; labels of one document are
 merged (lowest quality, highest toxicity; null counts as quality 1 and toxic 0); without labelled rows of
@@ -218,32 +218,57 @@ def _columns(docs: DataFrame) -> DataFrame:
     return docs.select(*[F.col(c).cast(k).alias(c) for c, k in kinds.items()])
 
 
-def features(docs: DataFrame, *also: str) -> DataFrame:
-    """doc_id, further columns, and what both views see of documents."""
+def packed(features: list[int]) -> bytes:
+    """Rising features as gaps of 16 bits; 65535 stands for a gap that goes on in the next."""
+    gaps = np.diff(np.array(features, dtype=np.int64), prepend=0)
+    more = gaps // 65535
+    out = np.full(len(gaps) + int(more.sum()), 65535, dtype="<u2")
+    out[np.cumsum(more + 1) - 1] = gaps % 65535
+    return out.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    gaps = np.frombuffer(data, dtype="<u2").astype(np.int64)
+    return np.cumsum(gaps)[gaps != 65535]
+
+
+class _Features(dict):
+    """token -> its features, filled on demand up to a bounded size."""
+
+    def __missing__(self, token: str) -> list[int]:
+        found = token_features(token)
+        if len(self) < 1 << 18:
+            self[token] = found
+        return found
+
+
+def features(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, shape, page) of documents as both views see them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Features()
         for batch in batches:
             text, shape, page = [], [], []
             sources, langs, sizes = (batch.column(k).to_pylist() for k in (2, 3, 4))
             for value, source, lang, size in zip(batch.column(1), sources, langs, sizes):
                 t = value.as_py() or ""
-                text.append(sorted({b for x in text_tokens(t) for b in token_features(x)}))
+                text.append(packed(sorted({b for found in map(known.__getitem__, text_tokens(t)) for b in found})))
                 shape.append(text_shape(t))
                 page.append(view_tokens(t, source, lang, size))
-            made = [pa.array(text, pa.list_(pa.int32())), pa.array(shape, pa.list_(pa.float64())), pa.array(page, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[5:], *made], names=["doc_id", *also, "text", "shape", "page"])
+            made = [pa.array(text, pa.binary()), pa.array(shape, pa.list_(pa.float64())), pa.array(page, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["doc_id", "text", "shape", "page"])
 
-    kinds = "".join(f", {c} double" for c in also)
-    return docs.select("doc_id", "text", "source", "lang", "n_chars", *also).mapInArrow(run, f"doc_id long{kinds}, text array<int>, shape array<double>, page array<int>")
+    return _columns(docs).mapInArrow(run, "doc_id long, text binary, shape array<double>, page array<int>")
 
 
-def _local(made: DataFrame, most: int, seed: int, *also: str) -> tuple[Rows, dict[str, np.ndarray], list[int]]:
+def _local(made: DataFrame, most: int, seed: int, *labels: str) -> tuple[Rows, dict[str, np.ndarray], list[int]]:
     """At most so many rows of features on the driver, in an order that does not depend on partitions."""
     rows = made.orderBy(_draw(seed), "doc_id", "page", "shape").limit(most).toArrow().sort_by("doc_id")
-    text, page = (_sets_of(rows.column(c).combine_chunks()) for c in ("text", "page"))
+    text = [unpacked(x) for x in rows.column("text").to_pylist()]
+    page = _sets_of(rows.column("page").combine_chunks())
     shapes = np.array(rows.column("shape").to_pylist(), dtype=float).reshape(-1, SHAPES)
-    labels = {c: np.array(rows.column(c).to_pylist(), dtype=float) for c in also}
-    return Rows(text, shapes, page, labels[also[0]]), labels, rows.column("doc_id").to_pylist()
+    found = {c: np.array(rows.column(c).to_pylist(), dtype=float) for c in labels}
+    return Rows(text, shapes, page, found[labels[0]]), found, rows.column("doc_id").to_pylist()
 
 
 def _draw(seed: int) -> Column:
@@ -271,14 +296,14 @@ def ends(scored: DataFrame, column: str, share: float) -> tuple[int, int] | None
     return (low, high) if low < high else None
 
 
-def surest(docs: DataFrame, named: DataFrame, model: QualityModel, share: float = SHARE, handed: int = HANDED, seed: int = 6) -> tuple[Rows, Rows]:
+def surest(made: DataFrame, named: DataFrame, model: QualityModel, share: float = SHARE, handed: int = HANDED, seed: int = 6) -> tuple[Rows, Rows]:
     """Rows for the text view, labelled by the page view, and rows for the page view, labelled by the text view.
 
     All documents without a label are scored; those of either end are handed on, at most ``handed`` of each.
     """
     log_odds = lambda c: F.log(F.col(c) / (1 - F.col(c)))
     clipped = lambda c: F.least(F.greatest(c, F.lit(1e-15)), F.lit(1 - 1e-15)).alias(c)
-    scored = score(docs.where("doc_id is not null"), model).select("doc_id", clipped("text_score"), clipped("page_score"))
+    scored = score_features(made.where("doc_id is not null"), model).select("doc_id", clipped("text_score"), clipped("page_score"))
     scored = checkpoint(scored.join(named.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", log_odds("text_score").alias("a"), log_odds("page_score").alias("b")))
     chosen = None
     for column, view in (("b", "for_text"), ("a", "for_page")):
@@ -291,7 +316,7 @@ def surest(docs: DataFrame, named: DataFrame, model: QualityModel, share: float
         discard(scored)
         return Rows(), Rows()
     picked = checkpoint(chosen.groupBy("doc_id").agg(F.max("for_text").alias("for_text"), F.max("for_page").alias("for_page")))
-    rows, labels, _ = _local(features(docs.join(F.broadcast(picked), "doc_id"), "for_text", "for_page"), 4 * handed, seed, "for_text", "for_page")  # picked is bounded
+    rows, labels, _ = _local(made.join(F.broadcast(picked), "doc_id"), 4 * handed, seed, "for_text", "for_page")  # picked is bounded
     for left in (scored, picked):
         discard(left)
     found = []
@@ -303,7 +328,14 @@ def surest(docs: DataFrame, named: DataFrame, model: QualityModel, share: float
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = 8000, seed: int = 5, rounds: int = ROUNDS, handed: int = HANDED) -> QualityModel:
     """Train on a bounded sample of labelled rows, chosen by a hash of the id, and on the views' pseudo-labels."""
-    own = _columns(docs)
+    made = checkpoint(features(docs))
+    model = fit_features(made, labels, labelled, seed, rounds, handed)
+    discard(made)
+    return model
+
+
+def fit_features(made: DataFrame, labels: DataFrame, labelled: int = 8000, seed: int = 5, rounds: int = ROUNDS, handed: int = HANDED) -> QualityModel:
+    """As ``fit``, from the features of all documents."""
     named = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic")
     n_labels = named.count()
     if not n_labels:
@@ -311,9 +343,9 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 8000, seed: int = 5,
     picked = named.where(_draw(seed) < int((1 << 30) * min(1.0, labelled / n_labels))).groupBy("doc_id")
     picked = picked.agg(F.min(F.coalesce("quality", F.lit(1))).alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     picked = picked.select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("double").alias("y")).orderBy(_draw(seed), "doc_id").limit(2 * labelled)
-    known, _, ids = _local(features(own.join(F.broadcast(picked), "doc_id"), "y"), 2 * labelled, seed, "y")  # picked is bounded
+    known, _, ids = _local(made.join(F.broadcast(picked), "doc_id"), 2 * labelled, seed, "y")  # picked is bounded
     fold = np.array([zlib.crc32(f"fold-{k}".encode()) % 4 == 0 for k in ids], dtype=bool)
-    return co_train(known, fold, lambda model: surest(own, named, model, handed=handed), rounds)
+    return co_train(known, fold, lambda model: surest(made, named, model, handed=handed), rounds)
 
 
 def _sets_of(column: pa.ListArray) -> list[np.ndarray]:
@@ -323,49 +355,31 @@ def _sets_of(column: pa.ListArray) -> list[np.ndarray]:
     return np.split(column.flatten().to_numpy(), column.offsets.to_numpy()[1:-1] - column.offsets[0].as_py())
 
 
-class _Weights(dict):
-    """token -> its features that have a weight, filled on demand up to a bounded size."""
-
-    def __init__(self, weights: np.ndarray, limit: int = 1 << 19):
-        super().__init__()
-        self.table, self.limit = weights, limit
-
-    def __missing__(self, token: str) -> list[tuple[int, float]]:
-        found = [(b, float(self.table[b])) for b in token_features(token) if self.table[b]]
-        if len(self) < self.limit:
-            self[token] = found
-        return found
-
-
-def score(docs: DataFrame, model: QualityModel, least: float = 0.5) -> DataFrame:
+def score_features(made: DataFrame, model: QualityModel, least: float = 0.5) -> DataFrame:
     """doc_id, both views' calibrated scores, their combination and whether the document stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = model.text is not None
-        weights = _Weights(model.text.weights) if known else {}
-        squash = lambda z: float(1 / (1 + np.exp(-np.clip(z, -35, 35))))
+        squash = lambda z: 1 / (1 + np.exp(-np.clip(z, -35, 35)))
         for batch in batches:
-            out = []
-            sources, langs, sizes = (batch.column(k).to_pylist() for k in (2, 3, 4))
-            for value, source, lang, size in zip(batch.column(1), sources, langs, sizes):
-                if not known:
-                    out.append((0.5, 0.5, 0.5, True))
-                    continue
-                text = value.as_py() or ""
-                # features that share a bucket count once, as in training
-                hit = {b: w for found in map(weights.__getitem__, text_tokens(text)) for b, w in found}
-                a = model.text.bias + sum(sorted(hit.values())) + float(np.dot(text_shape(text), model.text.shape))
-                b = model.page.bias + float(model.page.weights[view_tokens(text, source, lang, size)].sum())
+            n = batch.num_rows
+            text = page = both = np.full(n, 0.5)
+            if model.text is not None and n:
+                shapes = np.array(batch.column(2).to_pylist(), dtype=float).reshape(-1, SHAPES)
+                a = np.array([model.text.weights[unpacked(x)].sum() for x in batch.column(1).to_pylist()]) + model.text.bias + shapes @ model.text.shape
+                b = np.array([model.page.weights[x].sum() for x in batch.column(3).to_pylist()]) + model.page.bias
                 a, b = model.text_scale[0] + model.text_scale[1] * a, model.page_scale[0] + model.page_scale[1] * b
-                both = squash(model.joint[0] + model.joint[1] * a + model.joint[2] * b)
-                out.append((squash(a), squash(b), both, both >= least))
-            parts = list(zip(*out)) or [[]] * 4
-            kinds = [pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(parts, kinds))], names=["doc_id", "text_score", "page_score", "score", "kept"])
+                text, page, both = squash(a), squash(b), squash(model.joint[0] + model.joint[1] * a + model.joint[2] * b)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text), pa.array(page), pa.array(both), pa.array(both >= least)], names=["doc_id", "text_score", "page_score", "score", "kept"])
 
-    return _columns(docs).mapInArrow(run, SCORED)
+    return made.select("doc_id", "text", "shape", "page").mapInArrow(run, SCORED)
+
+
+def score(docs: DataFrame, model: QualityModel, least: float = 0.5) -> DataFrame:
+    """Scores of documents in one pass over their texts."""
+    return score_features(features(docs), model, least)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Fit on the labels and score all documents."""
-    return score(docs, fit(docs, labels))
+    """Fit on the labels and score all documents; their features are made once."""
+    made = checkpoint(features(docs))
+    return score_features(made, fit_features(made, labels))
