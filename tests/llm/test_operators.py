@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -618,6 +619,37 @@ def test_media_feature_names_items_in_the_text(spark):
     assert f"carved=1[3+{len(PDF)}:application/pdf]" in rows[1] and "carved=0[]" in rows[2] and rows[3] == rows[1]
 
 
+def plain_pdf(data):
+    """Length of the document at the start of the data, by searching all of it."""
+    if not data[5:8].replace(b".", b"").isdigit():
+        return 0
+    mark = data.find(b"startxref")
+    end = data.find(b"%%EOF", mark)
+    if mark < 0 or end < 0 or not data[mark + 9 : end].strip().isdigit():
+        return 0
+    while (later := data.find(b"%%EOF", end + 5)) >= 0 and b"startxref" in data[end:later]:
+        end = later
+    return end + 5
+
+
+def test_documents_are_found_from_one_index():
+    rng = np.random.default_rng(12)
+    pieces = [b"%PDF-1.4", b"%PDF-x", b"startxref", b"\n9\n", b"%%EOF", b" ", b"12", b"%%E", b"startx"]
+    for _ in range(400):
+        data = b"".join(pieces[k] for k in rng.integers(0, len(pieces), rng.integers(0, 25)))
+        found = media._Pdfs(data)
+        for stop in {len(data), max(0, len(data) - 7), len(data) // 2}:
+            for start in range(stop):
+                if data[start : start + 5] == b"%PDF-":
+                    assert found.length(start, stop) == plain_pdf(data[start:stop])
+
+
+def test_many_document_marks_take_linear_time():
+    began = time.process_time()
+    assert media.carve(b"%PDF-1.4 " * 100_000) == [] and media.carve((b"%PDF-1.4 " * 20_000 + b"startxref x ") * 3 + b"%%EOF") == []
+    assert time.process_time() - began < 20
+
+
 # -- 10 quality ----------------------------------------------------------------------------------
 
 

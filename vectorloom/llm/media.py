@@ -20,8 +20,10 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -163,17 +165,30 @@ def _zips(data: bytes) -> dict[int, int]:
     return found
 
 
-def _pdf(b: memoryview) -> int:
-    data = bytes(b)
-    if not data[5:8].replace(b".", b"").isdigit():
-        return 0
-    mark = data.find(b"startxref")
-    end = data.find(b"%%EOF", mark)
-    if mark < 0 or end < 0 or not data[mark + 9 : end].strip().isdigit():
-        return 0
-    while (later := data.find(b"%%EOF", end + 5)) >= 0 and b"startxref" in data[end:later]:
-        end = later
-    return end + 5
+class _Pdfs:
+    """Where documents of a value end, from one search for cross-reference marks and one for ends of file."""
+
+    _offset = re.compile(rb"\s*\d+\s*%%EOF")
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self.marks, self.ends = ([m.start() for m in re.finditer(mark, data)] for mark in (b"startxref", b"%%EOF"))
+        #: by end: the last one of its chain of updates, each of which has a mark of its own
+        self.last = list(range(len(self.ends)))
+        for k in range(len(self.ends) - 2, -1, -1):
+            mark = bisect_left(self.marks, self.ends[k])
+            if mark < len(self.marks) and self.marks[mark] + 9 <= self.ends[k + 1]:
+                self.last[k] = self.last[k + 1]
+
+    def length(self, start: int, stop: int) -> int:
+        """Length of the document that starts there and lies before ``stop``; 0 if there is none."""
+        if not self.data[start + 5 : min(start + 8, stop)].replace(b".", b"").isdigit():
+            return 0
+        mark = bisect_left(self.marks, start)
+        if mark == len(self.marks) or not self._offset.match(self.data, self.marks[mark] + 9, stop):
+            return 0
+        end = bisect_left(self.ends, self.marks[mark])
+        return self.ends[min(self.last[end], bisect_right(self.ends, stop - 5) - 1)] + 5 - start
 
 
 def _ogg(b: memoryview) -> int:
@@ -203,7 +218,7 @@ def _mp4(b: memoryview) -> int:
 
 
 #: Magic bytes, their place in the item, media type (by RIFF form where that decides), validator
-#: (none for archives, which are found from their ends).
+#: (none for archives and PDF documents, which are found from their ends).
 MAGIC: list[tuple[bytes, int, str, Callable[[memoryview], int] | None]] = [
     (b"\x89PNG\r\n\x1a\n", 0, "image/png", _png),
     (b"\xff\xd8\xff", 0, "image/jpeg", _jpeg),
@@ -213,7 +228,7 @@ MAGIC: list[tuple[bytes, int, str, Callable[[memoryview], int] | None]] = [
     (b"RIFF", 0, "riff", _riff),
     (b"\x1f\x8b\x08", 0, "application/gzip", _gzip),
     (b"PK\x03\x04", 0, "application/zip", None),
-    (b"%PDF-", 0, "application/pdf", _pdf),
+    (b"%PDF-", 0, "application/pdf", None),
     (b"OggS\x00\x02", 0, "audio/ogg", _ogg),
     (b"ftyp", 4, "video/mp4", _mp4),
 ]
@@ -238,7 +253,7 @@ def carve(data: bytes) -> list[tuple[int, int, str, int]]:
         start = end + 1 - len(magic) - place
         if start >= 0:
             hits.append((start, k))
-    archives = None
+    archives = documents = None
     taken = -1
     for start, k in sorted(hits):
         while around and around[-1][0] <= start:
@@ -249,6 +264,9 @@ def carve(data: bytes) -> list[tuple[int, int, str, int]]:
         stop = around[-1][0] if around else len(data)
         if validate:
             length = validate(view[start:stop])
+        elif kind == "application/pdf":
+            documents = documents or _Pdfs(data)
+            length = documents.length(start, stop)
         else:
             archives = _zips(data) if archives is None else archives
             length = archives.get(start, 0)
