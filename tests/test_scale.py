@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
-from vectorloom.operators import blocks, graph, hops, ivf, spectral
+from vectorloom.functions.numerics import sinkhorn_plan
+from vectorloom.operators import blocks, graph, hops, ivf, spectral, transport
 from vectorloom.plans import graph_queries, scale_queries
 from vectorloom.plans.vector_queries import embeddings
 from vectorloom.session import checkpoint
@@ -107,3 +108,19 @@ def test_index_edges(spark, tmp_path):
 def test_supply_graph_has_both_directions(spark):
     edges, nodes = scale_queries.supply_graph(spark, SF_SMALL)
     assert edges.join(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"]).count() == edges.count() and nodes.count() > 50
+
+
+def test_block_transport_matches_the_dense_plan(spark):
+    rng = np.random.default_rng(11)
+    x, y = rng.normal(size=(60, 3)), rng.normal(size=(45, 3)) + 0.5
+    a, b = (spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(side)] + [(None, [0.0, 0.0, 0.0])], "id long, v array<double>") for side in (x, y))
+    cost = np.sqrt(blocks.squared(x, y))
+    plan = sinkhorn_plan(cost, 0.5, 2000, 1e-13)
+    found = transport.sinkhorn(a, b, "id", "v", epsilon=0.5)
+    assert found.cost == pytest.approx(float((plan * cost).sum()), rel=1e-5) and found.error < 1e-6
+    f, g = ({r.id: r.value for r in side.collect()} for side in (found.left, found.right))
+    made = np.exp((np.array([f[k] for k in range(60)])[:, None] + np.array([g[k] for k in range(45)])[None] - cost) / 0.5) / (60 * 45)
+    assert np.allclose(made.sum(0), 1 / 45, rtol=1e-9) and np.allclose(made.sum(1), 1 / 60, rtol=1e-5)
+    once = transport.sinkhorn(a, b, "id", "v", epsilon=0.5, iterations=1)
+    assert once.cost == pytest.approx(float((sinkhorn_plan(cost, 0.5, 1) * cost).sum()), rel=1e-9)
+    assert transport.sinkhorn(a.limit(0), b, "id", "v").cost == 0.0

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectorloom.operators import blocks
-from vectorloom.session import checkpoint
+from vectorloom.session import checkpoint, discard
 
 MAX_DENSE = 10_000
 KINDS = ("unnormalized", "symmetric", "random_walk")
@@ -113,14 +113,16 @@ def eigengap(values: np.ndarray, k: int) -> float:
 def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, component): smallest node id reachable. Min-label propagation with pointer jumps, checkpointed."""
     both = checkpoint(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
-    labels = checkpoint(nodes.select("id", F.col("id").alias("component")))
+    held = labels = checkpoint(nodes.select("id", F.col("id").alias("component")))
     while True:
         seen = both.join(labels, both.dst == labels.id).groupBy("src").agg(F.min("component").alias("least"))
         lower = labels.join(seen, labels.id == seen.src, "left").select("id", F.col("component").alias("was"), F.least("component", F.coalesce("least", "component")).alias("component"))
         jump = lower.select(F.col("id").alias("component"), F.col("component").alias("further"))
         fresh = checkpoint(lower.join(jump, "component", "left").select("id", "was", F.least("component", F.coalesce("further", "component")).alias("component")))
-        labels = fresh.select("id", "component")
+        discard(held)
+        held, labels = fresh, fresh.select("id", "component")
         if fresh.where("was <> component").isEmpty():
+            discard(both)
             return labels
 
 
@@ -247,6 +249,7 @@ def square_clustering(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     down = placed.where("r_b < r_a")
     first = down.select(F.col("a").alias("v"), F.col("r_a").alias("r_v"), F.col("b").alias("u"))
     paths = first.join(placed.select(F.col("a").alias("u"), F.col("b").alias("x"), "r_b"), "u").where("r_b < r_v").select("v", "u", "x")
+    paths = checkpoint(paths)  # read by three of the sums below
     common = paths.groupBy("v", "x").agg(F.count("*").alias("c")).where("c > 1")
     square = (F.col("c") * (F.col("c") - 1) / 2).alias("n")
     squares = common.select(F.col("v").alias("id"), square).union(common.select("x", square))
