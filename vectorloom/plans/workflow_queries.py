@@ -177,7 +177,8 @@ def hungarian_score(spark, sf_dir):
 
 
 _ARMS = f"""{PAIR_LONG}, o AS (SELECT analysis_type, dataset, is_treatment t, unnest(['isotropy', 'spread']) outcome, unnest([isotropy, spread]) y FROM l), y AS (SELECT * FROM o WHERE y IS NOT NULL)"""
-_PLAIN = "(SELECT {k}, outcome, avg(y) FILTER (t = 1) - avg(y) FILTER (t = 0) beta, var_pop(y) FILTER (t = 1) * count(*) FILTER (t = 1) / (count(*) FILTER (t = 1) - 1) ** 2 + var_pop(y) FILTER (t = 0) * count(*) FILTER (t = 0) / (count(*) FILTER (t = 0) - 1) ** 2 var, corr(y, t) ** 2 r2, count(*) n_obs, count(*) - 2 df_resid, stddev_samp(y) FILTER (t = 0) control_std FROM y GROUP BY {k}, outcome)"
+#: An arm of one row is fitted as a whole and adds nothing to the robust variance.
+_PLAIN = "(SELECT {k}, outcome, avg(y) FILTER (t = 1) - avg(y) FILTER (t = 0) beta, CASE WHEN count(*) FILTER (t = 1) > 1 THEN var_pop(y) FILTER (t = 1) * count(*) FILTER (t = 1) / (count(*) FILTER (t = 1) - 1) ** 2 ELSE 0 END + CASE WHEN count(*) FILTER (t = 0) > 1 THEN var_pop(y) FILTER (t = 0) * count(*) FILTER (t = 0) / (count(*) FILTER (t = 0) - 1) ** 2 ELSE 0 END var, corr(y, t) ** 2 r2, count(*) n_obs, count(*) - 2 df_resid, stddev_samp(y) FILTER (t = 0) control_std FROM y GROUP BY {k}, outcome)"
 
 
 @query(f"WITH {_ARMS} SELECT analysis_type, outcome, round(beta, 6) + 0.0 AS beta, round(sqrt(var), 6) se, round(beta / sqrt(var), 5) + 0.0 AS stat, round(beta - 1.959963984540054 * sqrt(var), 5) + 0.0 AS ci_low, round(beta + 1.959963984540054 * sqrt(var), 5) + 0.0 AS ci_high, round(r2, 6) r2, n_obs, df_resid, round(control_std, 6) control_std FROM {_PLAIN.format(k='analysis_type')} WHERE var > 1e-12")
