@@ -9,6 +9,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -164,6 +165,15 @@ def test_spelling_of_the_tables(spark):
     assert variants(df) == plain_variants([(r.doc_id, r.text) for r in df.collect()])
 
 
+def test_spelling_matches_its_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF_MEDIUM}/documents.parquet'")
+    found = con.execute(queries.oracle_sql()["op12_spelling"])
+    names = [d[0] for d in found.description]
+    got = {tuple(r) for r in queries.op12_spelling(spark, SF_MEDIUM).select(*names).collect()}
+    assert got == set(found.fetchall()) and len(got) > 1000
+
+
 def test_near_words_of_anagrams_and_random_words(spark):
     rng = random.Random(4)
     words = {"".join(rng.choice("abÀ×ÿ") for _ in range(rng.randrange(6, 9))) for _ in range(400)}

@@ -82,4 +82,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": mixing.oracle_sql(WEIGHTS, OTHER_WEIGHT)}
+    return {"op8_mixing": mixing.oracle_sql(WEIGHTS, OTHER_WEIGHT), "op12_spelling": spelling.oracle_sql()}

@@ -96,3 +96,21 @@ def spelling_variants(docs: DataFrame, shortest: int = SHORTEST, seldom: int = S
     formed = checkpoint(formed.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(F.col("able"), F.col("best.other")).alias("form"), F.when(F.col("able"), -F.col("best.minus")).alias("form_n")))
     roots = forest_roots(formed.where("form is not null").select(F.col("word").alias("node"), F.col("form").alias("root")))
     return formed.join(roots.withColumnRenamed("node", "word"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+
+
+def oracle_sql() -> str:
+    """The same rows in DuckDB's SQL: a table of remainders for the checksum, and words joined on what is left without a letter."""
+    upper, lower = string.ascii_uppercase, string.ascii_lowercase
+    return f"""WITH RECURSIVE tab AS (SELECT list(list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) t FROM range(256) r(i)),
+runs AS (SELECT coalesce(doc_id::VARCHAR, '') id, unnest(regexp_extract_all(text, '[{LETTERS}]{{{SHORTEST},}}')) run FROM documents),
+low AS (SELECT translate(run, '{upper}', '{lower}') run, id || ':' || translate(run, '{upper}', '{lower}') named, count(*) k FROM runs GROUP BY ALL),
+hashed AS (SELECT run, k, xor(list_reduce([4294967295::BIGINT] || list_transform(range(strlen(named)), lambda p: (instr('0123456789ABCDEF', hex(named)[2 * p + 1]) - 1) * 16 + instr('0123456789ABCDEF', hex(named)[2 * p + 2]) - 1), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) h FROM low, tab),
+cut AS (SELECT CASE WHEN h % {DAMAGE} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END word, k FROM hashed),
+words AS (SELECT word, sum(k)::BIGINT n FROM cut WHERE length(word) >= {SHORTEST} GROUP BY word HAVING sum(k) >= {SELDOM}),
+gone AS (SELECT word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) p FROM words)),
+near AS (SELECT a.word, b.word other, b.n FROM gone a JOIN gone b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+  UNION SELECT g.word, w.word, w.n FROM gone g JOIN words w ON w.word = g.rest UNION SELECT w.word, g.word, g.n FROM gone g JOIN words w ON w.word = g.rest),
+best AS (SELECT word, count(*) n_near, min_by(other, (-n, other)) other, max(n) top FROM near GROUP BY word),
+formed AS (SELECT word, n, coalesce(n_near, 0) n_near, CASE WHEN top >= {RATIO} * n THEN other END form, CASE WHEN top >= {RATIO} * n THEN top END form_n FROM words LEFT JOIN best USING (word)),
+walk(word, here) AS (SELECT word, word FROM formed UNION ALL SELECT w.word, f.form FROM walk w JOIN formed f ON f.word = w.here WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, w.here AS root, f.n, f.n_near, f.form_n FROM formed f JOIN walk w ON w.word = f.word JOIN formed e ON e.word = w.here AND e.form IS NULL"""
