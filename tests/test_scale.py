@@ -25,7 +25,7 @@ def near(spark):
     return checkpoint(edges), checkpoint(nodes)
 
 
-@pytest.mark.parametrize("kind", ["symmetric", "unnormalized", "random_walk"])
+@pytest.mark.parametrize("kind", ["unnormalized", "random_walk"])  # the latter comes from the symmetric one
 def test_eigenpairs_match_the_dense_ones(near, kind):
     found = spectral.laplacian_pairs(*near, 4, kind)
     ids, matrix = graph.laplacian_matrix(*near, kind)
