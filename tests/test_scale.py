@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
 from vectorloom.functions.numerics import sinkhorn_plan
-from vectorloom.operators import blocks, graph, hops, ivf, spectral, transport
+from vectorloom.operators import blocks, graph, hops, ivf, prototypes, spectral, transport
 from vectorloom.plans import graph_queries, scale_queries
 from vectorloom.plans.vector_queries import embeddings
 from vectorloom.session import checkpoint
@@ -124,3 +124,27 @@ def test_block_transport_matches_the_dense_plan(spark):
     once = transport.sinkhorn(a, b, "id", "v", epsilon=0.5, iterations=1)
     assert once.cost == pytest.approx(float((sinkhorn_plan(cost, 0.5, 1) * cost).sum()), rel=1e-9)
     assert transport.sinkhorn(a.limit(0), b, "id", "v").cost == 0.0
+
+
+def test_blocks_are_bounded_and_floats_stay_floats(spark, monkeypatch):
+    base = embeddings(spark, SF_SMALL)
+    assert dict(base.select(blocks.packed(base, "embedding").alias("v")).dtypes)["v"] == "array<float>"
+    monkeypatch.setattr(blocks, "MOST_ROWS", 40)
+    n = base.count()
+    assert blocks.block_counts(base, base, "embedding") == (-(-n // 40), -(-n // 40))
+
+
+def test_dbscan_lists_no_pairs(spark, monkeypatch):
+    """500 rows within eps of each other are 250,000 pairs; the kernels put out a few rows a point and block."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(500, 2)) * 0.01, rng.normal(size=(40, 2)) * 0.01 + 9, [[5.0, 5.0], [0.0, 0.1], [9.0, 9.15]]])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>")
+    monkeypatch.setattr(blocks, "MOST_ROWS", 128)
+    made, pairwise = [], blocks.pairwise
+    monkeypatch.setattr(blocks, "pairwise", lambda *a, **b: made.append(pairwise(*a, **b)) or made[-1])
+    found = {r.id: r.cluster for r in prototypes.dbscan(df, "id", "v", 0.12, 4).collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) <= 0.12 + 1e-12
+    core = d.sum(1) >= 4
+    assert [found[k] >= 0 for k in range(len(x))] == list((d & core[None]).any(1)) and set(found.values()) == {-1, 0, 1}
+    assert all(found[i] == found[j] for i, j in zip(*np.nonzero(d & core[:, None] & core[None])))
+    assert max(t.count() for t in made) <= len(x) * 2 * 5
