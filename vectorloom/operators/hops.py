@@ -118,9 +118,38 @@ def path_sums(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.sparkSession.createDataFrame([found], "wiener double, schultz double, gutman double, diameter double")
 
 
+def _short_cycle(simple: DataFrame) -> int | None:
+    """3 or 4 if there is a cycle of that length, else None.
+
+    Each such cycle shows at its node of highest (degree, id) as paths over a neighbour to lower nodes: one that is
+    closed by an edge, or two with the same end. A hub is the middle of paths from still larger hubs only, so there are
+    at most edges ** 1.5 of them. A few of the nodes go first, so a graph with many such cycles counts few paths for them.
+    """
+    own = simple.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("deg"))
+    rank = lambda c: own.select(F.col("id").alias(c), F.struct("deg", "id").alias(f"r_{c}"))
+    placed = checkpoint(simple.join(rank("src"), "src").join(rank("dst"), "dst"))
+    down = placed.where("r_dst < r_src")
+    first = down.select(F.col("src").alias("v"), F.col("r_src").alias("r_v"), F.col("dst").alias("u"))
+    paths = first.join(placed.select(F.col("src").alias("u"), F.col("dst").alias("x"), "r_dst"), "u").where("r_dst < r_v").select("v", "u", "x")
+    closed = paths.join(down.select(F.col("src").alias("v"), F.col("dst").alias("x")), ["v", "x"], "left_semi")
+    few = F.pmod(F.xxhash64("v"), F.lit(64)) == 0
+    twice = lambda rows: not rows.groupBy("v", "x").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    if not closed.isEmpty():
+        found = 3
+    else:
+        found = 4 if twice(paths.where(few)) or twice(paths) else None
+    discard(placed)
+    return found
+
+
 def girth(edges: DataFrame, nodes: DataFrame) -> int | None:
     """Length of the shortest cycle, None for a forest."""
-    simple, sources = _simple(edges), _numbered(nodes)
+    simple = _simple(edges)
+    short = _short_cycle(simple)
+    if short:
+        discard(simple)
+        return short
+    sources = _numbered(nodes)
     best = None
     for a, b in _passes(sources):
         levels = _levels(simple, sources.where((F.col("grp") >= a) & (F.col("grp") < b)))
