@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
 from vectorloom.functions.numerics import sinkhorn_plan
-from vectorloom.operators import blocks, graph, hops, ivf, prototypes, spectral, transport
+from vectorloom.operators import blocks, distances, graph, hops, ivf, prototypes, spectral, transport
 from vectorloom.plans import graph_queries, scale_queries
 from vectorloom.plans.vector_queries import embeddings
 from vectorloom.session import checkpoint
@@ -148,3 +148,34 @@ def test_dbscan_lists_no_pairs(spark, monkeypatch):
     assert [found[k] >= 0 for k in range(len(x))] == list((d & core[None]).any(1)) and set(found.values()) == {-1, 0, 1}
     assert all(found[i] == found[j] for i, j in zip(*np.nonzero(d & core[:, None] & core[None])))
     assert max(t.count() for t in made) <= len(x) * 2 * 5
+
+
+def test_large_graphs_leave_the_driver(spark, monkeypatch):
+    """Eigenpairs above DENSE nodes come from the iteration and equal the dense ones."""
+    path = graph_of(spark, [(k, k + 1) for k in range(11)] + [(0, 4)])
+    dense = spectral.eigenpairs(*path, 4)
+    monkeypatch.setattr(spectral, "DENSE", 10)
+    monkeypatch.setattr(graph, "MAX_DENSE", 10)
+    found = spectral.eigenpairs(*path, 4)
+    assert np.allclose(found.values, dense.values, atol=1e-6)
+    a, b = ({r.id: r.v for r in side.vectors.collect()} for side in (dense, found))
+    assert all(np.allclose(a[k], b[k], atol=1e-4) for k in a)
+
+
+def test_spectral_clusters_without_a_matrix(spark):
+    rng = np.random.default_rng(1)
+    vectors = [(k, [float(v) for v in np.eye(3)[k % 3] * (1 + k) + rng.normal(size=3) * 0.01]) for k in range(60)]
+    found = {r.id: r.cluster for r in prototypes._spectral_table(spark.createDataFrame(vectors, "id long, v array<double>"), 3, 42).collect()}
+    assert len(set(found.values())) == 3 and all(found[k] == found[k % 3] for k in found)
+
+
+def test_transport_above_the_dense_size(spark):
+    rng = np.random.default_rng(12)
+    a, b = (spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rng.normal(size=(n, 2)))], "id long, v array<double>") for n in (30, 25))
+    assert distances.sinkhorn_cost(a, b, "id", "v", 0.5, dense=10) == pytest.approx(distances.sinkhorn(a, b, "id", "v", 0.5), rel=1e-6)
+
+
+def test_short_cycles_need_no_search(spark, monkeypatch):
+    monkeypatch.setattr(hops, "_numbered", lambda nodes: pytest.fail("searched"))
+    assert hops.girth(*graph_of(spark, [(k, (k + 1) % 4) for k in range(4)] + [(0, k) for k in range(10, 30)])) == 4
+    assert hops.girth(*graph_of(spark, [(0, 1), (1, 2), (2, 0), (2, 3)])) == 3
