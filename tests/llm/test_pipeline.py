@@ -89,3 +89,32 @@ def test_language_stage_drops_junk_and_foreign_texts(spark, languages):
     assert [t for k, t in enumerate(FOREIGN + JUNK) if -1 - k in kept] == []
     clean = [r.doc_id for r in docs.where(r"text rlike '\\p{L}'").select("doc_id").collect()]
     assert np.mean([i in kept for i in clean]) > 0.99
+
+
+def test_a_suffix_chunk_needs_little_memory_beside_its_bytes():
+    import random
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(5000)]
+    texts = [" ".join(rng.choices(words, k=300)).encode() for _ in range(1100)]
+    steps = suffix_dedup._Steps(400, 1, 51, 2, 42, 64)
+    for family in (0, 1):
+        suffix_dedup._hash_tables(family)
+    tracemalloc.start()
+    steps.publisher("publish_sample")((pa.scalar(0),), pa.table({"data": pa.array(texts, pa.binary())}))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 28 * sum(map(len, texts))
+
+
+def test_stages_hand_over_small_batches(spark):
+    from vectorloom.llm import memory
+
+    before = spark.conf.get(memory.BATCH)
+    spark.conf.set(memory.BATCH, "10000")
+    corpus_pipeline.cut_repeats(spark, spark.read.parquet(f"{SF_SMALL}/documents.parquet").limit(5), "")
+    assert int(spark.conf.get(memory.BATCH)) <= memory.ROWS_PER_SLICE
+    spark.conf.set(memory.BATCH, before)

@@ -59,7 +59,7 @@ from vectorloom.llm.memory import release
 LENGTH = 400
 WORDS = 51
 CHUNK_BYTES = 2 << 20
-BLOCK = 1 << 19
+BLOCK, SLICE = 1 << 17, 1 << 13
 COVER, SAMPLE_BITS, NAME_BITS, ANCHOR_BITS = 1, 12, 64, 5
 PUBLISHED = "bucket int, chunk int, payload binary"
 MARKED = "chunk int, step int, bucket int, bits binary"
@@ -124,6 +124,10 @@ class Chunk:
         self.copied = np.repeat(copies > 1, sizes)
         self.places = np.arange(len(self.bytes), dtype=kind)
 
+    def leave(self) -> None:
+        """Give up the places of bytes, once the words have taken what they need; texts and bytes stay."""
+        self.start_of = self.end_of = self.copied = self.places = self.places[:0]
+
     def values(self, lo: int, hi: int, family: int) -> np.ndarray:
         """A random number for each byte there, equal for equal bytes."""
         return _hash_tables(family)[0][self.bytes[lo:hi]]
@@ -133,8 +137,11 @@ class Chunk:
         v, members = difference_cover(r)
         member = np.zeros(v, dtype=bool)
         member[members] = True
-        fits = self.places + (length - v + 1) <= self.end_of
-        return np.flatnonzero(member[(self.places - self.start_of) % v] & fits)
+        found = []
+        for lo in range(0, len(self.places), BLOCK):
+            here, start, end = (part[lo : lo + BLOCK] for part in (self.places, self.start_of, self.end_of))
+            found.append(here[member[(here - start) % v] & (here + (length - v + 1) <= end)])
+        return np.concatenate(found) if found else self.places
 
     def names(self, at: np.ndarray, length: int, bits: int, family: int = 0) -> np.ndarray:
         """Hashes of the strings of that length at the given ascending positions; families are independent."""
@@ -146,7 +153,8 @@ class Chunk:
                 continue
             part = self.values(lo, lo + BLOCK + length, family)
             sums = np.zeros(len(part) + 1, dtype=np.uint64)
-            np.cumsum(part * powers[: len(part)], out=sums[1:])
+            np.multiply(part, powers[: len(part)], out=sums[1:])
+            np.cumsum(sums[1:], out=sums[1:])
             here = at[a:b] - lo
             out[a:b] = (sums[here + length] - sums[here]) * inverse[here]
         _mix(out)
@@ -158,9 +166,13 @@ class Chunk:
         far = np.iinfo(self.places.dtype).max
         following = np.full(len(self.places), far, dtype=self.places.dtype)
         following[marked] = marked
-        following = np.minimum.accumulate(following[::-1])[::-1]
-        near = (following < self.end_of) & (following - self.places < v) & (self.places + length <= self.end_of)
-        return np.flatnonzero(near)
+        found, least = [], far
+        for lo in range((len(self.places) - 1) // BLOCK * BLOCK, -1, -BLOCK):
+            here, end = self.places[lo : lo + BLOCK], self.end_of[lo : lo + BLOCK]
+            after = np.minimum(np.minimum.accumulate(following[lo : lo + BLOCK][::-1])[::-1], least)
+            found.append(here[(after < end) & (after - here < v) & (here + length <= end)])
+            least = after[0]
+        return np.concatenate(found[::-1]) if found else self.places
 
     def covered(self, starts: np.ndarray, length: int) -> np.ndarray:
         """Mask of the bytes covered by strings of that length at the given positions."""
@@ -186,6 +198,7 @@ class Words(Chunk):
         self.start_of, self.end_of = np.repeat(starts.astype(kind), ends - starts), np.repeat(ends.astype(kind), ends - starts)
         self.copied = chunk.copied[self.first]
         self.places = np.arange(len(self.first), dtype=kind)
+        chunk.leave()
 
     def _hashed(self, space: np.ndarray) -> np.ndarray:
         table, powers, _ = _hash_tables()
@@ -229,15 +242,22 @@ _HEADER = "<IQBI?"
 
 
 def _bits_of(values: np.ndarray, width: int) -> np.ndarray:
-    """The low ``width`` bits of each value, packed."""
-    spread = np.unpackbits(values.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    return np.packbits(spread[:, 64 - width :])
+    """The low ``width`` bits of each value, packed; slices of a multiple of 8 values end at whole bytes."""
+    parts = []
+    for lo in range(0, len(values), SLICE):
+        spread = np.unpackbits(values[lo : lo + SLICE].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        parts.append(np.packbits(spread[:, 64 - width :]))
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint8)
 
 
 def _values_of(packed: np.ndarray, count: int, width: int) -> np.ndarray:
-    spread = np.zeros((count, 64), dtype=np.uint8)
-    spread[:, 64 - width :] = np.unpackbits(packed, count=count * width).reshape(count, width)
-    return np.packbits(spread, axis=1).view(">u8").ravel().astype(np.uint64)
+    out = np.empty(count, dtype=np.uint64)
+    for lo in range(0, count, SLICE):
+        n = min(SLICE, count - lo)
+        spread = np.zeros((n, 64), dtype=np.uint8)
+        spread[:, 64 - width :] = np.unpackbits(packed[lo * width // 8 :], count=n * width).reshape(n, width)
+        out[lo : lo + n] = np.packbits(spread, axis=1).view(">u8").ravel()
+    return out
 
 
 def pack_names(unique: np.ndarray, twice: np.ndarray, checks: np.ndarray | None = None) -> bytes:
@@ -421,6 +441,7 @@ class _Steps:
 
         def run(key: tuple, table: pa.Table, *marks: pa.Table) -> pa.Table:
             chunk = Chunk(_texts(table))
+            del table
             out = pa.concat_tables([getattr(rule, publish)(key[0].as_py(), chunk, *marks) for rule in self.rules])
             del chunk
             release()
