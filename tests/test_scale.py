@@ -179,3 +179,14 @@ def test_short_cycles_need_no_search(spark, monkeypatch):
     monkeypatch.setattr(hops, "_numbered", lambda nodes: pytest.fail("searched"))
     assert hops.girth(*graph_of(spark, [(k, (k + 1) % 4) for k in range(4)] + [(0, k) for k in range(10, 30)])) == 4
     assert hops.girth(*graph_of(spark, [(0, 1), (1, 2), (2, 0), (2, 3)])) == 3
+
+
+def test_diagram_hausdorff_meets_repeated_points_once(spark):
+    from vectorloom.operators import pairs, topology
+
+    rows = [("a", 0, 0.0, 1.0), ("a", 0, 0.5, 2.0), ("b", 0, 0.0, 1.5), ("b", 1, 0.0, 1.0)]
+    one = spark.createDataFrame(rows, topology.DIAGRAM)
+    many = one.crossJoin(spark.range(20000)).drop("id")
+    # without taking repeated points once, 4 * 10^8 pairs would meet
+    found = [topology.diagram_hausdorff(d, pairs.unordered_pairs(one)).first().distance for d in (one, many)]
+    assert found[0] == found[1] == pytest.approx(np.hypot(0.5, 0.5) + 1.0)
