@@ -190,3 +190,16 @@ def test_diagram_hausdorff_meets_repeated_points_once(spark):
     # without taking repeated points once, 4 * 10^8 pairs would meet
     found = [topology.diagram_hausdorff(d, pairs.unordered_pairs(one)).first().distance for d in (one, many)]
     assert found[0] == found[1] == pytest.approx(np.hypot(0.5, 0.5) + 1.0)
+
+
+def test_hop_sums_in_many_passes(spark, monkeypatch):
+    from vectorloom.operators import graph, hops
+
+    n = 600  # two groups of 512 sources
+    pairs = {tuple(sorted(p)) for p in np.random.default_rng(1).integers(0, n - 5, (1500, 2)).tolist() if p[0] != p[1]}
+    edges = spark.createDataFrame([(a, b, 1.0) for a, b in pairs] + [(b, a, 1.0) for a, b in pairs], "src long, dst long, w double")
+    nodes = spark.range(n).select("id")
+    want = graph.path_indices(edges, nodes).first()
+    monkeypatch.setattr(hops, "ROWS", hops.WORDS * n)
+    assert hops._passes(hops._numbered(nodes, hops.WORDS), hops.WORDS) == [(0, 1), (1, 2)]
+    assert tuple(hops.path_sums(edges, nodes).first()) == tuple(want)

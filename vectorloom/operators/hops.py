@@ -1,13 +1,16 @@
-"""All hop distances of a graph at once, 64 sources in one long, and what follows from them.
+"""All hop distances of a graph at once, sources as bits of longs, and what follows from them.
 
 Sources are numbered; each group of 64 has one bit a source. The state is a table (grp, id, seen, front): which sources
 of the group have reached the node, and which did in the last level. A level sends fronts along the edges, joins them
-with ``bit_or`` per group and node, with partial results in each task, and takes off what was seen. Sums over pairs
+with ``bit_or`` per group and node, with partial results in each task, and takes off what was seen. The sums take
+``WORDS`` longs a row, so that a row's keys are moved once for 512 sources, and keep nothing that only the girth needs. Sums over pairs
 come from bit counts, so no pair is ever a row: wiener and schultz from plain ones, gutman from one count for
 each binary digit of the sources' degrees.
 
-The graph is never in a closure or on the driver. As all pairs are asked for, the state has nodes * nodes / 64 rows;
-groups go through in passes of at most ``ROWS`` of them, each level of a pass is a table.
+The graph is never in a closure or on the driver. As all pairs are asked for, the state has nodes * nodes bits seen and
+as many in front; groups go through in passes of at most ``ROWS`` longs of each, each level of a pass is a table. What a
+pass holds on disk, two states and the fronts sent along the edges, is thus bounded by ROWS and the mean degree, whatever the
+number of nodes; the number of passes grows with its square.
 
 The shortest cycle shows when two fronts of one source meet: at level d two ends of an edge (length 2d + 1) or two
 ways into a node (2d + 2). Sources on a shortest cycle see it first, and others see no shorter one.
@@ -18,31 +21,33 @@ have no paths; without edges all sums are 0 and the girth is null.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectorloom.operators.graph import row_ids
 from vectorloom.session import checkpoint, discard
 
-ROWS = 200_000_000
+ROWS, WORDS = 16_000_000, 8
 
 
 def _simple(edges: DataFrame) -> DataFrame:
     return checkpoint(edges.where("src <> dst").select("src", "dst").distinct())
 
 
-def _numbered(nodes: DataFrame) -> DataFrame:
-    """(id, grp, bit) of all nodes as sources."""
+def _numbered(nodes: DataFrame, words: int = 1) -> DataFrame:
+    """(id, grp, word, bit) of all nodes as sources, ``words`` * 64 in a group."""
     numbered = row_ids(nodes.select(F.col("id").alias("node")).distinct(), "node").select(F.col("node").alias("id"), F.col("id").alias("number"))
-    return checkpoint(numbered.select("id", F.expr("number div 64").alias("grp"), F.expr("shiftleft(1L, cast(number % 64 as int))").alias("bit")))
+    return checkpoint(numbered.select("id", F.expr(f"number div {64 * words}").alias("grp"), F.expr(f"number div 64 % {words}").alias("word"), F.expr("shiftleft(1L, cast(number % 64 as int))").alias("bit")))
 
 
-def _passes(sources: DataFrame) -> list[tuple[int, int]]:
-    """Ranges of groups whose states stay below ROWS rows."""
+def _passes(sources: DataFrame, words: int = 1) -> list[tuple[int, int]]:
+    """Ranges of groups whose states stay below ROWS longs, one group at least."""
     row = sources.agg(F.count("*").alias("n"), F.max("grp").alias("top")).first()
     if not row["n"]:
         return []
-    step = max(1, ROWS // row["n"])
+    step = max(1, ROWS // (words * row["n"]))
     return [(a, min(a + step, row["top"] + 1)) for a in range(0, row["top"] + 1, step)]
 
 
@@ -83,6 +88,34 @@ def _levels(edges: DataFrame, sources: DataFrame):
             return
 
 
+def _wide_level(edges: DataFrame, state: DataFrame) -> DataFrame:
+    """(grp, id, s0, .., f0, ..), words seen and words of the front, after one more level."""
+    seen, front = [f"s{w}" for w in range(WORDS)], [f"f{w}" for w in range(WORDS)]
+    any_front = functools.reduce(Column.bitwiseOR, map(F.col, front)) != 0
+    sent = state.where(any_front).select("grp", F.col("id").alias("src"), *front).join(edges, "src")
+    got = sent.groupBy("grp", F.col("dst").alias("id")).agg(*[F.bit_or(c).alias(c) for c in front])
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    new = [zero(f).bitwiseAND(F.bitwise_not(zero(s))) for s, f in zip(seen, front)]
+    return state.select("grp", "id", *seen).join(got, ["grp", "id"], "full").select("grp", "id", *[zero(s).bitwiseOR(zero(f)).alias(s) for s, f in zip(seen, front)], *[n.alias(f) for n, f in zip(new, front)])
+
+
+def _wide_levels(edges: DataFrame, sources: DataFrame):
+    """(level, rows of the state that have a front) of one pass until there is none; each state is deleted when the next is asked for."""
+    start = [F.when(F.col("word") == w, F.col("bit")).otherwise(F.lit(0).cast("long")) for w in range(WORDS)]
+    state = checkpoint(sources.select("grp", "id", *[b.alias(f"s{w}") for w, b in enumerate(start)], *[b.alias(f"f{w}") for w, b in enumerate(start)]))
+    any_front = functools.reduce(Column.bitwiseOR, [F.col(f"f{w}") for w in range(WORDS)]) != 0
+    level = 0
+    while True:
+        fresh = checkpoint(_wide_level(edges, state))
+        discard(state)
+        state, level = fresh, level + 1
+        reached = state.where(any_front)
+        if reached.isEmpty():
+            discard(state)
+            return
+        yield level, reached
+
+
 def _weighed(bits: Column, planes: list[str]) -> Column:
     """Sum of the degrees of the sources whose bits are set, by the planes of the degrees' digits."""
     total = F.lit(0).cast("long")
@@ -95,18 +128,21 @@ def path_sums(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """wiener, schultz, gutman (unordered sums over connected pairs) and diameter of an unweighted graph, in one row."""
     simple = _simple(edges)
     degree = checkpoint(nodes.select("id").distinct().join(simple.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree")), "id", "left").na.fill(0))
-    sources = _numbered(nodes)
+    sources = _numbered(nodes, WORDS)
     digits = max(1, int(degree.agg(F.max("degree")).first()[0] or 0).bit_length())
-    planes = [f"plane{p}" for p in range(digits)]
-    of_groups = sources.join(degree, "id").groupBy("grp").agg(*[F.bit_or(F.when(F.expr(f"(degree >> {p}) % 2 = 1"), F.col("bit")).otherwise(F.lit(0))).alias(c) for p, c in enumerate(planes)])
+    planes = [[f"plane{p}_{w}" for p in range(digits)] for w in range(WORDS)]
+    digit = lambda p, w: F.bit_or(F.when(F.expr(f"word = {w} AND (degree >> {p}) % 2 = 1"), F.col("bit")).otherwise(F.lit(0)))
+    of_groups = sources.join(degree, "id").groupBy("grp").agg(*[digit(p, w).alias(c) for w, own in enumerate(planes) for p, c in enumerate(own)])
     of_groups = checkpoint(of_groups)
     totals = {"wiener": 0, "schultz": 0, "gutman": 0, "diameter": 0}
-    for a, b in _passes(sources):
-        for level, state in _levels(simple, sources.where((F.col("grp") >= a) & (F.col("grp") < b))):
-            ends = state.where("front <> 0").join(degree, "id").join(of_groups, "grp")
-            pairs = F.bit_count("front").cast("long")
+    fronts = [F.col(f"f{w}") for w in range(WORDS)]
+    pairs = functools.reduce(Column.__add__, [F.bit_count(f).cast("long") for f in fronts])
+    weighed = functools.reduce(Column.__add__, [_weighed(f, own) for f, own in zip(fronts, planes)])
+    for a, b in _passes(sources, WORDS):
+        for level, reached in _wide_levels(simple, sources.where((F.col("grp") >= a) & (F.col("grp") < b))):
+            ends = reached.join(degree, "id").join(of_groups, "grp")
             # a sum over ordered pairs counts each end once, so both ends' degrees in schultz are one end's here
-            row = ends.agg(F.sum(pairs), F.sum(pairs * F.col("degree")), F.sum(_weighed(F.col("front"), planes) * F.col("degree"))).first()
+            row = ends.agg(F.sum(pairs), F.sum(pairs * F.col("degree")), F.sum(weighed * F.col("degree"))).first()
             if row[0]:
                 totals["wiener"] += level * row[0]
                 totals["schultz"] += level * row[1]
