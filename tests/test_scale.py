@@ -203,3 +203,15 @@ def test_hop_sums_in_many_passes(spark, monkeypatch):
     monkeypatch.setattr(hops, "ROWS", hops.WORDS * n)
     assert hops._passes(hops._numbered(nodes, hops.WORDS), hops.WORDS) == [(0, 1), (1, 2)]
     assert tuple(hops.path_sums(edges, nodes).first()) == tuple(want)
+
+
+def test_ivf_queries_go_to_a_bin_once(spark, tmp_path, monkeypatch):
+    x = np.random.default_rng(4).normal(size=(300, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>")
+    index = ivf.build(df, "id", "v", str(tmp_path / "index"), cells=12)
+    exact = sorted(map(tuple, blocks.nearest(df, df, "id", "v", 3, exclude_self=True).collect()))
+    monkeypatch.setattr(ivf, "ASKED", 100)
+    for size in (1 << 16, 70):
+        monkeypatch.setattr(ivf, "BIN", size)
+        found = ivf.search(index, df, df, "id", "v", 3, 12, exclude_self=True)
+        assert sorted(map(tuple, found.collect())) == exact
