@@ -184,6 +184,11 @@ def test_near_words_of_anagrams_and_random_words(spark):
     assert len(pairs) == len(want) and {(r.a, r.b) for r in pairs} == want
 
 
+def test_near_words_are_never_broadcast(spark):
+    words = spark.createDataFrame([("abcdef", 5), ("abcdeg", 5)], "word string, n long")
+    assert "Broadcast" not in spelling.near_pairs(words)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_spelling_edges(spark):
     chain = "levelone " * 700 + "leveltwo " * 130 + "levelone1 " + "levelonf " * 140 + "levelong " * 28 + "levelongs " * 5 + "LEVELONGS "
     rows = [(1, chain), (None, "àéîõüÿ " * 6), (2, None), (3, ""), (3, "12 !"), (4, "x" * 300_000 + " "), (4, ("y" * 100_000 + " ") * 6), (5, "tieaaaab " * 50 + "tieaaaac " * 50 + "tieaaaad " * 6), (5, "tieaaaab " * 50)]

@@ -79,10 +79,13 @@ def keyed(words: DataFrame) -> DataFrame:
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
-    """(a, n_a, b, n_b) of all words with an edit distance of 1, a < b, each pair once."""
+    """(a, n_a, b, n_b) of all words with an edit distance of 1, a < b, each pair once.
+
+    Spark sizes the keyed rows by the compressed table of words and without the explode, so it is told to merge, not to broadcast.
+    """
     rows = keyed(words)
     left, right = (rows.select("key", "first", "half", F.col("word").alias(k), F.col("n").alias(f"n_{k}"), F.col("lost").alias(f"lost_{k}")) for k in ("a", "b"))
-    both = left.join(right, ["key", "first", "half"]).where("a < b and lost_a <> lost_b")
+    both = left.hint("merge").join(right.hint("merge"), ["key", "first", "half"]).where("a < b and lost_a <> lost_b")
     new = F.col("first") | (F.substr("a", F.lit(1), F.col("half")) != F.substr("b", F.lit(1), F.col("half")))
     return both.where(new & (F.levenshtein("a", "b", 1) == 1)).select("a", "n_a", "b", "n_b")
 
