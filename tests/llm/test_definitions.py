@@ -159,6 +159,41 @@ def test_all_languages_are_learned(spark):
     assert set(language_id._sample(spark.createDataFrame(rows, TABLE), False)[1]) >= {n for k, n in enumerate(names) if any(zlib.crc32(str(5 * k + j).encode()) % 5 for j in range(1, 4))}
 
 
+def test_language_stage_learns_from_every_labelled_text(spark):
+    docs = spark.read.parquet(f"{SF_MEDIUM}/documents.parquet").select("doc_id", "text", "lang")
+    rows = [r for r in docs.collect() if r.lang is not None and any(c.isalpha() for c in r.text or "")]
+    held = [zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in rows]
+    names = sorted({r.lang for r in rows})
+    typical = language_id.Typicality.fit(docs, names)
+    for name in names:
+        n = np.zeros(64**3)
+        for r, out in zip(rows, held):
+            if r.lang == name and not out:
+                np.add.at(n, language_id._trigrams(r.text.encode()), 1)
+        n = n.reshape(64, 64, 64)
+        one = n.sum((0, 1)) + 1
+        two = (n.sum(0) + 20 * one / one.sum()) / (n.sum((0, 2))[:, None] + 20)
+        three = (n + 20 * two[None]) / (n.sum(2, keepdims=True) + 20)
+        assert np.abs(typical.tables[name] - np.minimum(-8 * np.log2(three), 255).ravel()).max() <= 1
+        bits, letters = np.array([(typical.bits(r.text.encode(), name), language_id.letter_share(r.text.encode())) for r, out in zip(rows, held) if r.lang == name and out]).T
+        assert np.allclose(typical.marks[name], (np.quantile(bits, 0.99) + 2, np.quantile(letters, 0.01) / 2), atol=1e-3)
+
+
+def test_refined_network_fits_texts_beyond_the_start(spark):
+    docs = spark.read.parquet(f"{SF_MEDIUM}/documents.parquet").select("doc_id", "text", "lang")
+    start = language_id.fit(docs, per_language=4)
+    before = {k: getattr(start, k).copy() for k in language_id.WEIGHTS}
+    refined = language_id.refine(docs.repartition(3), start)
+    assert all((getattr(start, k) == before[k]).all() for k in language_id.WEIGHTS)
+    loss = dict.fromkeys((0, 1), 0.0)
+    for r in language_id.labelled(docs, False).collect():
+        for k, net in enumerate((start, refined)):
+            x = language_id.cut_windows(r.text.encode())
+            loss[k] -= net.log_probabilities(x)[:, net.classes.index(r.lang)].sum()
+    assert loss[1] < 0.9 * loss[0]
+    assert (refined.embed[256] == 0).all() and ((refined.filters == 0) == (start.filters == 0)).all()
+
+
 # -- quality -------------------------------------------------------------------------------------
 
 

@@ -10,9 +10,13 @@ set from the language's count (about ``per_language`` of them), and of each a sl
 ``slice_chars`` characters at a hashed place; with very many languages fewer of each, so that there are
 about ``most_rows`` in all. Every language is learned. The held-out fifth (crc32 of the id, mod 5, equal to 0) is never read for training.
 
+``accept`` takes that network as a start only: ``refine`` goes on over all windows of every labelled text that is not held
+out, in the tasks that read them, and takes the mean of the tasks' networks, weighted by their windows.
+
 A share of the network says which learned language is nearest, not whether the text is in any. ``accept``
 therefore also asks how likely the text's bytes are under the trigrams of its nearest languages, and how
-many of them are letters; the marks come from held-out labelled rows. Tables take 256 KB a language.
+many of them are letters. Trigrams are counted in all labelled texts that are not held out, and the marks are quantiles over all
+that are. Tables take 256 KB a language.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; repeated rows get equal
 answers; without any labelled row everything is ``und``, and ``accept`` can tell no language from another
@@ -23,10 +27,12 @@ and doc_id are not inputs of a prediction and other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +40,10 @@ from vectorloom.llm.memory import releasing
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
+#: The network's arrays that are learned.
+WEIGHTS = ("embed", "filters", "bias", "out", "out_bias")
+#: A text of a rare language counts at most so many times as one of the mean language.
+MOST_WEIGHT = 10.0
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
@@ -99,28 +109,36 @@ def train(texts: list[str], labels: list[str], seed: int = 7, epochs: int = 4, l
         return net
     x = np.concatenate([p for p, _ in parts])
     y = np.concatenate([np.full(len(p), c) for p, c in parts])
-    names = ("embed", "filters", "bias", "out", "out_bias")
-    first = {k: np.zeros_like(getattr(net, k)) for k in names}
-    second = {k: np.zeros_like(getattr(net, k)) for k in names}
-    step, epochs = 0, max(epochs, -(-least_steps // -(-len(x) // batch)))
+    adam, epochs = Adam(net, mask), max(epochs, -(-least_steps // -(-len(x) // batch)))
     decay = 0.1 ** (1 / epochs)
     for _ in range(epochs):
         order = rng.permutation(len(x))
         for at in range(0, len(order), batch):
             take = order[at : at + batch]
-            grads = _gradients(net, x[take], y[take], mask)
-            step += 1
-            for k in names:
-                first[k] = 0.9 * first[k] + 0.1 * grads[k]
-                second[k] = 0.999 * second[k] + 0.001 * grads[k] ** 2
-                change = rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-                setattr(net, k, (getattr(net, k) - change).astype(np.float32))
-            net.embed[256] = 0
+            adam.step(x[take], y[take], rate)
         rate *= decay
     return net
 
 
-def _gradients(net: ByteConvNet, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> dict[str, np.ndarray]:
+class Adam:
+    """Steps that change a network in place."""
+
+    def __init__(self, net: ByteConvNet, mask: np.ndarray):
+        self.net, self.mask, self.steps = net, mask, 0
+        self.first, self.second = ({k: np.zeros_like(getattr(net, k)) for k in WEIGHTS} for _ in range(2))
+
+    def step(self, x: np.ndarray, y: np.ndarray, rate: float, weights: np.ndarray | None = None) -> None:
+        grads = _gradients(self.net, x, y, self.mask, weights)
+        self.steps += 1
+        for k in WEIGHTS:
+            self.first[k] = 0.9 * self.first[k] + 0.1 * grads[k]
+            self.second[k] = 0.999 * self.second[k] + 0.001 * grads[k] ** 2
+            change = rate * (self.first[k] / (1 - 0.9**self.steps)) / (np.sqrt(self.second[k] / (1 - 0.999**self.steps)) + 1e-8)
+            setattr(self.net, k, (getattr(self.net, k) - change).astype(np.float32))
+        self.net.embed[256] = 0
+
+
+def _gradients(net: ByteConvNet, x: np.ndarray, y: np.ndarray, mask: np.ndarray, weights: np.ndarray | None = None) -> dict[str, np.ndarray]:
     responses, fields, padded = net.pooled(x)
     n, dim = len(x), net.embed.shape[1]
     where = responses.argmax(axis=1)
@@ -132,6 +150,8 @@ def _gradients(net: ByteConvNet, x: np.ndarray, y: np.ndarray, mask: np.ndarray)
     p /= p.sum(axis=1, keepdims=True)
     p[np.arange(n), y] -= 1
     p /= n
+    if weights is not None:
+        p *= weights[:, None]
     back = (p @ net.out.T) * (top > 0)
     chosen = fields[np.arange(n)[:, None], where]  # n x filters x widest * dim
     g_filters = np.einsum("nf,nfk->kf", back, chosen, optimize=True) * mask
@@ -171,6 +191,71 @@ def fit(docs: DataFrame, per_language: int = 500, slice_chars: int = 1024, most_
     return train(*_sample(docs, False, per_language, slice_chars, most_rows, seed), seed)
 
 
+def labelled(docs: DataFrame, held: bool) -> DataFrame:
+    """(lang, text) of every document with a label and a letter, held out or not."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    return own.where(F.col("lang").isNotNull() & (held_out() if held else ~held_out()) & F.col("text").rlike(r"\p{L}")).select("lang", "text")
+
+
+def refine(docs: DataFrame, net: ByteConvNet, rate: float = 0.0005, batch: int = 64, together: int = 4096, groups: int = 32) -> ByteConvNet:
+    """The network after all windows of every labelled text that is not held out.
+
+    Each task goes on from the given network over its own texts, ``together`` windows or one text shuffled at a time, and puts out
+    its weights, some 20 KB and 200 bytes a language; the mean is weighted by windows. A text weighs less the more its language has.
+    """
+    if not net.classes:
+        return net
+    texts = labelled(docs, False)
+    counts = {r["lang"]: r["n"] for r in texts.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
+    mean = sum(counts.values()) / max(1, len(counts))
+    place = {name: k for k, name in enumerate(net.classes)}
+    worth = np.array([min(MOST_WEIGHT, mean / counts.get(name, mean)) for name in net.classes], dtype=np.float32)
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, task = replace(net, **{k: getattr(net, k).copy() for k in WEIGHTS}), TaskContext.get().partitionId()
+        adam, rng = Adam(own, (net.filters != 0).astype(np.float32)), np.random.default_rng(7)
+        parts, owners, waiting, seen = [], [], 0, 0
+
+        def run() -> None:
+            x, y = np.concatenate(parts), np.repeat(owners, [len(p) for p in parts])
+            order = rng.permutation(len(x))
+            for at in range(0, len(order), batch):
+                take = order[at : at + batch]
+                adam.step(x[take], y[take], rate, worth[y[take]])
+
+        for rows in batches:
+            for name, text in zip(rows.column(0).to_pylist(), rows.column(1)):
+                if name not in place:  # none of its texts was drawn for the start
+                    continue
+                parts.append(cut_windows(text.as_py().encode("utf-8", "replace")))
+                owners.append(place[name])
+                waiting += len(parts[-1])
+                if waiting >= together:
+                    run()
+                    seen += waiting
+                    parts, owners, waiting = [], [], 0
+        if waiting:
+            run()
+            seen += waiting
+        if seen:
+            weights = np.concatenate([getattr(own, k).ravel() for k in WEIGHTS]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([task % groups], pa.int32()), pa.array([task], pa.int32()), pa.array([seen], pa.int64()), pa.array([weights.tobytes()], pa.binary())], names=["part", "task", "n", "weights"])
+
+    def summed(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("task")
+        total = sum(np.frombuffer(w.as_py(), np.float32).astype(np.float64) * n.as_py() for n, w in zip(rows.column("n"), rows.column("weights")))
+        return pa.table({"n": pa.array([pc.sum(rows.column("n")).as_py()], pa.int64()), "weights": pa.array([total.tobytes()], pa.binary())})
+
+    each = texts.mapInArrow(releasing(passed), "part int, task int, n long, weights binary")
+    sums = each.groupBy("part").applyInArrow(summed, "n long, weights binary").collect()  # at most ``groups`` rows
+    if not sums:
+        return net
+    shapes = [getattr(net, k).shape for k in WEIGHTS]
+    mean = sum(np.frombuffer(r["weights"]) for r in sums) / sum(r["n"] for r in sums)
+    cut = np.split(mean.astype(np.float32), np.cumsum([int(np.prod(s)) for s in shapes])[:-1])
+    return replace(net, **{k: part.reshape(s) for k, part, s in zip(WEIGHTS, cut, shapes)})
+
+
 def _fold() -> np.ndarray:
     """64 kinds of bytes: letters without case, space, digit, punctuation, other signs, high bytes in fours."""
     kinds = np.empty(256, dtype=np.int64)
@@ -198,32 +283,35 @@ class Typicality:
     marks: dict[str, tuple[float, float]]
 
     @classmethod
-    def fit(cls, texts: list[str], labels: list[str], held: list[str], held_labels: list[str], enough: int = 10) -> Typicality:
-        tables: dict[str, np.ndarray] = {}
-        for name in sorted(set(labels)):
-            n = np.zeros(64**3)
-            for t, label in zip(texts, labels):
-                if label == name:
-                    n += np.bincount(_trigrams(t.encode("utf-8", "replace")), minlength=64**3)
-            n = n.reshape(64, 64, 64)
-            one = n.sum((0, 1)) + 1
-            two = (n.sum(0) + 20 * one / one.sum()) / (n.sum((0, 2))[:, None] + 20)
-            three = (n + 20 * two[None]) / (n.sum(2, keepdims=True) + 20)
-            tables[name] = np.minimum(-8 * np.log2(three), 255).astype(np.uint8).ravel()
-        own = cls(tables, {})
-        found: dict[str, list[tuple[float, float]]] = {name: [] for name in tables}
-        for t, label in zip(held, held_labels):
-            if label in tables:
-                data = t.encode("utf-8", "replace")
-                found[label].append((own.bits(data, label), letter_share(data)))
-        everything = [v for values in found.values() for v in values]
-        for name, values in found.items():
-            used = values if len(values) >= enough else everything
-            if len(used) >= enough:
-                bits, letters = np.array(used).T
-                own.marks[name] = (float(np.quantile(bits, 0.99)) + 2, float(np.quantile(letters, 0.01)) / 2)
+    def fit(cls, docs: DataFrame, classes: list[str], enough: int = 10) -> Typicality:
+        """Tables from every labelled text of the classes that is not held out, marks from every one that is."""
+        own = cls({r["lang"]: np.frombuffer(r["bits"], np.uint8) for r in trigram_tables(docs, classes).collect()}, {})
+        if not own.tables:
+            return own
+        of = F.explode(F.array(F.col("lang"), F.lit(None).cast("string"))).alias("of")
+        values = own.measured(docs).select(of, "bits", "letters").groupBy("of")
+        found = {r["of"]: r for r in values.agg(F.count("*").alias("n"), F.percentile("bits", 0.99).alias("bits"), F.percentile("letters", 0.01).alias("letters")).collect()}
+        for name in own.tables:
+            used = found[name] if name in found and found[name]["n"] >= enough else found.get(None)
+            if used and used["n"] >= enough:
+                own.marks[name] = (used["bits"] + 2, used["letters"] / 2)
         return own
 
+    def measured(self, docs: DataFrame) -> DataFrame:
+        """(lang, bits, letters) of the held-out texts, in steps of 1 / 1024 and 1 / 4096, so that quantiles hold few values."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = []
+                for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    if name in self.tables:
+                        data = text.as_py().encode("utf-8", "replace")
+                        rows.append((name, round(self.bits(data, name) * 1024) / 1024, round(letter_share(data) * 4096) / 4096))
+                names, bits, letters = zip(*rows) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(bits, pa.float64()), pa.array(letters, pa.float64())], names=["lang", "bits", "letters"])
+
+        return labelled(docs, True).mapInArrow(releasing(run), "lang string, bits double, letters double")
+
     def bits(self, data: bytes, name: str) -> float:
         """Mean bits a byte of the text under a language."""
         total = sum(int(self.tables[name][_trigrams(data[at : at + PART])].sum(dtype=np.int64)) for at in range(0, len(data), PART))
@@ -245,6 +333,59 @@ def _trigrams(data: bytes) -> np.ndarray:
     return k[:-2] * 4096 + k[1:-1] * 64 + k[2:]
 
 
+def trigram_tables(docs: DataFrame, classes: list[str], most: int = 16) -> DataFrame:
+    """(lang, bits): the table of each class, from the trigrams of all its labelled texts that are not held out.
+
+    A task holds the counts of at most ``most`` languages at a time and puts out those that are not 0.
+    """
+    wanted = set(classes)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        waiting: dict[str, list[np.ndarray]] = {}
+        size: dict[str, int] = {}
+
+        def add(name: str) -> None:
+            sums[name] += np.bincount(np.concatenate(waiting[name]), minlength=64**3)
+            waiting[name], size[name] = [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for name in list(sums):
+                if waiting[name]:
+                    add(name)
+                cells = np.flatnonzero(sums[name])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(cells), pa.string()), pa.array(cells, pa.int32()), pa.array(sums.pop(name)[cells], pa.int64())], names=["lang", "cell", "n"])
+
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if name not in wanted:
+                    continue
+                if name not in sums:
+                    if len(sums) >= most:
+                        yield from out()
+                    sums[name], waiting[name], size[name] = np.zeros(64**3, np.int64), [], 0
+                data = text.as_py().encode("utf-8", "replace")
+                for at in range(0, len(data), PART):
+                    waiting[name].append(_trigrams(data[at : at + PART]))
+                    size[name] += len(waiting[name][-1])
+                    if size[name] >= PART:
+                        add(name)
+        yield from out()
+
+    def table(group: pa.Table) -> pa.Table:
+        n = np.zeros(64**3)
+        n[group.column("cell").to_numpy()] = group.column("n").to_numpy()
+        n = n.reshape(64, 64, 64)
+        one = n.sum((0, 1)) + 1
+        two = (n.sum(0) + 20 * one / one.sum()) / (n.sum((0, 2))[:, None] + 20)
+        three = (n + 20 * two[None]) / (n.sum(2, keepdims=True) + 20)
+        bits = np.minimum(-8 * np.log2(three), 255).astype(np.uint8)
+        return pa.table({"lang": group.column("lang").slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+    cells = labelled(docs, False).mapInArrow(releasing(counted), "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    return cells.groupBy("lang").applyInArrow(table, "lang string, bits binary")
+
+
 def letter_share(data: bytes) -> float:
     """Share of letters, or bytes of any sign beyond ASCII, among the bytes that are not white space."""
     counts = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
@@ -308,9 +449,8 @@ def accept(docs: DataFrame, least_lead: float = 0.1) -> DataFrame:
 
     least_lead: how far the best share must be from a guess (1 by the number of languages, 0) to certainty (1).
     """
-    texts, labels = _sample(docs, False)
-    net = train(texts, labels)
-    typical = Typicality.fit(texts, labels, *_sample(docs, True))
+    net = refine(docs, fit(docs))
+    typical = Typicality.fit(docs, net.classes)
     least = (1 - least_lead) / max(1, len(net.classes)) + least_lead
     columns = docs.columns
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
