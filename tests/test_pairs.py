@@ -68,3 +68,12 @@ def test_cells_give_the_whole_design_s_fit():
     own = [y[(t == a) & (f == b)] for a, b in cells]
     found = regression.cells_hc3(design(*map(np.array, zip(*cells))), np.array([len(v) for v in own], float), np.array([v.mean() for v in own]), np.array([((v - v.mean()) ** 2).sum() for v in own]))
     assert np.allclose(found["beta"], whole["beta"]) and np.allclose(found["cov"], whole["cov"]) and found["df"] == whole["df"] and found["r2"] == pytest.approx(whole["r2"])
+
+
+def test_unordered_pairs_are_dealt_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "PAIRS_A_TASK", 50)
+    models = spark.createDataFrame([(f"m{k:02}",) for k in range(40)], "model string").coalesce(1)
+    rows = pairs.unordered_pairs(models)
+    assert rows.rdd.getNumPartitions() == 16 and rows.count() == 780
+    sizes = [n for n in rows.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect() if n]
+    assert len(sizes) > 4

@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vectorloom.session import checkpoint
+
 #: The pretraining datasets considered, from easiest to hardest; the easier of two is the control.
 DATASET_ORDER = ("ImageNet-1K", "ImageNet-12K", "ImageNet-21K", "ImageNet-Winter-21K", "ImageNet-22K")
 DATASET_RANK = {name: k for k, name in enumerate(DATASET_ORDER)}
@@ -239,10 +241,13 @@ def missing_models(pairs: DataFrame, metrics: DataFrame) -> DataFrame:
 def unordered_pairs(models: DataFrame, column: str = "model", limit: int | None = None, seed: int = 42) -> DataFrame:
     """(model_a, model_b), a < b; with a limit those of smallest md5 of seed and both names.
 
-    The number of models is a catalogue's, and the result is the set of all pairs by definition.
+    All pairs are gone through by definition. Names are dealt to as many tasks as their pairs ask for, as Spark would put the few
+    bytes of them into one; each task gets all names, whose number the pairs bound.
     """
-    names = models.select(F.col(column).alias("model_a")).distinct()
-    rows = names.join(names.select(F.col("model_a").alias("model_b")), F.col("model_a") < F.col("model_b"))
+    names = checkpoint(models.select(F.col(column).alias("model_a")).distinct())
+    n = names.count()
+    tasks = max(1, min(20_000, n * n // (2 * PAIRS_A_TASK)))
+    rows = names.repartition(tasks, "model_a").join(F.broadcast(names.select(F.col("model_a").alias("model_b"))), F.col("model_a") < F.col("model_b"))
     if limit is None:
         return rows
     return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}-"), "model_a", F.lit("-"), "model_b"))).limit(limit)
