@@ -4,7 +4,7 @@ import pytest
 
 from vectorloom.functions import sql
 from vectorloom.operators import distances, graph, regression
-from vectorloom.plans import config
+from vectorloom.plans import config, workflow_queries
 from vectorloom.sources import tables
 
 
@@ -36,6 +36,18 @@ def test_failures_and_card(spark, tmp_path):
     assert tables.not_uploaded(found, found.where("split = 'test'")).count() == 2
 
 
+def test_tsne_goes_through_all_iterations(spark, monkeypatch):
+    given = []
+
+    def embed(df, key, vector, n, **options):
+        given.append(options)
+        return df.selectExpr(f"{key}", "array(0.0D, 0.0D) components")
+
+    monkeypatch.setitem(workflow_queries.reduce.REDUCTIONS, "tsne", embed)
+    assert workflow_queries.tsne(spark, "/root/testdata/sf0.001").first().n == 500
+    assert given == [{}]
+
+
 def test_split_is_a_partition_and_near_the_share(spark):
     found = tables.split_rows(spark.range(5000), "id").groupBy("split").count().collect()
     sizes = {r["split"]: r["count"] for r in found}
