@@ -205,6 +205,23 @@ def test_hop_sums_in_many_passes(spark, monkeypatch):
     assert tuple(hops.path_sums(edges, nodes).first()) == tuple(want)
 
 
+def test_hop_sums_of_groups_that_hold_the_edges(spark, monkeypatch):
+    from vectorloom.operators import graph, hops
+
+    n = 300
+    pairs = {tuple(sorted(p)) for p in np.random.default_rng(2).integers(0, n - 40, (420, 2)).tolist() if p[0] != p[1]} | {(k, k + 1) for k in range(n - 40, n - 10)}
+    edges = spark.createDataFrame([(3 * a, 3 * b, 1.0) for p in pairs for a, b in (p, p[::-1])], "src long, dst long, w double")
+    nodes = spark.range(n).select((F.col("id") * 3).alias("id"))
+    want = tuple(graph.path_indices(edges, nodes).first())
+    searched, calls = hops._searched, []
+    monkeypatch.setattr(hops, "_searched", lambda *given: calls.append(1) or searched(*given))
+    for most, state, copies, gathered in ((8_000_000, 1 << 26, 1 << 27, 1 << 20), (8_000_000, 1, 2 * len(pairs), 7), (len(pairs), 1, 1, 1)):
+        for name, value in (("EDGES", most), ("STATE", state), ("COPIES", copies), ("GATHERED", gathered)):
+            monkeypatch.setattr(hops, name, value)
+        assert tuple(hops.path_sums(edges, nodes).first()) == want
+    assert len(calls) == 2
+
+
 def test_ivf_queries_go_to_a_bin_once(spark, tmp_path, monkeypatch):
     x = np.random.default_rng(4).normal(size=(300, 6))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>")

@@ -7,7 +7,10 @@ with ``bit_or`` per group and node, with partial results in each task, and takes
 come from bit counts, so no pair is ever a row: wiener and schultz from plain ones, gutman from one count for
 each binary digit of the sources' degrees.
 
-The graph is never in a closure or on the driver. As all pairs are asked for, the state has nodes * nodes bits seen and
+Where a task can hold the edges, at most ``EDGES`` of them, the sums come from groups of sources that each take all edges and search
+in arrays of bits, STATE bytes of them; groups go through in passes of at most ``COPIES`` copied edges.
+
+Else the graph is in no single place, and never in a closure or on the driver. As all pairs are asked for, the state has nodes * nodes bits seen and
 as many in front; groups go through in passes of at most ``ROWS`` longs of each, each level of a pass is a table. What a
 pass holds on disk, two states and the fronts sent along the edges, is thus bounded by ROWS and the mean degree, whatever the
 number of nodes; the number of passes grows with its square.
@@ -23,6 +26,8 @@ from __future__ import annotations
 
 import functools
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +35,7 @@ from vectorloom.operators.graph import row_ids
 from vectorloom.session import checkpoint, discard
 
 ROWS, WORDS = 16_000_000, 8
+EDGES, STATE, COPIES, GATHERED = 8_000_000, 64 << 20, 200_000_000, 1 << 20
 
 
 def _simple(edges: DataFrame) -> DataFrame:
@@ -127,6 +133,8 @@ def _weighed(bits: Column, planes: list[str]) -> Column:
 def path_sums(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """wiener, schultz, gutman (unordered sums over connected pairs) and diameter of an unweighted graph, in one row."""
     simple = _simple(edges)
+    if simple.count() <= EDGES:
+        return _searched(simple, nodes)
     degree = checkpoint(nodes.select("id").distinct().join(simple.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree")), "id", "left").na.fill(0))
     sources = _numbered(nodes, WORDS)
     digits = max(1, int(degree.agg(F.max("degree")).first()[0] or 0).bit_length())
@@ -154,6 +162,87 @@ def path_sums(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.sparkSession.createDataFrame([found], "wiener double, schultz double, gutman double, diameter double")
 
 
+def _searched(simple: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The same row from groups of sources that hold all edges."""
+    spark = simple.sparkSession
+    numbers = checkpoint(row_ids(nodes.select(F.col("id").alias("node")).distinct(), "node"))
+    n, m = numbers.count(), simple.count()
+    of = lambda c: numbers.select(F.col("node").alias(c), F.col("id").cast("int").alias(f"{c}_number"))
+    edges = checkpoint(simple.join(of("src"), "src").join(of("dst"), "dst").select(F.col("src_number").alias("s"), F.col("dst_number").alias("d")))
+    # as many sources as the state allows, fewer where that leaves cores idle
+    most = -(-n // (2 * spark.sparkContext.defaultParallelism))
+    size = 64 * max(1, min(-(-most // 64), STATE // (8 * max(1, n))))
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([("d", "ascending"), ("s", "ascending")])
+        first = key[0].as_py() * size
+        found = _from_sources(table.column("s").to_numpy(), table.column("d").to_numpy(), n, first, min(size, n - first))
+        return pa.table({c: pa.array([v], pa.int64()) for c, v in zip(("wiener", "schultz", "gutman", "diameter"), found)})
+
+    groups, step = -(-n // size), max(1, COPIES // max(1, m))
+    rows = []
+    for a in range(0, groups if m else 0, step):
+        b = min(a + step, groups)
+        copied = edges.withColumn("g", F.explode(F.sequence(F.lit(a), F.lit(b - 1)))).repartition(b - a, "g").groupBy("g")
+        done = checkpoint(copied.applyInArrow(run, "wiener long, schultz long, gutman long, diameter long"))
+        rows += done.collect()  # one a group
+        discard(done)
+    for made in (simple, numbers, edges):
+        discard(made)
+    total = lambda c: sum(r[c] for r in rows)
+    found = (total("wiener") / 2, float(total("schultz")), total("gutman") / 2, float(max((r["diameter"] for r in rows), default=0)))
+    return spark.createDataFrame([found], "wiener double, schultz double, gutman double, diameter double")
+
+
+def _from_sources(src: np.ndarray, dst: np.ndarray, n: int, first: int, count: int) -> tuple[int, int, int, int]:
+    """Sums over ordered pairs from ``count`` sources: lengths, lengths by the other end's degree, by both degrees; and the longest.
+
+    Edges are sorted by dst. A node has a bit a source, of those that reached it and of those that did in the last level.
+    """
+    degree = np.bincount(dst, minlength=n)
+    k = np.arange(count)
+    own = degree[first : first + count]
+    words = -(-count // 64)
+    bit = np.left_shift(np.uint64(1), (k % 64).astype(np.uint64))
+    planes = np.zeros((max(1, int(own.max(initial=0)).bit_length()), words), dtype=np.uint64)
+    for p, plane in enumerate(planes):
+        np.bitwise_or.at(plane, k // 64, np.where(own >> p & 1, bit, np.uint64(0)))
+    seen = np.zeros((n, words), dtype=np.uint64)
+    seen[first + k, k // 64] = bit
+    front, ids = seen.copy(), first + k
+    sums, level, longest = [0, 0, 0], 0, 0
+    while len(ids):
+        level += 1
+        active = np.zeros(n, dtype=bool)
+        active[ids] = True
+        take = active[src]
+        s, d = src[take], dst[take]
+        starts = np.flatnonzero(np.r_[True, d[1:] != d[:-1]]) if len(d) else np.zeros(0, dtype=np.int64)
+        ends = np.r_[starts[1:], len(d)]
+        found, fresh, a = [], [], 0
+        while a < len(starts):  # runs of whole targets
+            b = max(a + 1, int(np.searchsorted(ends, starts[a] + GATHERED // words, side="right")))
+            at = d[starts[a:b]]
+            new = np.bitwise_or.reduceat(front[s[starts[a] : ends[b - 1]]], starts[a:b] - starts[a], axis=0) & ~seen[at]
+            some = new.any(axis=1)
+            at, new, a = at[some], new[some], b
+            if not len(at):
+                continue
+            seen[at] |= new
+            found.append(at)
+            fresh.append(new)
+            bits = np.bitwise_count(new).sum(axis=1, dtype=np.int64)
+            weighed = sum(np.bitwise_count(new & plane).sum(axis=1, dtype=np.int64) << p for p, plane in enumerate(planes))
+            for c, v in enumerate((bits.sum(), (bits * degree[at]).sum(), (weighed * degree[at]).sum())):
+                sums[c] += level * int(v)
+            longest = level
+        front[ids] = 0
+        ids = np.concatenate(found) if found else ids[:0]
+        for at, new in zip(found, fresh):
+            front[at] = new
+    return *sums, longest
+
+
 def _short_cycle(simple: DataFrame) -> int | None:
     """3 or 4 if there is a cycle of that length, else None.
 
