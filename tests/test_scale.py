@@ -47,6 +47,22 @@ def test_eigenpairs_of_small_and_broken_graphs(spark):
         spectral.laplacian_pairs(edges, nodes, 2, "odd")
 
 
+def test_eigenpairs_in_one_task_equal_those_from_tables(spark, near, monkeypatch):
+    edges, nodes = near
+    used, one = [], spectral._in_one_task
+    monkeypatch.setattr(spectral, "_in_one_task", lambda *given: used.append(1) or one(*given))
+    monkeypatch.setattr(spectral, "TERMS", 50)
+    found = spectral.laplacian_pairs(edges, nodes, 3)
+    monkeypatch.setattr(spectral, "ENTRIES", 0)
+    tables = spectral.laplacian_pairs(edges, nodes, 3)
+    assert used == [1] and np.allclose(found.values, tables.values, atol=1e-8)
+    rows = lambda pairs: np.array([r.v for r in pairs.vectors.orderBy("id").collect()])
+    assert np.allclose(np.abs(rows(found).T @ rows(tables)), np.eye(3), atol=1e-4)
+    monkeypatch.undo()
+    with pytest.raises(ValueError, match="ask for another degree"):
+        spectral.laplacian_pairs(edges, nodes, 3, tolerance=0.0)
+
+
 def test_signs_do_not_depend_on_the_start(spark):
     rows = [(1, [0.5, -0.9]), (2, [-0.8, 0.1]), (3, [0.8, 0.9])]
     vectors = spark.createDataFrame(rows, "id long, v array<double>")
